@@ -106,17 +106,20 @@ def bounds_hold_point(b, lat, lng) -> Column:
 
 
 def on_segment(x, y, ax, ay, bx, by) -> Column:
-    """Distance to the segment is within 1e-10, boxed by the segment ends."""
+    """Distance to the segment is within 1e-10, boxed by the segment ends.
+
+    The box comes first: it is cheap and rules out almost every edge.
+    """
     x, y, ax, ay, bx, by = map(col, (x, y, ax, ay, bx, by))
     dx, dy = bx - ax, by - ay
     length = F.hypot(dx, dy)
     eps = EDGE_TOLERANCE
-    near = (
-        (F.abs((x - ax) * dy - (y - ay) * dx) <= length * eps)
-        & (x >= F.least(ax, bx) - eps) & (x <= F.greatest(ax, bx) + eps)
-        & (y >= F.least(ay, by) - eps) & (y <= F.greatest(ay, by) + eps)
+    close = F.when(length == 0, F.hypot(x - ax, y - ay) < eps).otherwise(
+        F.abs((x - ax) * dy - (y - ay) * dx) <= length * eps)
+    return (
+        (x >= F.least(ax, bx) - eps) & (x <= F.greatest(ax, bx) + eps)
+        & (y >= F.least(ay, by) - eps) & (y <= F.greatest(ay, by) + eps) & close
     )
-    return F.when(length == 0, F.hypot(x - ax, y - ay) < eps).otherwise(near)
 
 
 def edge_crosses_ray(x, y, ax, ay, bx, by) -> Column:
@@ -204,32 +207,61 @@ def path_edges(points) -> Column:
     )
 
 
+EDGE = "struct<ax:double,ay:double,bx:double,by:double>"
+
+
+def flat_edges(ring) -> Column:
+    """Cyclic edges as ARRAY<STRUCT<ax, ay, bx, by>>, empty below three points.
+
+    Compute it once per feature, before a join multiplies the features.
+    """
+    ring = col(ring)
+    edges = F.transform(ring_edges(ring), lambda e: F.struct(
+        e["b"]["x"].alias("ax"), e["b"]["y"].alias("ay"),
+        e["a"]["x"].alias("bx"), e["a"]["y"].alias("by")))
+    return F.when(F.size(ring) >= 3, edges).otherwise(F.array().cast(f"array<{EDGE}>"))
+
+
+def point_in_edges(x, y, edges) -> Column:
+    """Even-odd test over flat edges in one pass; 2 marks a point on an edge."""
+    x, y = col(x), col(y)
+    state = F.aggregate(
+        col(edges), F.lit(0),
+        lambda acc, e: F.when(acc == 2, acc)
+        .when(on_segment(x, y, e["ax"], e["ay"], e["bx"], e["by"]), 2)
+        .when(edge_crosses_ray(x, y, e["ax"], e["ay"], e["bx"], e["by"]), 1 - acc)
+        .otherwise(acc),
+    )
+    return state > 0
+
+
 def point_in_ring(x, y, ring) -> Column:
     """Even-odd test; points within 1e-10 of an edge count as inside."""
-    x, y, ring = col(x), col(y), col(ring)
-    edges = ring_edges(ring)
-    on_edge = F.exists(
-        edges, lambda e: on_segment(x, y, e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"])
-    )
-    inside = F.aggregate(
-        edges, F.lit(False),
-        lambda acc, e: acc != edge_crosses_ray(
-            x, y, e["b"]["x"], e["b"]["y"], e["a"]["x"], e["a"]["y"]),
-    )
-    return F.when(F.size(ring) >= 3, on_edge | inside).otherwise(F.lit(False))
+    return point_in_edges(x, y, flat_edges(ring))
+
+
+def point_in_polygon_edges(x, y, outer_edges, hole_edges) -> Column:
+    """Inside the outer edges and in no hole; a hole's edge belongs to the hole."""
+    x, y = col(x), col(y)
+    in_hole = F.exists(col(hole_edges), lambda h: point_in_edges(x, y, h))
+    return point_in_edges(x, y, outer_edges) & ~in_hole
+
+
+def no_holes() -> Column:
+    return F.array().cast("array<array<struct<x:double,y:double>>>")
+
+
+def hole_edges(holes) -> Column:
+    return F.transform(F.coalesce(col(holes), no_holes()), flat_edges)
 
 
 def point_in_polygon(x, y, polygon, holes) -> Column:
-    """Inside the outer ring and in no hole; a hole's edge belongs to the hole."""
-    holes = F.coalesce(col(holes), F.array().cast("array<array<struct<x:double,y:double>>>"))
-    in_hole = F.exists(holes, lambda h: point_in_ring(x, y, h))
-    return point_in_ring(x, y, polygon) & ~in_hole
+    return point_in_polygon_edges(x, y, flat_edges(polygon), hole_edges(holes))
 
 
 def rings_meet_box(polygon, holes, box) -> Column:
     """Any edge of any ring, holes included, meets the box."""
-    rings = F.concat(F.array(col(polygon)), F.coalesce(
-        col(holes), F.array().cast("array<array<struct<x:double,y:double>>>")))
+    rings = F.concat(F.array(col(polygon)), F.coalesce(col(holes), no_holes()))
     box = col(box)
     return F.exists(rings, lambda r: F.exists(
         path_edges(r),

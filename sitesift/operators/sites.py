@@ -13,42 +13,60 @@ from sitesift.operators import grid
 BOX = ("_west", "_south", "_east", "_north")
 
 
-def with_box(features: DataFrame, outer_only: bool = False) -> DataFrame:
-    """Add the feature's bounds as columns; they follow from its own vertices."""
+def with_box(
+    features: DataFrame, outer_only: bool = False, stored: Sequence[str] | None = None
+) -> DataFrame:
+    """Add the feature's bounds as columns.
+
+    ``stored`` names bounds kept with the table (west, south, east, north), as
+    ``write_feature_tiles`` leaves them; otherwise they follow from the vertices.
+    """
+    if stored:
+        boxed = features
+        for name, column in zip(BOX, stored):
+            boxed = boxed.withColumn(name, F.col(column))
+        return boxed
     box = G.geometry_bounds("polygon", None if outer_only else F.col("holes"))
     boxed = features.withColumn("_box", box)
-    for name in ("west", "south", "east", "north"):
-        boxed = boxed.withColumn(f"_{name}", F.col("_box")[name])
+    for name in BOX:
+        boxed = boxed.withColumn(name, F.col("_box")[name[1:]])
     return boxed.drop("_box").where(F.col("_west").isNotNull())
 
 
-def _vertex_bytes() -> Column:
-    return (F.size("polygon") + F.size(F.flatten(F.coalesce(
-        F.col("holes"), F.array().cast("array<array<struct<x:double,y:double>>>"))))) * 24
+def _edge_bytes() -> Column:
+    vertices = F.size("polygon") + F.size(F.flatten(F.coalesce(F.col("holes"), G.no_holes())))
+    return vertices * 48
 
 
 def site_hits(
-    sites: DataFrame, features: DataFrame, keys: Sequence[str] = (), lat: str = "lat",
-    lng: str = "lng", profile: grid.GridProfile | None = None,
+    sites: DataFrame, features: DataFrame, attrs: Sequence[str] = (), keys: Sequence[str] = (),
+    lat: str = "lat", lng: str = "lng", profile: grid.GridProfile | None = None,
+    stored_box: Sequence[str] | None = None,
 ) -> DataFrame:
     """Every (site, feature) where the polygon holds the site, holes excluded.
 
-    The box is widened by the edge tolerance, so that a point that lies on an
-    edge within rounding is not lost to the box test.
+    Returns the site columns, feature_seq and ``attrs``. The box is widened by
+    the edge tolerance, so that a point that lies on an edge within rounding
+    is not lost to the box test. Edges are laid out once per feature, before
+    the join.
     """
-    boxed = with_box(features, outer_only=True)
+    boxed = with_box(features, True, stored_box)
     if profile is None:
-        profile = grid.profile_boxes(boxed, BOX, _vertex_bytes())
+        profile = grid.profile_boxes(boxed, BOX, _edge_bytes())
+    shaped = boxed.select(
+        "feature_seq", *attrs, *keys, *BOX, G.flat_edges("polygon").alias("_outer"),
+        G.hole_edges("holes").alias("_inner"))
     located = sites.where(G.valid_location(lat, lng))
     near = grid.points_in_boxes(
-        located, boxed, lng, lat, BOX, keys, profile, pad=G.EDGE_TOLERANCE)
-    return near.where(G.point_in_polygon(lng, lat, "polygon", "holes")).drop(*BOX)
+        located, shaped, lng, lat, BOX, keys, profile, pad=G.EDGE_TOLERANCE)
+    held = near.where(G.point_in_polygon_edges(lng, lat, "_outer", "_inner"))
+    return held.drop(*BOX, "_outer", "_inner")
 
 
 def site_unit(
     sites: DataFrame, features: DataFrame, attrs: Sequence[str] = ("unit_code", "name"),
     site_key: str = "site_id", keys: Sequence[str] = (), lat: str = "lat", lng: str = "lng",
-    profile: grid.GridProfile | None = None,
+    profile: grid.GridProfile | None = None, stored_box: Sequence[str] | None = None,
 ) -> DataFrame:
     """Each site with the first feature in source order that holds it, else nulls.
 
@@ -56,7 +74,7 @@ def site_unit(
     Polygons are dropped before the second.
     """
     slim = sites.select(site_key, *keys, lat, lng)
-    hits = site_hits(slim, features, keys, lat, lng, profile)
+    hits = site_hits(slim, features, attrs, keys, lat, lng, profile, stored_box)
     first = hits.groupBy(site_key, *keys).agg(
         F.min(F.struct("feature_seq", *attrs)).alias("_unit"))
     joined = sites.join(first, [site_key, *keys], "left")
@@ -66,8 +84,7 @@ def site_unit(
 
 def feature_edges(features: DataFrame) -> DataFrame:
     """Edges table: feature_seq, ring_no (0 outer), x1, y1, x2, y2."""
-    rings = F.concat(F.array("polygon"), F.coalesce(
-        F.col("holes"), F.array().cast("array<array<struct<x:double,y:double>>>")))
+    rings = F.concat(F.array("polygon"), F.coalesce(F.col("holes"), G.no_holes()))
     return (
         features.select("feature_seq", F.posexplode(rings).alias("ring_no", "_ring"))
         .select("feature_seq", "ring_no", F.size("_ring").alias("ring_size"),
@@ -81,13 +98,14 @@ def feature_edges(features: DataFrame) -> DataFrame:
 def site_hits_by_edges(
     sites: DataFrame, features: DataFrame, site_key: str = "site_id",
     lat: str = "lat", lng: str = "lng", profile: grid.GridProfile | None = None,
+    stored_box: Sequence[str] | None = None,
 ) -> DataFrame:
     """(site, feature_seq) like ``site_hits``, from exploded edges.
 
     For rings of many vertices: code-generated, and a feature with many sites
     is split by adaptive execution, since the join key is the feature.
     """
-    boxed = with_box(features, outer_only=True).select("feature_seq", *BOX)
+    boxed = with_box(features, True, stored_box).select("feature_seq", *BOX)
     located = sites.select(site_key, lat, lng).where(G.valid_location(lat, lng))
     near = grid.points_in_boxes(
         located, boxed, lng, lat, BOX, profile=profile, pad=G.EDGE_TOLERANCE)
@@ -109,7 +127,7 @@ def site_hits_by_edges(
 
 def visible_features(
     views: DataFrame, features: DataFrame, view_key: str = "view_id", bounds: str = "bounds",
-    keys: Sequence[str] = (),
+    keys: Sequence[str] = (), stored_box: Sequence[str] | None = None,
 ) -> DataFrame:
     """(view, feature) pairs where the polygon shows inside the view's box.
 
@@ -121,12 +139,20 @@ def visible_features(
     framed = views.select(view_key, *keys, F.coalesce(F.col(bounds), world).alias("_view"))
     for name in ("west", "south", "east", "north"):
         framed = framed.withColumn(f"_v{name}", F.col("_view")[name])
-    boxed = with_box(features, outer_only=True)
+    boxed = with_box(features, True, stored_box)
+    shaped = (
+        boxed.withColumn("_outer", G.flat_edges("polygon"))
+        .withColumn("_inner", G.hole_edges("holes"))
+    )
     near = grid.box_pairs(
-        framed, boxed, ("_vwest", "_vsouth", "_veast", "_vnorth"), BOX, keys)
-    shown = G.rings_meet_box("polygon", "holes", "_view") | G.box_corner_in_polygon(
-        F.col("_view"), "polygon", "holes")
-    return near.where(shown).select(view_key, *features.columns)
+        framed, shaped, ("_vwest", "_vsouth", "_veast", "_vnorth"), BOX, keys)
+    view = F.col("_view")
+    corner = F.lit(False)
+    for x, y in (("west", "south"), ("east", "south"), ("east", "north"), ("west", "north")):
+        corner = corner | G.point_in_polygon_edges(view[x], view[y], "_outer", "_inner")
+    crossed = F.exists(F.concat(F.array("_outer"), F.col("_inner")), lambda ring: F.exists(
+        ring, lambda e: G.segment_meets_box(e["bx"], e["by"], e["ax"], e["ay"], view)))
+    return near.where(crossed | corner).select(view_key, *features.columns)
 
 
 def unit_key(code="unit_code", name="name") -> Column:
@@ -145,13 +171,15 @@ def unit_sort_keys(key) -> list[Column]:
 def visible_units(
     views: DataFrame, features: DataFrame, attrs: Sequence[str] = ("unit_code", "name"),
     view_key: str = "view_id", bounds: str = "bounds",
+    stored_box: Sequence[str] | None = None,
 ) -> DataFrame:
     """Distinct units per view; of features sharing a key the last one stands.
 
     The aggregate is a plain maximum of the sequence number (hash, combined
     before the shuffle); attributes follow by a join on the feature.
     """
-    seen = visible_features(views, features, view_key, bounds).select(
+    seen = visible_features(
+        views, features, view_key, bounds, stored_box=stored_box).select(
         view_key, "feature_seq", unit_key().alias("unit_key"))
     last = seen.groupBy(view_key, "unit_key").agg(F.max("feature_seq").alias("feature_seq"))
     return last.join(features.select("feature_seq", *attrs), "feature_seq")
@@ -172,16 +200,17 @@ def unit_counts(features: DataFrame, dataset: str = "dataset_id", doc: str = "do
 
 def unit_coverage(
     views: DataFrame, features: DataFrame, view_key: str = "view_id", bounds: str = "bounds",
+    stored_box: Sequence[str] | None = None,
 ) -> DataFrame:
     """Area of the visible features per view and unit, with a subtotal per view.
 
     ``share`` is the unit's part of its view's total. Holes are subtracted.
     """
     area = F.abs(G.ring_area("polygon")) - F.aggregate(
-        F.coalesce(F.col("holes"), F.array().cast("array<array<struct<x:double,y:double>>>")),
-        F.lit(0.0), lambda acc, h: acc + F.abs(G.ring_area(h)))
+        F.coalesce(F.col("holes"), G.no_holes()), F.lit(0.0), lambda acc, h: acc + F.abs(G.ring_area(h)))
     measured = features.withColumn("_area", area)
-    seen = visible_features(views, measured, view_key, bounds).select(
+    seen = visible_features(
+        views, measured, view_key, bounds, stored_box=stored_box).select(
         view_key, unit_key().alias("unit_key"), "_area")
     units = seen.groupBy(view_key, "unit_key").agg(
         F.sum("_area").alias("area"), F.count(F.lit(1)).alias("features"))

@@ -1,6 +1,6 @@
 """Loads every query module."""
 
-from sitesift.plans import site_queries  # noqa: F401
+from sitesift.plans import geometry_queries, site_queries  # noqa: F401
 from sitesift.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
