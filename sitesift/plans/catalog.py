@@ -1,6 +1,10 @@
 """Loads every query module."""
 
-from sitesift.plans import geometry_queries, site_queries  # noqa: F401
+from sitesift.plans import (  # noqa: F401
+    catalog_queries,
+    geometry_queries,
+    site_queries,
+)
 from sitesift.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

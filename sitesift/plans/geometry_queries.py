@@ -128,7 +128,7 @@ def point_in_convex(s: Source) -> DataFrame:
 
 
 @query("close_ring", """
-SELECT feature_seq, CASE WHEN feature_seq % 2 = 0 THEN 6 ELSE 6 END AS points, TRUE AS closed FROM b_features
+SELECT feature_seq, 6 AS points, TRUE AS closed FROM b_features
 """)
 def close_ring(s: Source) -> DataFrame:
     given = F.when(F.col("feature_seq") % 2 == 0, F.slice("polygon", 1, 5)).otherwise(F.col("polygon"))
@@ -176,7 +176,6 @@ FROM b_features f LEFT JOIN bad ON bad.ring_id = f.feature_seq
 def validate_rings(s: Source) -> DataFrame:
     # Every fifth ring ends on a far vertex, whose edge crosses nothing new.
     p = F.col("ring")
-    open_end = G.point(p[0]["x"], p[0]["y"] + 0.0)
     given = twisted(s).withColumn("ring", F.when(
         F.col("ring_id") % 5 == 0, F.concat(
             F.slice(p, 1, 5), F.array(G.point(p[0]["x"], p[0]["y"] + 0.03125)))).otherwise(p))
