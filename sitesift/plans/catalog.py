@@ -4,6 +4,7 @@ from sitesift.plans import (  # noqa: F401
     catalog_queries,
     geometry_queries,
     site_queries,
+    survey_queries,
 )
 from sitesift.plans.registry import ORACLES, QUERIES
 
