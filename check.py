@@ -70,8 +70,9 @@ def main() -> int:
             if not ok:
                 bad += 1
                 print("  spark", types, "\n  sql  ", dtypes)
-                extra = [r for r in got if r not in set(want)][:3] if len(got) < 20000 else []
-                missing = [r for r in want if r not in set(got)][:3] if len(got) < 20000 else []
+                wanted_rows, got_rows = set(want), set(got)
+                extra = [r for r in got if r not in wanted_rows][:3]
+                missing = [r for r in want if r not in got_rows][:3]
                 print("  only spark", extra, "\n  only sql  ", missing)
             pairs = dict(dtypes)
             for column, kind in types:

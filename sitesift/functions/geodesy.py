@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sitesift.functions.geometry import bounds, col, point, point_in_convex, valid_bounds
+from sitesift.functions.geometry import bounds, col, let, point, point_in_convex, valid_bounds
 
 # Radii, limits and the GRS80 ellipsoid of NAD83.
 MERCATOR_RADIUS = 6378137.0
@@ -96,29 +96,34 @@ KRUEGER_RADIUS, GRS80_E, KRUEGER_ALPHA = _krueger()
 def to_utm(lng, lat, zone) -> Column:
     """STRUCT<e, n, error>: NAD83 / UTM north by the Krueger series."""
     lng, lat, zone = col(lng), col(lat), col(zone)
-    central = zone * 6 - 183
     sin_lat = F.sin(lat * DEG)
     t = F.sinh(F.atanh(sin_lat) - F.atanh(sin_lat * GRS80_E) * GRS80_E)
-    dlng = (lng - central) * DEG
-    xi = F.atan2(t, F.cos(dlng))
-    eta = F.atanh(F.sin(dlng) / F.sqrt(t * t + 1))
-    east, north = eta, xi
-    for j, a in enumerate(KRUEGER_ALPHA, start=1):
-        east = east + F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j)) * a
-        north = north + F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j)) * a
-    e = east * (UTM_SCALE * KRUEGER_RADIUS) + 500000
-    n = north * (UTM_SCALE * KRUEGER_RADIUS)
-    error = (
-        F.when((lng <= -96) | (lng >= -72), "longitude-range")
-        .when((lat < 0) | (lat > 84), "latitude-range")
-        .when(zone.isNull() | ~zone.isin(15, 16, 17, 18), "zone")
-        .when((e < 100_000) | (e > 900_000), "easting-range")
-        .when((n < 0) | (n > 10_000_000), "northing-range")
-    )
-    return F.struct(
-        F.when(error.isNull(), e).alias("e"), F.when(error.isNull(), n).alias("n"),
-        error.alias("error"),
-    )
+    dlng = (lng - (zone * 6 - 183)) * DEG
+
+    def series(v: Column) -> Column:
+        xi, eta = v["x"], v["y"]
+        east, north = eta, xi
+        for j, a in enumerate(KRUEGER_ALPHA, start=1):
+            east = east + F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j)) * a
+            north = north + F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j)) * a
+        scale = UTM_SCALE * KRUEGER_RADIUS
+        return point(east * scale + 500000, north * scale)
+
+    def checked(p: Column) -> Column:
+        error = (
+            F.when((lng <= -96) | (lng >= -72), "longitude-range")
+            .when((lat < 0) | (lat > 84), "latitude-range")
+            .when(zone.isNull() | ~zone.isin(15, 16, 17, 18), "zone")
+            .when((p["x"] < 100_000) | (p["x"] > 900_000), "easting-range")
+            .when((p["y"] < 0) | (p["y"] > 10_000_000), "northing-range")
+        )
+        return F.struct(
+            F.when(error.isNull(), p["x"]).alias("e"), F.when(error.isNull(), p["y"]).alias("n"),
+            error.alias("error"))
+
+    sphere = let(t, lambda v: point(
+        F.atan2(v, F.cos(dlng)), F.atanh(F.sin(dlng) / F.sqrt(v * v + 1))))
+    return let(let(sphere, series), checked)
 
 
 def from_utm(e, n, zone) -> Column:
@@ -133,46 +138,56 @@ def from_utm(e, n, zone) -> Column:
         151 * e1**3 / 96, 1097 * e1**4 / 512,
     ]
     foot = mu
-    for j, c in enumerate(series, start=1):
-        foot = foot + F.sin(mu * (2 * j)) * c
-    sin, cos, tan = F.sin(foot), F.cos(foot), F.tan(foot)
-    curve = F.lit(1.0) - sin * sin * e2
-    prime = F.lit(GRS80_A) / F.sqrt(curve)
-    meridian = F.lit(GRS80_A * (1 - e2)) / F.pow(curve, F.lit(1.5))
-    t, c = tan * tan, cos * cos * second
-    d = (e - 500_000) / (prime * UTM_SCALE)
-    d2 = d * d
-    lat = foot - prime * tan / meridian * d2 * (
-        F.lit(0.5)
-        - (t * 3 + c * 10 - c * c * 4 + 5 - 9 * second) * d2 / 24
-        + (t * 90 + c * 298 + t * t * 45 - c * c * 3 + 61 - 252 * second) * d2 * d2 / 720
-    )
-    lng = (zone * 6 - 183) * DEG + d * (
-        F.lit(1.0) - (t * 2 + c + 1) * d2 / 6
-        + (t * 28 - c * 2 - c * c * 3 + t * t * 24 + 5 + 8 * second) * d2 * d2 / 120
-    ) / cos
-    lng, lat = lng / DEG, lat / DEG
-    west, east = zone * 6 - 186, zone * 6 - 180
-    error = (
-        F.when((e < 100_000) | (e > 900_000) | (n < 0) | (n > 10_000_000), "range")
-        .when((lng < west - 1e-8) | (lng > east + 1e-8) | (lat < 0) | (lat > 84), "outside-zone")
-    )
-    return F.struct(
-        F.when(error.isNull(), lng).alias("lng"), F.when(error.isNull(), lat).alias("lat"),
-        error.alias("error"),
-    )
+    for j, k in enumerate(series, start=1):
+        foot = foot + F.sin(mu * (2 * j)) * k
+
+    def radii(f: Column) -> Column:
+        curve = F.lit(1.0) - F.sin(f) * F.sin(f) * e2
+        prime = F.lit(GRS80_A) / F.sqrt(curve)
+        return F.struct(
+            f.alias("f"), prime.alias("prime"),
+            (F.lit(GRS80_A * (1 - e2)) / F.pow(curve, F.lit(1.5))).alias("meridian"),
+            (F.tan(f) * F.tan(f)).alias("t"), (F.cos(f) * F.cos(f) * second).alias("c"),
+            ((e - 500_000) / (prime * UTM_SCALE)).alias("d"))
+
+    def place(v: Column) -> Column:
+        f, t, c, d = v["f"], v["t"], v["c"], v["d"]
+        d2 = d * d
+        lat = f - v["prime"] * F.tan(f) / v["meridian"] * d2 * (
+            F.lit(0.5)
+            - (t * 3 + c * 10 - c * c * 4 + 5 - 9 * second) * d2 / 24
+            + (t * 90 + c * 298 + t * t * 45 - c * c * 3 + 61 - 252 * second) * d2 * d2 / 720)
+        lng = (zone * 6 - 183) * DEG + d * (
+            F.lit(1.0) - (t * 2 + c + 1) * d2 / 6
+            + (t * 28 - c * 2 - c * c * 3 + t * t * 24 + 5 + 8 * second) * d2 * d2 / 120
+        ) / F.cos(f)
+        return point(lng / DEG, lat / DEG)
+
+    def checked(p: Column) -> Column:
+        lng, lat = p["x"], p["y"]
+        error = (
+            F.when((e < 100_000) | (e > 900_000) | (n < 0) | (n > 10_000_000), "range")
+            .when((lng < zone * 6 - 186 - 1e-8) | (lng > zone * 6 - 180 + 1e-8)
+                  | (lat < 0) | (lat > 84), "outside-zone"))
+        return F.struct(
+            F.when(error.isNull(), lng).alias("lng"), F.when(error.isNull(), lat).alias("lat"),
+            error.alias("error"))
+
+    return let(let(let(foot, radii), place), checked)
 
 
 def project_ring(ring, zone) -> Column:
     """Every vertex in UTM; null as soon as one vertex cannot be projected."""
     zone = col(zone)
-    projected = F.transform(col(ring), lambda p: to_utm(p["x"], p["y"], zone))
-    failed = F.exists(projected, lambda p: p["error"].isNotNull())
-    vertices = F.transform(projected, lambda p: point(p["e"], p["n"]))
-    closed = F.concat(
-        F.slice(vertices, 1, F.greatest(F.size(vertices) - 1, F.lit(0))), F.slice(vertices, 1, 1)
-    )
-    return F.when(~failed & (F.size(vertices) > 0), closed)
+
+    def closed(projected: Column) -> Column:
+        vertices = F.transform(projected, lambda p: point(p["e"], p["n"]))
+        inner = F.slice(vertices, 1, F.greatest(F.size(vertices) - 1, F.lit(0)))
+        failed = F.exists(projected, lambda p: p["error"].isNotNull())
+        return F.when(
+            ~failed & (F.size(vertices) > 0), F.concat(inner, F.slice(vertices, 1, 1)))
+
+    return let(F.transform(col(ring), lambda p: to_utm(p["x"], p["y"], zone)), closed)
 
 
 # -- sheets -----------------------------------------------------------------
@@ -202,22 +217,28 @@ def ground_height(b) -> Column:
 def metric_scale(b, pixel_width, max_pixel_width=160) -> Column:
     """Largest 1-2-5-10 distance within the pixel share, with its label."""
     px, limit = col(pixel_width).cast("double"), col(max_pixel_width).cast("double")
-    width = ground_width(b)
-    maximum = width * F.least(limit, px) / px
-    power = F.pow(F.lit(10.0), F.floor(F.log10(maximum)))
-    steps = F.filter(F.array(power, power * 2, power * 5, power * 10), lambda d: d <= maximum)
-    distance = F.coalesce(F.array_max(steps), power / 2)
-    shown = F.when(distance >= 1000, distance / 1000).otherwise(distance)
-    whole = shown == F.floor(shown)
-    label = F.concat(
-        F.when(whole, shown.cast("bigint").cast("string")).otherwise(shown.cast("string")),
-        F.when(distance >= 1000, F.lit(" km")).otherwise(F.lit(" m")),
-    )
-    return F.when((width > 0) & (px > 0) & (limit > 0), F.struct(
-        width.alias("ground_width"), distance.alias("distance_m"),
-        (distance / width * px).alias("pixel_width"), label.alias("label"),
-        F.lit(4).alias("segments"), (distance / 4).alias("segment_m"),
-    ))
+
+    def measured(width: Column) -> Column:
+        maximum = width * F.least(limit, px) / px
+        power = F.pow(F.lit(10.0), F.floor(F.log10(maximum)))
+        steps = F.array(power, power * 2, power * 5, power * 10)
+        distance = F.coalesce(F.array_max(F.filter(steps, lambda d: d <= maximum)), power / 2)
+        return F.struct(width.alias("w"), distance.alias("d"))
+
+    def labelled(v: Column) -> Column:
+        distance = v["d"]
+        shown = F.when(distance >= 1000, distance / 1000).otherwise(distance)
+        number = F.when(shown == F.floor(shown), shown.cast("bigint").cast("string")).otherwise(
+            shown.cast("string"))
+        unit = F.when(distance >= 1000, F.lit(" km")).otherwise(F.lit(" m"))
+        return F.struct(
+            v["w"].alias("ground_width"), distance.alias("distance_m"),
+            (distance / v["w"] * px).alias("pixel_width"), F.concat(number, unit).alias("label"),
+            F.lit(4).alias("segments"), (distance / 4).alias("segment_m"))
+
+    usable = (px > 0) & (limit > 0)
+    return let(ground_width(b), lambda width: F.when(
+        usable & (width > 0), let(measured(width), labelled)))
 
 
 def _pixels(mm: float, dpi: Column) -> Column:
@@ -231,28 +252,35 @@ def sheet_geometry(b, dpi=300) -> Column:
     """
     b, dpi = col(b), col(dpi)
     aspect = SHEET_WIDTH_MM / SHEET_HEIGHT_MM
-    west, east = b["west"] * (MERCATOR_RADIUS * DEG), b["east"] * (MERCATOR_RADIUS * DEG)
-    south, north = _mercator_y(b["south"]), _mercator_y(b["north"])
-    cx, cy = (west + east) / 2, (south + north) / 2
-    height = F.greatest(north - south, (east - west) / aspect)
-    width = height * aspect
-    projected = bounds(cx - width / 2, cy - height / 2, cx + width / 2, cy + height / 2)
-    grown = bounds(
-        projected["west"] / (MERCATOR_RADIUS * DEG), _inverse_mercator_lat(projected["south"]),
-        projected["east"] / (MERCATOR_RADIUS * DEG), _inverse_mercator_lat(projected["north"]),
-    )
+    projected_box = bounds(
+        b["west"] * (MERCATOR_RADIUS * DEG), _mercator_y(b["south"]),
+        b["east"] * (MERCATOR_RADIUS * DEG), _mercator_y(b["north"]))
     w, h = _pixels(SHEET_WIDTH_MM, dpi), _pixels(SHEET_HEIGHT_MM, dpi)
-    error = (
-        F.when(~dpi.isin(150, 300) | (w.cast("bigint") * h > MAX_RASTER_PIXELS), "dpi")
-        .when(~valid_bounds(b), "bounds")
-        .when((grown["west"] < -180) | (grown["east"] > 180)
-              | (grown["south"] < -85) | (grown["north"] > 85), "mercator-limit")
-    )
-    return F.struct(
-        F.when(error.isNull(), grown).alias("bounds"),
-        F.when(error.isNull(), projected).alias("projected"),
-        w.alias("raster_width"), h.alias("raster_height"), error.alias("error"),
-    )
+
+    def grow(p: Column) -> Column:
+        height = F.greatest(p["north"] - p["south"], (p["east"] - p["west"]) / aspect)
+        cx, cy = (p["west"] + p["east"]) / 2, (p["south"] + p["north"]) / 2
+        return bounds(cx - height * (aspect / 2), cy - height / 2,
+                      cx + height * (aspect / 2), cy + height / 2)
+
+    def unprojected(p: Column) -> Column:
+        return F.struct(p.alias("projected"), bounds(
+            p["west"] / (MERCATOR_RADIUS * DEG), _inverse_mercator_lat(p["south"]),
+            p["east"] / (MERCATOR_RADIUS * DEG), _inverse_mercator_lat(p["north"])).alias("grown"))
+
+    def checked(v: Column) -> Column:
+        grown = v["grown"]
+        error = (
+            F.when(~dpi.isin(150, 300) | (w.cast("bigint") * h > MAX_RASTER_PIXELS), "dpi")
+            .when(~valid_bounds(b), "bounds")
+            .when((grown["west"] < -180) | (grown["east"] > 180)
+                  | (grown["south"] < -85) | (grown["north"] > 85), "mercator-limit"))
+        return F.struct(
+            F.when(error.isNull(), grown).alias("bounds"),
+            F.when(error.isNull(), v["projected"]).alias("projected"),
+            w.alias("raster_width"), h.alias("raster_height"), error.alias("error"))
+
+    return let(let(let(projected_box, grow), unprojected), checked)
 
 
 def historical_sheet_geometry(b, dpi=300) -> Column:
@@ -274,11 +302,9 @@ def historical_sheet_geometry(b, dpi=300) -> Column:
 
 def fit_saved_view(b, lat, lng) -> Column:
     """Sheet bounds holding a valid view, and its ground height rounded up."""
-    sheet = sheet_geometry(b, 150)
-    fitted = F.when(valid_bounds(b, lat, lng), sheet["bounds"])
-    return F.struct(
-        fitted.alias("bounds"), F.ceil(ground_height(fitted)).cast("bigint").alias("extent_m")
-    )
+    fitted = F.when(valid_bounds(b, lat, lng), sheet_geometry(b, 150)["bounds"])
+    return let(fitted, lambda v: F.struct(
+        v.alias("bounds"), F.ceil(ground_height(v)).cast("bigint").alias("extent_m")))
 
 
 def map_pixel(lng, lat, sheet) -> Column:
@@ -458,35 +484,48 @@ def placement_from_georef(crs, coeffs, width, height) -> Column:
     """
     crs, g = col(crs), col(coeffs)
     w, h = col(width).cast("double"), col(height).cast("double")
-
-    def ground(column: Column, row: Column) -> Column:
-        return _native_to_mercator(
-            crs, g[0] * column + g[2] * row + g[4], g[1] * column + g[3] * row + g[5])
-
     half = F.lit(-0.5)
-    corners = F.array(
-        ground(half, half), ground(w - 0.5, half), ground(w - 0.5, h - 0.5), ground(half, h - 0.5))
-    c = [corners[i] for i in range(4)]
-    top, bottom, left, right = (
-        _distance(c[1], c[0]), _distance(c[2], c[3]), _distance(c[3], c[0]), _distance(c[2], c[1]))
-    ground_w, ground_h = (top + bottom) / 2, (left + right) / 2
-    tx, ty = c[1]["x"] - c[0]["x"], c[1]["y"] - c[0]["y"]
-    lx, ly = c[3]["x"] - c[0]["x"], c[3]["y"] - c[0]["y"]
-    skew = F.abs((tx * lx + ty * ly) / (top * left))
-    built = placement(
-        (c[0]["x"] + c[1]["x"] + c[2]["x"] + c[3]["x"]) / 4,
-        (c[0]["y"] + c[1]["y"] + c[2]["y"] + c[3]["y"]) / 4,
-        ground_w, ground_h, width, height, F.atan2(-ty, tx) / DEG,
-    )
-    fitted = placement_corners(built)
-    misfit = F.greatest(*[_distance(fitted[i], c[i]) for i in range(4)])
-    ok = (
-        (top > 0) & (bottom > 0) & (left > 0) & (right > 0) & (skew <= 0.02)
-        & (F.abs(top - bottom) / ground_w <= 0.02) & (F.abs(left - right) / ground_h <= 0.02)
-        & (misfit <= F.greatest(ground_w, ground_h) * 0.02) & valid_placement(built)
-    )
-    usable = ~F.exists(corners, lambda p: p.isNull()) & (F.size(g) == 6)
-    return F.when(usable, F.when(ok, built))
+    pixels = F.array(point(half, half), point(w - 0.5, half), point(w - 0.5, h - 0.5),
+                     point(half, h - 0.5))
+    native = F.transform(pixels, lambda p: point(
+        g[0] * p["x"] + g[2] * p["y"] + g[4], g[1] * p["x"] + g[3] * p["y"] + g[5]))
+    projected = F.transform(native, lambda p: _native_to_mercator(crs, p["x"], p["y"]))
+
+    def sides(q: Column) -> Column:
+        c = [q[i] for i in range(4)]
+        return F.struct(
+            q.alias("c"), _distance(c[1], c[0]).alias("top"), _distance(c[2], c[3]).alias("bottom"),
+            _distance(c[3], c[0]).alias("left"), _distance(c[2], c[1]).alias("right"))
+
+    def build(v: Column) -> Column:
+        c = [v["c"][i] for i in range(4)]
+        tx, ty = c[1]["x"] - c[0]["x"], c[1]["y"] - c[0]["y"]
+        return F.struct(v.alias("v"), placement(
+            (c[0]["x"] + c[1]["x"] + c[2]["x"] + c[3]["x"]) / 4,
+            (c[0]["y"] + c[1]["y"] + c[2]["y"] + c[3]["y"]) / 4,
+            (v["top"] + v["bottom"]) / 2, (v["left"] + v["right"]) / 2, width, height,
+            F.atan2(-ty, tx) / DEG).alias("p"))
+
+    def checked(b: Column) -> Column:
+        v, p = b["v"], b["p"]
+        c = [v["c"][i] for i in range(4)]
+        tx, ty = c[1]["x"] - c[0]["x"], c[1]["y"] - c[0]["y"]
+        lx, ly = c[3]["x"] - c[0]["x"], c[3]["y"] - c[0]["y"]
+        misfit = let(placement_corners(p), lambda fitted: F.greatest(
+            *[_distance(fitted[i], c[i]) for i in range(4)]))
+        ok = (
+            (v["top"] > 0) & (v["bottom"] > 0) & (v["left"] > 0) & (v["right"] > 0)
+            & (F.abs((tx * lx + ty * ly) / (v["top"] * v["left"])) <= 0.02)
+            & (F.abs(v["top"] - v["bottom"]) / p["ground_width"] <= 0.02)
+            & (F.abs(v["left"] - v["right"]) / p["ground_height"] <= 0.02)
+            & (misfit <= F.greatest(p["ground_width"], p["ground_height"]) * 0.02)
+            & valid_placement(p))
+        return F.when(ok, p)
+
+    usable = F.size(g) == 6
+    fitted = let(projected, lambda q: F.when(
+        ~F.exists(q, lambda p: p.isNull()), let(let(sides(q), build), checked)))
+    return F.when(usable, fitted)
 
 
 def crop_for_placement(p, lat, lng) -> Column:
@@ -510,11 +549,14 @@ def crop_for_placement(p, lat, lng) -> Column:
                 (local_x, ux, p["ground_width"] / 2), (local_y, uy, p["ground_height"] / 2)):
                 limits.append(F.when(step > 0, (half - offset) / step)
                               .when(step < 0, (half + offset) / -step))
-    half_width = F.least(*limits)
-    half_height = half_width / CROP_RATIO
-    sw = inv_web_mercator(site["x"] - half_width, site["y"] - half_height)
-    ne = inv_web_mercator(site["x"] + half_width, site["y"] + half_height)
-    return F.when(half_width >= 0.05, bounds(sw["x"], sw["y"], ne["x"], ne["y"]))
+
+    def box(half_width: Column) -> Column:
+        half_height = half_width / CROP_RATIO
+        sw = inv_web_mercator(site["x"] - half_width, site["y"] - half_height)
+        ne = inv_web_mercator(site["x"] + half_width, site["y"] + half_height)
+        return F.when(half_width >= 0.05, bounds(sw["x"], sw["y"], ne["x"], ne["y"]))
+
+    return let(F.least(*limits), box)
 
 
 # -- world files and CAD frames ---------------------------------------------
@@ -522,42 +564,49 @@ def crop_for_placement(p, lat, lng) -> Column:
 
 def signif(x, digits: int = 12) -> Column:
     """Round to significant digits; zero has no sign."""
-    x = col(x).cast("double")
-    magnitude = F.floor(F.log10(F.abs(x)))
-    scale = F.pow(F.lit(10.0), F.abs(F.lit(digits - 1) - magnitude))
-    small = F.rint(x * scale) / scale
-    large = F.rint(x / scale) * scale
-    return F.when(x == 0, F.lit(0.0)).otherwise(
-        F.when(magnitude <= digits - 1, small).otherwise(large))
-
-
-def _well_conditioned(a: Column, d: Column, b: Column, e: Column) -> Column:
-    scale = F.greatest(F.abs(a), F.abs(d), F.abs(b), F.abs(e))
-    a, d, b, e = a / scale, d / scale, b / scale, e / scale
-    det = a * e - b * d
-    norm = a * a + d * d + b * b + e * e
-    largest = (norm + F.sqrt(F.greatest(norm * norm - det * det * 4, F.lit(0.0)))) / 2
-    return F.coalesce(
-        F.when(scale > 0, F.abs(det) / largest > 1e-12), F.lit(False))
+
+    def rounded(v: Column) -> Column:
+        shift = F.lit(digits - 1) - F.floor(F.log10(F.abs(v)))
+        scale = F.pow(F.lit(10.0), F.abs(shift))
+        return F.when(shift >= 0, F.round(v * scale) / scale).otherwise(F.round(v / scale) * scale)
+
+    return let(col(x).cast("double"), lambda v: F.when(v == 0, F.lit(0.0)).otherwise(rounded(v)))
+
+
+def _well_conditioned(k: Column) -> Column:
+    """Singular-value ratio of [A, D, B, E] above 1e-12."""
+
+    def ratio(v: Column) -> Column:
+        det = F.abs(v[0] * v[3] - v[2] * v[1])
+        norm = v[0] * v[0] + v[1] * v[1] + v[2] * v[2] + v[3] * v[3]
+        largest = (norm + F.sqrt(F.greatest(norm * norm - det * det * 4, F.lit(0.0)))) / 2
+        return det / largest > 1e-12
+
+    scale = F.greatest(F.abs(k[0]), F.abs(k[1]), F.abs(k[2]), F.abs(k[3]))
+    scaled = F.array(*[k[i] / scale for i in range(4)])
+    return F.coalesce(F.when(scale > 0, let(scaled, ratio)), F.lit(False))
 
 
 def world_file(ul, ur, ll, width, height) -> Column:
     """[A, D, B, E, C, F] of the first pixel's centre, 12 digits; null if degenerate."""
     ul, ur, ll = col(ul), col(ur), col(ll)
     w, h = col(width).cast("double"), col(height).cast("double")
-    a, d = (ur["x"] - ul["x"]) / w, (ur["y"] - ul["y"]) / w
-    b, e = (ll["x"] - ul["x"]) / h, (ll["y"] - ul["y"]) / h
-    values = [a, d, b, e, ul["x"] + (a + b) / 2, ul["y"] + (d + e) / 2]
-    ok = (w > 0) & (h > 0)
-    return F.when(ok, F.when(
-        _well_conditioned(a, d, b, e), F.array(*[signif(v) for v in values])))
+    linear = F.array(
+        (ur["x"] - ul["x"]) / w, (ur["y"] - ul["y"]) / w,
+        (ll["x"] - ul["x"]) / h, (ll["y"] - ul["y"]) / h)
+
+    def complete(k: Column) -> Column:
+        values = [k[0], k[1], k[2], k[3], ul["x"] + (k[0] + k[2]) / 2, ul["y"] + (k[1] + k[3]) / 2]
+        return F.when(_well_conditioned(k), F.transform(F.array(*values), lambda v: signif(v)))
+
+    return F.when((w > 0) & (h > 0), let(linear, complete))
 
 
 def pixel_to_ground(px, py, coeffs) -> Column:
     """Ground point of a pixel by world-file coefficients."""
-    k, px, py = col(coeffs), col(px), col(py)
-    mapped = point(k[0] * px + k[2] * py + k[4], k[1] * px + k[3] * py + k[5])
-    return F.when(_well_conditioned(k[0], k[1], k[2], k[3]), mapped)
+    px, py = col(px), col(py)
+    return let(col(coeffs), lambda k: F.when(_well_conditioned(k), point(
+        k[0] * px + k[2] * py + k[4], k[1] * px + k[3] * py + k[5])))
 
 
 def similarity_fit(controls, width, height) -> Column:
@@ -567,37 +616,52 @@ def similarity_fit(controls, width, height) -> Column:
     whether the residual is within max(2 m, 0.15 % of the diagonal).
     """
     grid = 100_000
-    q = col(controls)
     w, h = col(width).cast("double"), col(height).cast("double")
-    c = [q[i] for i in range(4)]
-    cx = (c[0]["x"] + c[1]["x"] + c[2]["x"] + c[3]["x"]) / 4
-    cy = (c[0]["y"] + c[1]["y"] + c[2]["y"] + c[3]["y"]) / 4
-    den = col_num = row_num = F.lit(0.0)
-    for i, (su, sv) in enumerate(((-1, -1), (1, -1), (1, 1), (-1, 1))):
-        u, v = w * (su / 2), h * (sv / 2)
-        dx, dy = c[i]["x"] - cx, c[i]["y"] - cy
-        den = den + u * u + v * v
-        col_num = col_num + u * dx - v * dy
-        row_num = row_num + v * dx + u * dy
-    col_step = F.floor(col_num / den * grid + 0.5)
-    row_step = F.floor(row_num / den * grid + 0.5)
-    ul_x = F.floor((cx - col_step / grid * w / 2 - row_step / grid * h / 2) * grid + 0.5)
-    ul_y = F.floor((cy - row_step / grid * w / 2 + col_step / grid * h / 2) * grid + 0.5)
-    ur_x, ur_y = ul_x + col_step * w, ul_y + row_step * w
-    ll_x, ll_y = ul_x + row_step * h, ul_y - col_step * h
-    frame = F.array(*[point(x / grid, y / grid) for x, y in (
-        (ul_x, ul_y), (ur_x, ur_y), (ur_x + ll_x - ul_x, ur_y + ll_y - ul_y), (ll_x, ll_y))])
-    residual = F.greatest(*[
-        F.hypot(c[i]["x"] - frame[i]["x"], c[i]["y"] - frame[i]["y"]) for i in range(4)])
-    angle = F.atan2(frame[1]["y"] - frame[0]["y"], frame[1]["x"] - frame[0]["x"]) / DEG
-    rotation = signif(F.when(angle < 0, angle + 360).otherwise(angle))
-    diagonal = F.hypot(c[2]["x"] - c[0]["x"], c[2]["y"] - c[0]["y"])
-    tolerance = F.greatest(F.lit(2.0), diagonal * 0.0015)
-    usable = (den > 0) & ((col_step != 0) | (row_step != 0))
-    return F.when(usable, F.struct(
-        frame.alias("frame"), rotation.alias("rotation"), signif(residual).alias("residual_m"),
-        signif(tolerance).alias("tolerance_m"), (residual <= tolerance).alias("ok"),
-    ))
+
+    def steps(q: Column) -> Column:
+        c = [q[i] for i in range(4)]
+        cx = (c[0]["x"] + c[1]["x"] + c[2]["x"] + c[3]["x"]) / 4
+        cy = (c[0]["y"] + c[1]["y"] + c[2]["y"] + c[3]["y"]) / 4
+        across = down = F.lit(0.0)
+        for i, (su, sv) in enumerate(((-1, -1), (1, -1), (1, 1), (-1, 1))):
+            u, v = w * (su / 2), h * (sv / 2)
+            dx, dy = c[i]["x"] - cx, c[i]["y"] - cy
+            across = across + u * dx - v * dy
+            down = down + v * dx + u * dy
+        total = w * w + h * h
+        return F.struct(
+            q.alias("c"), cx.alias("cx"), cy.alias("cy"),
+            F.floor(across / total * grid + 0.5).cast("double").alias("col"),
+            F.floor(down / total * grid + 0.5).cast("double").alias("row"))
+
+    def origin(v: Column) -> Column:
+        x = v["cx"] - v["col"] / grid * w / 2 - v["row"] / grid * h / 2
+        y = v["cy"] - v["row"] / grid * w / 2 + v["col"] / grid * h / 2
+        return F.struct(
+            v.alias("v"), F.floor(x * grid + 0.5).cast("double").alias("x"),
+            F.floor(y * grid + 0.5).cast("double").alias("y"))
+
+    def framed(o: Column) -> Column:
+        c, r = o["v"]["col"], o["v"]["row"]
+        corners = [
+            (o["x"], o["y"]), (o["x"] + c * w, o["y"] + r * w),
+            (o["x"] + c * w + r * h, o["y"] + r * w - c * h), (o["x"] + r * h, o["y"] - c * h)]
+        return F.struct(o["v"].alias("v"), F.array(
+            *[point(x / grid, y / grid) for x, y in corners]).alias("frame"))
+
+    def judged(g: Column) -> Column:
+        c, frame = g["v"]["c"], g["frame"]
+        residual = F.greatest(*[_distance(c[i], frame[i]) for i in range(4)])
+        angle = F.atan2(frame[1]["y"] - frame[0]["y"], frame[1]["x"] - frame[0]["x"]) / DEG
+        turned = F.when(angle < 0, angle + 360).otherwise(angle)
+        tolerance = F.greatest(F.lit(2.0), _distance(c[2], c[0]) * 0.0015)
+        usable = (w > 0) & (h > 0) & ((g["v"]["col"] != 0) | (g["v"]["row"] != 0))
+        return F.when(usable, F.struct(
+            frame.alias("frame"), signif(turned).alias("rotation"),
+            signif(residual).alias("residual_m"), signif(tolerance).alias("tolerance_m"),
+            (residual <= tolerance).alias("ok")))
+
+    return let(let(let(let(col(controls), steps), origin), framed), judged)
 
 
 def extent_to_coverage(extent) -> Column:

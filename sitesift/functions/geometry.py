@@ -24,6 +24,15 @@ def col(value) -> Column:
     return F.lit(value)
 
 
+def let(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` evaluated once.
+
+    A Column is a tree: a value used many times is otherwise repeated in the
+    plan, and nesting multiplies the repeats.
+    """
+    return F.transform(F.array(value), fn)[0]
+
+
 def point(x, y) -> Column:
     return F.struct(col(x).cast("double").alias("x"), col(y).cast("double").alias("y"))
 

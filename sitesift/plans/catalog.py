@@ -2,6 +2,7 @@
 
 from sitesift.plans import (  # noqa: F401
     catalog_queries,
+    geodesy_queries,
     geometry_queries,
     site_queries,
     survey_queries,
