@@ -4,6 +4,7 @@ from sitesift.plans import (  # noqa: F401
     catalog_queries,
     geodesy_queries,
     geometry_queries,
+    record_queries,
     site_queries,
     survey_queries,
 )
