@@ -11,7 +11,7 @@ from sitesift.functions import geodesy as D
 from sitesift.functions import geometry as G
 from sitesift.functions import text as X
 from sitesift.operators.catalog import violations
-from sitesift.operators.numbering import number_rows
+from sitesift.operators.numbering import id_block, number_rows
 from sitesift.session import durable
 
 # Package limits in bytes and pixels, and media types by extension.
@@ -177,9 +177,10 @@ def allocate_filenames(
     named = items.select(
         group, key, X.slug(F.col(label)).alias("_stem"), extension.alias("_ext"), world.alias("_world"))
     keyed = named.withColumn("_key", F.lower("_stem"))
-    numbered = number_rows(
-        keyed, [group, "_key"], blocks or [F.substring(F.col(key).cast("string"), 1, 6)],
-        [F.col(key)], "_n")
+    if blocks is None:
+        text = dict(items.dtypes)[key] == "string"
+        blocks = [F.substring(key, 1, 6)] if text else [id_block(key)]
+    numbered = number_rows(keyed, [group, "_key"], blocks, [F.col(key)], "_n")
 
     def path(extra: str) -> Column:
         return F.concat(F.lit("images/"), F.col("_stem"), F.when(

@@ -7,6 +7,7 @@ from sitesift.plans import (  # noqa: F401
     record_queries,
     site_queries,
     survey_queries,
+    text_queries,
 )
 from sitesift.plans.registry import ORACLES, QUERIES
 

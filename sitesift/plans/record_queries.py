@@ -77,8 +77,8 @@ scalar("url_allowed", URLS, ["page_id"],
        lambda: {"ok": X.url_allowed("url"),
                 "in_roots": X.url_allowed("url", F.array(X.url_origin("url")), F.array(
                     F.concat(X.url_origin("url"), F.lit("/fr/")), F.concat(X.url_origin("url"), F.lit("/tile/"))), template=True)},
-       {"ok": "(url LIKE 'https://%' AND k NOT IN (1, 3, 4, 5))",
-        "in_roots": "(url LIKE 'https://%' AND k NOT IN (1, 3, 4, 5) AND "
+       {"ok": "(url LIKE 'https://%' AND strpos(url, '#') = 0 AND strpos(url, 'me@') = 0 AND strpos(url, '%252e') = 0 AND strpos(url, '%5c') = 0)",
+        "in_roots": "(url LIKE 'https://%' AND strpos(url, '#') = 0 AND strpos(url, 'me@') = 0 AND strpos(url, '%252e') = 0 AND strpos(url, '%5c') = 0 AND "
                     "(regexp_extract(url, '^https://[^/?#]+(/[^?#]*)', 1) LIKE '/fr/%' OR "
                     "regexp_extract(url, '^https://[^/?#]+(/[^?#]*)', 1) LIKE '/tile/%'))"})
 
