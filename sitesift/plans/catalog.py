@@ -5,7 +5,9 @@ from sitesift.plans import (  # noqa: F401
     geodesy_queries,
     geometry_queries,
     record_queries,
+    sink_queries,
     site_queries,
+    source_queries,
     survey_queries,
     text_queries,
 )
