@@ -8,6 +8,7 @@ from sitesift.plans import (  # noqa: F401
     sink_queries,
     site_queries,
     source_queries,
+    stream_queries,
     survey_queries,
     text_queries,
 )
