@@ -73,7 +73,9 @@ def site_unit(
     One shuffle on the cell (none for broadcast levels) and one on the site.
     Polygons are dropped before the second.
     """
-    slim = sites.select(site_key, *keys, lat, lng)
+    # Partitioned by site first: where the features are broadcast, the hits of a
+    # site stay together and need no shuffle of their own.
+    slim = sites.select(site_key, *keys, lat, lng).repartition(site_key, *keys)
     hits = site_hits(slim, features, attrs, keys, lat, lng, profile, stored_box)
     first = hits.groupBy(site_key, *keys).agg(
         F.min(F.struct("feature_seq", *attrs)).alias("_unit"))
@@ -136,7 +138,10 @@ def visible_features(
     whole world. Returns the view key, the extra keys and the feature columns.
     """
     world = G.bounds(-180.0, -90.0, 180.0, 90.0)
-    framed = views.select(view_key, *keys, F.coalesce(F.col(bounds), world).alias("_view"))
+    # Partitioned by view first: where Spark broadcasts the features, the pairs
+    # of a view stay together and grouping by view needs no shuffle of pairs.
+    framed = views.select(
+        view_key, *keys, F.coalesce(F.col(bounds), world).alias("_view")).repartition(view_key)
     for name in ("west", "south", "east", "north"):
         framed = framed.withColumn(f"_v{name}", F.col("_view")[name])
     boxed = with_box(features, True, stored_box)
@@ -150,9 +155,14 @@ def visible_features(
     corner = F.lit(False)
     for x, y in (("west", "south"), ("east", "south"), ("east", "north"), ("west", "north")):
         corner = corner | G.point_in_polygon_edges(view[x], view[y], "_outer", "_inner")
-    crossed = F.exists(F.concat(F.array("_outer"), F.col("_inner")), lambda ring: F.exists(
+    rings = F.concat(F.array("_outer"), F.col("_inner"))
+    # A vertex in the view settles most pairs without clipping any edge.
+    vertex = F.exists("_outer", lambda e: (
+        (e["ax"] >= view["west"]) & (e["ax"] <= view["east"])
+        & (e["ay"] >= view["south"]) & (e["ay"] <= view["north"])))
+    crossed = F.exists(rings, lambda ring: F.exists(
         ring, lambda e: G.segment_meets_box(e["bx"], e["by"], e["ax"], e["ay"], view)))
-    return near.where(crossed | corner).select(view_key, *features.columns)
+    return near.where(vertex | crossed | corner).select(view_key, *features.columns)
 
 
 def unit_key(code="unit_code", name="name") -> Column:
