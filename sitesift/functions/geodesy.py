@@ -430,13 +430,16 @@ def site_in_placement(p, lat, lng) -> Column:
 
 def crop_in_placement(b, p) -> Column:
     """All four projected crop corners inside the placed image."""
-    b, p = col(b), col(p)
-    corners = placement_corners(p)
-    inside = F.lit(True)
-    for x, y in (("west", "north"), ("east", "north"), ("east", "south"), ("west", "south")):
-        q = web_mercator(b[x], b[y])
-        inside = inside & point_in_convex(q["x"], q["y"], corners)
-    return F.coalesce(inside, F.lit(False))
+
+    def inside(v: Column) -> Column:
+        crop, frame = v["crop"], v["frame"]
+        ok = F.lit(True)
+        for x, y in (("west", "north"), ("east", "north"), ("east", "south"), ("west", "south")):
+            ok = ok & let(web_mercator(crop[x], crop[y]),
+                          lambda q: point_in_convex(q["x"], q["y"], frame))
+        return F.coalesce(ok, F.lit(False))
+
+    return let(F.struct(col(b).alias("crop"), placement_corners(p).alias("frame")), inside)
 
 
 def placement_from_extent(b, width, height, rotation=0.0) -> Column:
