@@ -243,7 +243,7 @@ def test_contour_labels(spark):
 
 
 def readings(rng, n, size):
-    return [(rng.randint(1, 3), i, rng.uniform(0, size), rng.uniform(0, size), v := round(rng.choice([100, 101, 100.01, 100.02]), 2),
+    return [(rng.randint(1, 3), i, rng.uniform(0, size), rng.uniform(0, size), v := rng.choice([100.0, 101.0, 100.01, 100.02]),
              rng.choice([f"{v:.2f}", "100.00"]), rng.choice([0.95, 0.58, 0.25])) for i in range(n)]
 
 
