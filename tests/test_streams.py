@@ -54,7 +54,12 @@ def test_only_the_newest_revision_counts(spark, source, tmp_path):
 
 def test_readings_merge_tile_by_tile(spark, source, tmp_path):
     rows = source.sql(SPOTS).where("drawing_id < 3").select("spot_id", "drawing_id", *NAMES[1:])
-    stream = as_stream(spark, rows, str(tmp_path / "in"))
+    # One file after the other, so that they are read in spot order.
+    low, high = rows.approxQuantile("spot_id", [0.33, 0.66], 0.01)
+    third = F.col("spot_id")
+    for part in (third <= low, (third > low) & (third <= high), third > high):
+        rows.where(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     out = run(stream_dedupe_spots(stream), "merged", "update", tmp_path)
     kept = {}
     for r in sorted(rows.collect(), key=lambda r: r["spot_id"]):
