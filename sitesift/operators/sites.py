@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitesift.functions import geometry as G
 from sitesift.operators import grid
+from sitesift.operators.numbering import number_rows
 
 BOX = ("_west", "_south", "_east", "_north")
 
@@ -196,10 +197,12 @@ def visible_units(
 
 
 def sort_units(units: DataFrame, view_key: str = "view_id", key: str = "unit_key") -> DataFrame:
-    """Number the units of a view in legend order; a view has a legend's worth of units."""
-    order = [*unit_sort_keys(key), F.col(key)]
-    return units.withColumn(
-        "unit_pos", F.row_number().over(Window.partitionBy(view_key).orderBy(*order)))
+    """Number the units of a view in legend order, in blocks of the leading number."""
+    missing, number, suffix, text = unit_sort_keys(key)
+    number = F.coalesce(number, F.lit(-1).cast("bigint"))
+    return number_rows(
+        units, [view_key], [missing, number, suffix],
+        [missing, number, suffix, text, F.col(key)], "unit_pos")
 
 
 def unit_counts(features: DataFrame, dataset: str = "dataset_id", doc: str = "doc") -> DataFrame:

@@ -110,17 +110,18 @@ def cte(sql: str) -> str:
 class Source:
     """The base tables of one folder, with the views above on top."""
 
-    _registered: tuple[int, str] | None = None
+    _registered: tuple[SparkSession, str] | None = None
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
-        if Source._registered != (id(spark), folder):
+        done = Source._registered
+        if done is None or done[0] is not spark or done[1] != folder:
             for name in TABLES:
                 self.table(name).createOrReplaceTempView(name)
             for name, text in VIEWS.items():
                 spark.sql(text).createOrReplaceTempView(name)
-            Source._registered = (id(spark), folder)
+            Source._registered = (spark, folder)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")

@@ -291,8 +291,18 @@ def export_requests(s: Source) -> DataFrame:
         F.regexp_replace("url", "&bbox=[^&]*", "").alias("url"), "error")
 
 
-CROPS = """SELECT site_id, lng, lat, lng - 0.25e0 AS w, lng + 0.25e0 AS e,
-  lat - CASE WHEN site_id % 3 = 0 THEN 0.125e0 ELSE 0.1e0 END AS s, lat + 0.125e0 AS n FROM b_sites"""
+@query("map_request", f"""
+WITH {SHEET_SQL} SELECT site_id AS sheet_id, CAST(1536 AS INT) AS request_width,
+  CAST(FLOOR(1536 * raster_height / raster_width + 0.5) AS INT) AS request_height,
+  'https://maps.example.org/wms?SERVICE=WMS&REQUEST=GetMap&VERSION=1.1.1&LAYERS=Topo&STYLES=&SRS=EPSG%3A3857&WIDTH=1536&HEIGHT='
+  || CAST(FLOOR(1536 * raster_height / raster_width + 0.5) AS INT) || '&FORMAT=image%2Fpng&TRANSPARENT=FALSE&EXCEPTIONS=application%2Fvnd.ogc.se_xml' AS url FROM sheet
+""")
+def map_request(s: Source) -> DataFrame:
+    found = sheets.map_request(plan_rows(s), "https://maps.example.org/wms", "Topo")
+    return found.select("sheet_id", "request_width", "request_height",
+                        F.regexp_replace("url", "&BBOX=[^&]*", "").alias("url"))
+
+
 # North edge that makes the crop's projected aspect exact, or a bit off.
 FITTED = f"""SELECT site_id, lng - 0.25e0 AS w, lng + 0.25e0 AS e, lat AS s,
   {ilat(f"{my('lat')} + {mx('0.5e0')} * 297 / 420 * (1 + CASE WHEN site_id % 3 = 0 THEN 0.001e0 ELSE 0e0 END)")} AS n FROM b_sites"""

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitesift.functions import geodesy as D
 from sitesift.functions import geometry as G
 from sitesift.functions import text as X
 from sitesift.operators import legends, sites
@@ -152,7 +151,7 @@ units AS (SELECT DISTINCT dataset_id, unit_key FROM keys)
 SELECT dataset_id, unit_key, CAST(ROW_NUMBER() OVER (PARTITION BY dataset_id ORDER BY
   CASE WHEN regexp_extract(unit_key, '^[0-9]+') = '' THEN 1 ELSE 0 END,
   TRY_CAST(regexp_extract(unit_key, '^[0-9]+') AS BIGINT),
-  lower(regexp_extract(unit_key, '^[0-9]+\\s*([A-Za-z]*)', 1)), lower(unit_key), unit_key) AS INT) AS unit_pos
+  lower(regexp_extract(unit_key, '^[0-9]+\\s*([A-Za-z]*)', 1)), lower(unit_key), unit_key) AS BIGINT) AS unit_pos
 FROM units
 """)
 def sort_units(s: Source) -> DataFrame:

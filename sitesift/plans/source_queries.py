@@ -137,6 +137,12 @@ SELECT 'toronto:' || replace(lower(substr(name, 9)), '_', '-') AS id, year, CASE
   {rounded('west', 6)} AS west, {rounded('north', 6)} AS north FROM ({SERVICES}) n WHERE year % 4 < 2
 """)
 def read_arcgis_catalog(s: Source) -> DataFrame:
+    found = catalogs.arcgis_catalog(service_documents(s), "toronto")
+    return found.select("id", "year", "resolution_m", "policy", F.round("coverage.west", 6).alias("west"),
+                        F.round("coverage.north", 6).alias("north"))
+
+
+def service_documents(s: Source) -> DataFrame:
     c = F.col
     sw, ne = D.web_mercator("west", "south"), D.web_mercator("east", "north")
     meta = F.struct(
@@ -145,12 +151,40 @@ def read_arcgis_catalog(s: Source) -> DataFrame:
         c("copyright_text").alias("copyrightText"), "capabilities", c("formats").alias("supportedImageFormatTypes"),
         c("size").alias("maxImageWidth"), c("size").alias("maxImageHeight"))
     # One document per record keeps repeated names of a directory apart.
-    docs = s.sql(SERVICES).select(F.to_json(F.struct(
+    return s.sql(SERVICES).select(F.to_json(F.struct(
         F.array(F.struct("name", F.lit("MapServer").alias("type"))).alias("services"),
         F.create_map("name", meta).alias("metadata"))).alias("json"))
-    found = catalogs.arcgis_catalog(docs, "toronto")
-    return found.select("id", "year", "resolution_m", "policy", F.round("coverage.west", 6).alias("west"),
-                        F.round("coverage.north", 6).alias("north"))
+
+
+@query("read_ottawa_catalog", f"""
+SELECT 'ottawa:' || replace(lower(name), '_', '-') AS id, year, {rounded('west', 6)} AS west, 'unknown' AS policy
+FROM ({SERVICES}) n WHERE year % 4 = 2
+""")
+def read_ottawa_catalog(s: Source) -> DataFrame:
+    found = catalogs.arcgis_catalog(service_documents(s), "ottawa")
+    return found.select("id", "year", F.round("coverage.west", 6).alias("west"), "policy")
+
+
+ONTARIO_VALUES = ", ".join(
+    "(" + ", ".join("'" + v + "'" for v in line.split("|")) + ")"
+    for line in catalogs.ONTARIO_COLLECTIONS.strip().splitlines())
+
+
+@query("read_ontario_catalog", f"""
+WITH o AS (SELECT * FROM (VALUES {ONTARIO_VALUES}) t(name, id, year, title))
+SELECT o_orderkey AS layer, 'ontario:' || o.id AS id, CAST(o.year AS INT) AS year, o.title FROM orders JOIN o ON o.year = CAST(2010 + o_orderkey % 20 AS VARCHAR)
+""")
+def read_ontario_catalog(s: Source) -> DataFrame:
+    c = F.col
+    names = {line.split("|")[2]: line.split("|")[0] for line in catalogs.ONTARIO_COLLECTIONS.strip().splitlines()}
+    year = (2010 + c("o_orderkey") % 20).cast("string")
+    name = F.coalesce(F.create_map(*[F.lit(v) for kv in names.items() for v in kv])[year], F.lit("Other"))
+    extent = F.struct(F.lit(-9000000.0).alias("xmin"), F.lit(5000000.0).alias("ymin"), F.lit(-8000000.0).alias("xmax"),
+                      F.lit(6000000.0).alias("ymax"), F.struct(F.lit(3857).alias("wkid")).alias("spatialReference"))
+    docs = s.table("orders").select(F.to_json(F.struct(F.array(F.struct(
+        c("o_orderkey").alias("id"), name.alias("name"), extent.alias("extent"))).alias("layers"))).alias("json"))
+    found = catalogs.arcgis_catalog(docs, "ontario")
+    return found.select(F.regexp_extract("source_url", r"(\d+)$", 1).cast("bigint").alias("layer"), "id", "year", "title")
 
 
 @query("read_wayback_catalog", """

@@ -33,6 +33,8 @@ scalar("clean_description", LABELS, KEY, lambda: {"out": X.clean_description("ce
        {"out": "CASE WHEN trim(cell) = '' THEN 'SPOT_ELEV' ELSE regexp_replace(regexp_replace(trim(cell), '[,\\r\\n]+', '_', 'g'), '\\s+', '_', 'g') END"})
 scalar("slug", LABELS, KEY, lambda: {"out": X.slug("cell")},
        {"out": "COALESCE(NULLIF(regexp_replace(regexp_replace(cell, '[^A-Za-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'Image')"})
+scalar("slug_full", LABELS, KEY, lambda: {"out": X.slug_full("cell")},
+       {"out": "COALESCE(NULLIF(regexp_replace(regexp_replace(cell, '[^A-Za-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'Image')"})
 scalar("legend_label", LABELS, KEY,
        lambda: {f: X.legend_label(X.surficial_code("label"), "label", F.when(
            F.col("feature_seq") % 2 == 0, "Glacial till"))[f] for f in ("code", "title", "heading")},

@@ -17,6 +17,7 @@ def local_session(cpus: int | str = 8, app: str = "sitesift", **conf: str) -> Sp
         .config("spark.sql.adaptive.enabled", "true")
         # Small inputs, heavy rows: do not merge local partitions to a single one.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "32k")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
