@@ -220,6 +220,28 @@ def read_wms_capabilities(s: Source) -> DataFrame:
         "name", "title", "coverage.west", "year")
 
 
+@query("read_projects", """
+SELECT c_custkey AS project_id, CAST(6 AS INT) AS schema_version, CASE WHEN c_custkey % 9 <> 0 THEN c_name END AS name,
+  CASE WHEN c_custkey % 9 = 0 OR c_custkey % 2 = 1 THEN 100e0 ELSE 175e0 END AS b_extent, CASE WHEN c_custkey % 9 <> 0 THEN 'C' ELSE '' END AS selection,
+  (c_custkey % 9 = 0) AS corrupt FROM customer
+""")
+def read_projects(s: Source) -> DataFrame:
+    c = F.col
+    figure = F.create_map(F.lit("B"), F.struct(
+        F.lit("t").alias("title"), F.when(c("c_custkey") % 2 == 1, 250.0).otherwise(175.0).alias("extent_m")))
+    text = F.to_json(F.struct(
+        F.lit(2).alias("schema_version"), c("c_name").alias("name"), figure.alias("figures"),
+        F.array(F.struct(F.lit("figure").alias("kind"), F.lit("C").alias("key")),
+                F.struct(F.lit("historical").alias("kind"), F.lit("gone").alias("key"))).alias("selection")))
+    docs = s.table("customer").select(
+        c("c_custkey").alias("project_id"), F.when(c("c_custkey") % 9 == 0, "not json").otherwise(text).alias("json"))
+    found = records.parse_projects(docs, "project_id")
+    return found.select(
+        "project_id", "schema_version", "name", c("figures")["B"]["extent_m"].alias("b_extent"),
+        F.array_join(F.transform("selection", lambda v: v["key"]), ",").alias("selection"),
+        c("_corrupt_record").isNotNull().alias("corrupt"))
+
+
 @query("read_ocr_documents", f"""
 WITH s AS ({SPOTS}), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY drawing_id, x ORDER BY spot_id) - 1 AS pos,
   COUNT(*) OVER (PARTITION BY drawing_id, x) AS n FROM s)

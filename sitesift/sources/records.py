@@ -27,12 +27,8 @@ CONTOUR_PROJECT = (
     "spots ARRAY<STRUCT<x: DOUBLE, y: DOUBLE, z: DOUBLE, number: INT, desc: STRING>>")
 
 
-def read_projects(spark: SparkSession, path: str) -> DataFrame:
-    """Saved projects, one JSON document a line, brought to the current version.
-
-    A line that is no JSON keeps its text in ``_corrupt_record``.
-    """
-    saved = spark.read.schema(PROJECT).json(path)
+def complete_projects(saved: DataFrame) -> DataFrame:
+    """Parsed projects with empty maps and lists filled in, at the current version."""
     nothing = {
         "figures": "map<string,struct<title:string,extent_m:double>>",
         "geology": "map<string,struct<name:string,source_id:string,source_name:string>>"}
@@ -44,6 +40,21 @@ def read_projects(spark: SparkSession, path: str) -> DataFrame:
     return migrate_projects(saved)
 
 
+def read_projects(spark: SparkSession, path: str) -> DataFrame:
+    """Saved projects, one JSON document a line, brought to the current version.
+
+    A line that is no JSON keeps its text in ``_corrupt_record``.
+    """
+    return complete_projects(spark.read.schema(PROJECT).json(path))
+
+
+def parse_projects(docs: DataFrame, key: str) -> DataFrame:
+    """``read_projects`` for documents held in a table (key, json)."""
+    parsed = docs.select(key, F.from_json("json", PROJECT, {
+        "columnNameOfCorruptRecord": "_corrupt_record"}).alias("p"))
+    return complete_projects(parsed.select(key, "p.*"))
+
+
 def ring_points(pairs: Column) -> Column:
     return F.transform(pairs, lambda p: G.point(F.get(p, F.lit(0)), F.get(p, F.lit(1))))
 
