@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sitesift.llm import chat, secrets, shards
+from sitesift.llm import bpe, chat, licenses, packed, quality, secrets, shards
 from sitesift.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,11 +19,21 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+@query
+def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality_digest(table(spark, folder, "documents"))
+
+
 @query
 def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan_digest(table(spark, folder, "documents"))
 
 
+@query
+def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.licence_digest(table(spark, folder, "documents"))
+
+
 @query
 def op5_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
@@ -31,6 +42,18 @@ def op5_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.conversation_digest(rows.union(extra))
 
 
+@query
+def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.bpe_digest(table(spark, folder, "documents"), vocabulary, public_tokenizers.PATTERN)
+
+
 @query
 def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shards.shard(table(spark, folder, "documents"))
+
+
+@query
+def op10_packed_ids(spark: SparkSession, folder: str) -> DataFrame:
+    written = packed.write(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.read(written)
