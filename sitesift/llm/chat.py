@@ -69,6 +69,7 @@ def chosen_paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
         return jump.select(F.col("conv_id").alias("c"), F.col("msg_id").alias("via"), F.col("above").alias("over"),
                            F.col("gained").alias("more"), F.lit(reach).cast("long").alias("reach"))
 
+    ends = durable(ends)
     for reach, jump in reversed(jumps):  # climb to the root by the binary digits of the depth
         ends = ends.join(steps(reach, jump), F.expr("conv_id <=> c AND top = via"), "left").select(
             "conv_id", "leaf", F.coalesce("over", "top").alias("top"),
@@ -85,7 +86,7 @@ def chosen_paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
     for reach, jump in reversed(jumps):  # every ancestor is a sum of distinct jumps
         further = path.join(steps(reach, jump), F.expr("conv_id <=> c AND msg_id = via")).select(
             "conv_id", "leaf", "rank", F.col("over").alias("msg_id"), (F.col("place") - reach).alias("place"))
-        path = path.union(further)
+        path = durable(path.union(further))  # else each round would double the plan
     return path
 
 
