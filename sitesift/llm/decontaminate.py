@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters in a q-gram, edits allowed per character of an item, characters of items per pass.
@@ -229,20 +229,23 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found.select("doc.doc_id", "item_id", "start", "end", "edits")
 
 
+def holds_item(text: Column | str, items: list[str]) -> Column:
+    """Whether the text holds one of the normal texts ``items`` (a block of bounded size)."""
+    shared = SparkSession.active().sparkContext.broadcast(items)
+
+    @F.arrow_udf("boolean")
+    def holds(column: pa.Array) -> pa.Array:
+        hit = np.zeros(len(column), dtype=bool)
+        for number, *_ in search([normal(t) for t in column.to_pylist()], Block(shared.value)):
+            hit[number] = True
+        return pa.array(hit)
+
+    return holds(text)
+
+
 def clean(documents: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The documents that hold no benchmark item; same columns. Decided row by row, without a join."""
-    spark = documents.sparkSession
     out = documents
-    for texts, _ in item_blocks(benchmark, "item_id", "text"):
-        shared = spark.sparkContext.broadcast(texts)
-
-        @F.arrow_udf("boolean")
-        def holds(column: pa.Array, shared=shared) -> pa.Array:
-            block = Block(shared.value)
-            hit = np.zeros(len(column), dtype=bool)
-            for number, *_ in search([normal(t) for t in column.to_pylist()], block):
-                hit[number] = True
-            return pa.array(hit)
-
-        out = out.where(~holds(F.col(text)))
+    for items, _ in item_blocks(benchmark, "item_id", "text"):
+        out = out.where(~holds_item(text, items))
     return out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sitesift.llm import bpe, chat, decontaminate, licenses, packed, quality, secrets, shards
+from sitesift.llm import bpe, chat, decontaminate, licenses, neardup, packed, quality, secrets, shards
 from sitesift.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,11 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query
+def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_digest(table(spark, folder, "documents"))
+
+
 @query
 def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")

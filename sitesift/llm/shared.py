@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitesift.session import durable
 
-__all__ = ["components", "durable", "known_to", "split_words", "stored", "table"]
+__all__ = ["components", "durable", "known_to", "split_words", "stored", "table", "unknown_to"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -39,29 +41,43 @@ def split_words(text: str | None) -> list[bytes]:
 FILTER_BITS = 1 << 23
 
 
-def known_to(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose ``key`` is in the one column of ``ids``.
-
-    A bitmap of fixed size removes most other rows in the scan, before the
-    exact semi-join moves any of their columns. When there are so many ids that
-    the bitmap is full, the join alone decides.
-    """
+def marked(df: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``df`` whose ``key`` may be among ``ids``, and those whose key is not, by a bitmap of fixed size."""
     column = ids.columns[0]
     slot = F.pmod(F.xxhash64(F.col(column)), F.lit(FILTER_BITS))
     words = (
-        ids.select(F.floor(slot / 32).cast("int").alias("w"),
-                   F.shiftleft(F.lit(1).cast("long"), (slot % 32).cast("int")).alias("b"))
+        ids.select(slot.alias("s")).selectExpr("int(s div 32) AS w", "shiftleft(1L, int(s % 32)) AS b")
         .groupBy("w").agg(F.bit_or("b").alias("b")).collect()
     )
-    image = bytearray(FILTER_BITS // 8)
+    image = np.zeros(FILTER_BITS // 32, dtype=np.uint32)
     for row in words:
-        image[4 * row.w: 4 * row.w + 4] = row.b.to_bytes(4, "big")
-    bitmap = df.sparkSession.createDataFrame([(bytes(image),)], "bitmap binary")
-    here = F.pmod(F.xxhash64(F.col(key)), F.lit(FILTER_BITS))
-    octet = F.conv(F.hex(F.substring("bitmap", (4 * F.floor(here / 32)).cast("int") + 1, F.lit(4))), 16, 10)
-    marked = F.shiftrightunsigned(octet.cast("long"), (here % 32).cast("int")).bitwiseAND(F.lit(1)) == 1
-    near = df.crossJoin(F.broadcast(bitmap)).where(marked).drop("bitmap")
-    return near.join(ids.distinct(), near[key] == ids[column], "left_semi")
+        image[row.w] = row.b
+    shared = df.sparkSession.sparkContext.broadcast(image.tobytes())
+
+    @F.arrow_udf("boolean")
+    def may_be(slots: pa.Array) -> pa.Array:
+        at = slots.to_numpy(zero_copy_only=False)
+        bits = np.frombuffer(shared.value, dtype=np.uint32)
+        return pa.array((bits[at // 32] >> (at % 32).astype(np.uint32) & 1).astype(bool))
+
+    known = may_be(F.pmod(F.xxhash64(F.col(key)), F.lit(FILTER_BITS)))
+    return df.where(known), df.where(~known)
+
+
+def known_to(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is in the one column of ``ids``.
+
+    The bitmap removes most other rows in the scan, before the exact semi-join
+    moves any of their columns. When there are so many ids that it is full, the join alone decides.
+    """
+    near, _ = marked(df, key, ids)
+    return near.join(ids.distinct().toDF("_known"), F.col(key) == F.col("_known"), "left_semi")
+
+
+def unknown_to(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is null or not in the one column of ``ids``."""
+    near, far = marked(df, key, ids)
+    return far.union(near.join(ids.distinct().toDF("_known"), F.col(key) == F.col("_known"), "left_anti"))
 
 
 def components(links: DataFrame) -> DataFrame:
