@@ -19,7 +19,7 @@ smallest set key; a null doc_id is linked with nothing, has no component and is
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,10 +42,11 @@ class Forest:
     step: int = 5
     depth: int = 16
     region: int = 12
+    hashes: int = HASHES
 
     def __post_init__(self):
-        if self.trees * self.step > HASHES or self.step > self.depth:
-            raise ValueError("a forest needs trees * step <= 128 hashes and step <= depth")
+        if self.trees * self.step > self.hashes or self.hashes > HASHES or self.step > self.depth:
+            raise ValueError("a forest needs trees * step <= hashes <= 128 and step <= depth")
 
 
 DEFAULT = Forest()
@@ -75,31 +76,36 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(mixed(total))
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """128 minimum hashes, 16 bits each."""
-    least = np.full(HASHES, np.uint64(0xFFFFFFFFFFFFFFFF))
+def signature(shingles: np.ndarray, hashes: int = HASHES) -> np.ndarray:
+    """Minimum hashes, 16 bits each."""
+    least = np.full(hashes, np.uint64(0xFFFFFFFFFFFFFFFF))
     for at in range(0, len(shingles), 2048):
-        least = np.minimum(least, (shingles[at: at + 2048, None] * FACTORS).min(axis=0))
+        least = np.minimum(least, (shingles[at: at + 2048, None] * FACTORS[:hashes]).min(axis=0))
     return (mixed(least) >> np.uint64(48)).astype(np.uint16)
 
 
+def signature_bytes(shingles: np.ndarray, forest: Forest) -> bytes:
+    """The signature with its first ``depth`` hashes again at the end."""
+    hashes = signature(shingles, forest.hashes)
+    return np.concatenate([hashes, hashes[: forest.depth]]).astype(">u2").tobytes()
+
+
 def set_key(shingles: np.ndarray) -> tuple[int, int]:
     low = shingles.sum(dtype=np.uint64)
     high = np.bitwise_xor.reduce(mixed(shingles * PLACES[0])) if len(shingles) else np.uint64(0)
     return int(low.astype(np.int64)), int(high.astype(np.int64))
 
 
-def signed(documents: DataFrame, key: str, text: str, depth: int) -> DataFrame:
-    """(id, n, k1, k2, sig): size and key of the set; the signature with its first ``depth`` hashes again at the end."""
+def signed(documents: DataFrame, key: str, text: str, forest: Forest) -> DataFrame:
+    """(id, n, k1, k2, sig): size, key and signature of the set."""
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t.as_py()) for t in batch.column(1)]
             keys = [set_key(s) for s in sets]
-            sigs = [signature(s) for s in sets]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([len(s) for s in sets], pa.int32()),
                 pa.array([k for k, _ in keys], pa.int64()), pa.array([k for _, k in keys], pa.int64()),
-                pa.array([np.concatenate([s, s[:depth]]).astype(">u2").tobytes() for s in sigs], pa.binary())],
+                pa.array([signature_bytes(s, forest) for s in sets], pa.binary())],
                 names=["id", "n", "k1", "k2", "sig"])
 
     rows = documents.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
@@ -147,7 +153,7 @@ def reordered(nodes: DataFrame, forest: Forest, turn: int) -> DataFrame:
     """The same signatures with their hashes in another order; turn 0 is the first."""
     if turn == 0:
         return nodes
-    places = np.random.default_rng(turn).permutation(HASHES)
+    places = np.random.default_rng(turn).permutation(forest.hashes)
     places = np.concatenate([places, places[: forest.depth]])
 
     @F.arrow_udf("binary")
@@ -216,14 +222,14 @@ def candidates(nodes: DataFrame, forest: Forest, share: int) -> tuple[DataFrame,
     return everything.where("b IS NOT NULL").distinct(), everything.where("b IS NULL").select(F.col("a").alias("id")).distinct()
 
 
-def estimated(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+def estimated(pairs: DataFrame, nodes: DataFrame, least: float, hashes: int) -> DataFrame:
     """Pairs whose signatures agree in a share of ``least`` or more."""
     @F.arrow_udf("boolean")
     def alike(x: pa.Array, y: pa.Array) -> pa.Array:
         if not len(x):
             return pa.array([], pa.bool_())
-        a = np.frombuffer(b"".join(x.to_pylist()), ">u2").reshape(len(x), -1)[:, :HASHES]
-        b = np.frombuffer(b"".join(y.to_pylist()), ">u2").reshape(len(y), -1)[:, :HASHES]
+        a = np.frombuffer(b"".join(x.to_pylist()), ">u2").reshape(len(x), -1)[:, :hashes]
+        b = np.frombuffer(b"".join(y.to_pylist()), ">u2").reshape(len(y), -1)[:, :hashes]
         return pa.array((a == b).mean(axis=1) >= least)
 
     left = nodes.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"))
@@ -231,18 +237,8 @@ def estimated(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(alike("sig_a", "sig_b")).select("a", "b")
 
 
-def confirmed(pairs: DataFrame, documents: DataFrame, key: str, text: str, share: int) -> DataFrame:
-    """Pairs with 100 * intersection >= share * union on full sets, read again from the texts of the ids in question."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    rows = known_to(documents.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), "id", ids)
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t.as_py()).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
-
-    sets = stored(rows.mapInArrow(read, "id bigint, shingles binary"))
-
+def confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """Pairs with 100 * intersection >= share * union; ``sets`` is (id, shingles) with the full sets."""
     @F.arrow_udf("boolean")
     def linked(x: pa.Array, y: pa.Array) -> pa.Array:
         out = []
@@ -259,18 +255,26 @@ def confirmed(pairs: DataFrame, documents: DataFrame, key: str, text: str, share
     return pairs.join(left, "a").join(right, "b").where(linked("set_a", "set_b")).select("a", "b")
 
 
-def least_agreement(share: int) -> float:
+def full_sets(documents: DataFrame, key: str, text: str, ids: DataFrame) -> DataFrame:
+    """(id, shingles) of the documents in ``ids``, read again from their texts."""
+    rows = known_to(documents.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), "id", ids)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py()).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
+
+    return rows.mapInArrow(read, "id bigint, shingles binary")
+
+
+def least_agreement(share: int, hashes: int) -> float:
     """Share of equal hashes below which a pair is not looked up: 4.75 standard deviations under the similarity."""
-    return share / 100 - 4.75 * (share / 100 * (1 - share / 100) / HASHES) ** 0.5
+    return share / 100 - 4.75 * (share / 100 * (1 - share / 100) / hashes) ** 0.5
 
 
-def near_components(documents: DataFrame, key: str = "doc_id", text: str = "text", share: int = 85,
-                    forest: Forest = DEFAULT) -> DataFrame:
-    """(id, n, component) for every row of ``documents``."""
-    rows = stored(signed(documents, key, text, forest.depth))
-    groups = rows.where("n > 0 AND id IS NOT NULL").groupBy("n", "k1", "k2").agg(F.min(F.struct("id", "sig")).alias("m"))
-    nodes = stored(groups.select("n", "k1", "k2", "m.id", "m.sig"))
-    met, links, roots, turn = nodes.select("id", "n", "sig"), None, None, 0
+def linked_roots(nodes: DataFrame, forest: Forest, share: int, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(id, root) of all linked nodes (id, n, sig). ``sets_of`` gives (id, shingles) for a table of ids."""
+    met, roots, turn = nodes, None, 0
     while True:
         pairs, crowd = candidates(reordered(met, forest, turn), forest, share)
         if roots is not None:
@@ -278,17 +282,28 @@ def near_components(documents: DataFrame, key: str = "doc_id", text: str = "text
                 side = roots.select(F.col("id").alias(end), F.col("root").alias(f"root_{end}"))
                 pairs = pairs.join(side, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
             pairs = pairs.where("root_a <> root_b").select("a", "b")
-        near = stored(estimated(pairs, nodes, least_agreement(share)))
-        found = stored(confirmed(near, documents, key, text, share))
+        near = stored(estimated(pairs, nodes, least_agreement(share, forest.hashes), forest.hashes))
+        ids = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
+        found = durable(confirmed(near, stored(sets_of(ids)), share))
         if turn and found.isEmpty():
-            break
+            return roots
         links = found if roots is None else found.union(roots.select(F.col("id").alias("a"), F.col("root").alias("b")))
         roots = durable(components(links))
         crowd = durable(crowd)
         if crowd.isEmpty():
-            break
-        met = stored(nodes.select("id", "n", "sig").join(crowd, "id", "left_semi"))
+            return roots
+        met = stored(nodes.join(crowd, "id", "left_semi"))
         turn += 1
+
+
+def near_components(documents: DataFrame, key: str = "doc_id", text: str = "text", share: int = 85,
+                    forest: Forest = DEFAULT) -> DataFrame:
+    """(id, n, component) for every row of ``documents``."""
+    rows = stored(signed(documents, key, text, forest))
+    groups = rows.where("n > 0 AND id IS NOT NULL").groupBy("n", "k1", "k2").agg(F.min(F.struct("id", "sig")).alias("m"))
+    nodes = stored(groups.select("n", "k1", "k2", "m.id", "m.sig"))
+    roots = linked_roots(nodes.select("id", "n", "sig"), forest, share,
+                         lambda ids: full_sets(documents, key, text, ids))
     named = nodes.select("n", "k1", "k2", "id").join(roots.withColumnRenamed("id", "r"), F.col("id") == F.col("r"), "left").select(
         F.col("n").alias("gn"), F.col("k1").alias("g1"), F.col("k2").alias("g2"), F.coalesce("root", "id").alias("component"))
     joined = rows.select("id", "n", "k1", "k2").join(named, F.expr("n = gn AND k1 = g1 AND k2 = g2"), "left")

@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sitesift.llm import bpe, chat, decontaminate, licenses, neardup, packed, quality, secrets, shards
+from sitesift.llm import (
+    bpe, chat, decontaminate, licenses, neardup, packed, passages, quality, secrets, shards)
 from sitesift.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +25,11 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_digest(table(spark, folder, "documents"))
 
 
+@query
+def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.repeats(table(spark, folder, "documents"))
+
+
 @query
 def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan_digest(table(spark, folder, "documents"))
