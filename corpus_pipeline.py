@@ -2,31 +2,62 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that its
 predecessor kept; all but the last return the columns of ``documents``.
+Rows are judged by their text, so nulls, repeated rows and further columns pass through.
 """
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitesift.llm import secrets
-from sitesift.llm.shared import stored
+from sitesift.llm import bpe, decontaminate, neardup, quality, secrets
+from sitesift.llm.shared import stored, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rule, or that the weighed votes call bad, go."""
+    return quality.judge(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one of the smallest id."""
+    return neardup.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, up to its edit budget, go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every secret in the text becomes a mark; no row is lost."""
-    clean = secrets.redact(docs)
-    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Every secret in a text becomes a mark; no row goes."""
+    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, source, lang, ids, n_tokens, round_trip): token ids, and whether they decode to the text."""
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = docs.select("doc_id", "source", "lang", F.coalesce("text", F.lit("")).alias("text"),
+                        bpe.encode("text", vocabulary, public_tokenizers.PATTERN).alias("ids"))
+    same = bpe.decode("ids", vocabulary) == F.encode("text", "UTF-8")
+    return coded.select("doc_id", "source", "lang", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
 
 
-STAGES = [("secret scans", secret_scan)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("MinHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("secret scans", secret_scan),
+    ("byte-level BPE encoding and decoding", byte_bpe),
+]
 
-#: No SQL expresses the stages (iterated estimates, signatures, tokenizers); tests compare them with brute force.
+#: No SQL expresses the stages (iterated estimates, signatures, tokenizers); a test compares them with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for place, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if place < len(STAGES) - 1:
