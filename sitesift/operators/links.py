@@ -9,17 +9,17 @@ from sitesift.functions import geometry as G
 from sitesift.session import durable
 
 
-def resolve_styles(styles: DataFrame, style_maps: DataFrame, rounds: int = 10) -> DataFrame:
+def resolve_styles(styles: DataFrame, style_maps: DataFrame) -> DataFrame:
     """(doc, style_id, color, opacity) of styles and of the maps that lead to one.
 
     ``style_maps`` (doc, style_id, target) may chain. Each round doubles the
-    reach of every pointer, so ``rounds`` covers chains of 2^rounds maps; what
-    is still pointing at a map then is a cycle and stays unresolved. A style
-    hides a map of the same id.
+    reach of every pointer, and a chain has no more maps than there are; what
+    still points at a map after log2 of that many rounds is on or behind a cycle and stays
+    unresolved. A style hides a map of the same id.
     """
     pointers = durable(style_maps.join(styles, ["doc", "style_id"], "left_anti").select(
         "doc", "style_id", "target"))
-    for _ in range(rounds):
+    for _ in range(pointers.count().bit_length()):
         hop = pointers.select("doc", F.col("style_id").alias("target"), F.col("target").alias("_to"))
         moved = pointers.join(hop, ["doc", "target"], "left")
         following = durable(moved.select(
@@ -42,8 +42,9 @@ def reachable_documents(
 
     ``links``: parent, doc and, for pruning by viewport, region (bounds struct
     or null). ``roots``: root_id, doc. Each level is one join and one
-    anti-join, cut by a checkpoint. ``within_limits`` is false for a root whose
-    walk needs more levels or documents than allowed.
+    anti-join, cut by a checkpoint, until a level finds nothing new. The walk is
+    always whole; ``within_limits`` is false for a root that needs more levels
+    or documents than the caller allows.
     """
     usable = links
     if bounds is not None:
@@ -57,13 +58,11 @@ def reachable_documents(
             "root_id", F.col("_child").alias("doc")).distinct()
         return found.join(seen, ["root_id", "doc"], "left_anti").withColumn("depth", F.lit(level))
 
-    for level in range(1, max_depth + 1):
+    level = 0
+    while not frontier.isEmpty():
+        level += 1
         frontier = durable(step(level))
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-    deeper = step(max_depth + 1).select("root_id").distinct().withColumn("_deeper", F.lit(True))
-    sizes = seen.groupBy("root_id").agg(F.count(F.lit(1)).alias("_docs"))
-    limits = sizes.join(deeper, "root_id", "left").select(
-        "root_id", ((F.col("_docs") <= max_docs) & F.col("_deeper").isNull()).alias("within_limits"))
+        seen = durable(seen.unionByName(frontier))
+    limits = seen.groupBy("root_id").agg(
+        ((F.count(F.lit(1)) <= max_docs) & (F.max("depth") <= max_depth)).alias("within_limits"))
     return seen.join(limits, "root_id")

@@ -83,8 +83,7 @@ def reference_lists(references: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_references"),
         (F.min("kind") != F.max("kind")).alias("_kinds"),
         ((F.min("width") != F.max("width")) | (F.min("height") != F.max("height"))).alias("_sizes"))
-    numbered = number_rows(
-        references, ["asset_id"], [F.substring("reference_id", 1, 4)], [F.col("reference_id")], "pos")
+    numbered = number_rows(references, ["asset_id"], None, [F.col("reference_id")], "pos")
     return numbered.join(totals, "asset_id").select(
         "asset_id", "kind", "owner_id", "reference_id", "pos", "n_references",
         (F.col("_kinds") | F.col("_sizes")).alias("conflict"))
@@ -93,25 +92,21 @@ def reference_lists(references: DataFrame) -> DataFrame:
 def aggregate_provenance(sources: DataFrame, *keys: str) -> DataFrame:
     """Names joined by " + ", the other texts by " | ", in layer order.
 
-    ``sources``: keys, ord, name, attribution, license, evidence. An item has
-    1 to 20 layers; an item with more gets ``error`` and is never gathered.
+    ``sources``: keys, ord, name, attribution, license, evidence. Every item
+    gets its whole text; ``error`` tells beside it that an item has more than
+    the 20 layers that its contract allows.
     """
-    counts = sources.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     fields = ("name", "attribution", "license", "evidence")
-    few = sources.join(counts.where(F.col("_n") <= MAX_LAYERS), list(keys))
-    listed = few.groupBy(*keys).agg(F.array_sort(F.collect_list(
+    listed = sources.groupBy(*keys).agg(F.array_sort(F.collect_list(
         F.struct("ord", *fields))).alias("_layers"))
 
     def joined(field: str, separator: str) -> Column:
         return F.array_join(F.transform("_layers", lambda v: v[field]), separator)
 
-    texts = listed.select(
+    return listed.select(
         *keys, joined("name", " + ").alias("provider"),
-        *[joined(f, " | ").alias(f) for f in fields[1:]], F.lit(None).cast("string").alias("error"))
-    many = counts.where(F.col("_n") > MAX_LAYERS).select(
-        *keys, *[F.lit(None).cast("string").alias(c) for c in ("provider", *fields[1:])],
-        F.lit("too-many-layers").alias("error"))
-    return texts.unionByName(many)
+        *[joined(f, " | ").alias(f) for f in fields[1:]],
+        F.when(F.size("_layers") > MAX_LAYERS, F.lit("too-many-layers")).alias("error"))
 
 
 def package_budget(
@@ -177,9 +172,8 @@ def allocate_filenames(
     named = items.select(
         group, key, X.slug(F.col(label)).alias("_stem"), extension.alias("_ext"), world.alias("_world"))
     keyed = named.withColumn("_key", F.lower("_stem"))
-    if blocks is None:
-        text = dict(items.dtypes)[key] == "string"
-        blocks = [F.substring(key, 1, 6)] if text else [id_block(key)]
+    if blocks is None and dict(items.dtypes)[key] != "string":
+        blocks = [id_block(key)]
     numbered = number_rows(keyed, [group, "_key"], blocks, [F.col(key)], "_n")
 
     def path(extra: str) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitesift.session import durable
+
 # Consecutive ids of one group that are numbered in one task.
 ID_BLOCK = 1 << 20
 
@@ -19,7 +21,7 @@ def id_block(key: str) -> Column:
 def number_rows(
     df: DataFrame,
     group: Sequence[str],
-    blocks: Sequence[Column],
+    blocks: Sequence[Column] | None,
     order: Sequence[Column],
     out: str = "pos",
 ) -> DataFrame:
@@ -29,7 +31,14 @@ def number_rows(
     ``id_block``). Rows are numbered inside (group, block); a running sum over
     the block counts gives each block its offset. A group that holds a third
     of the table is thus spread over its blocks. ``order`` must be total.
+    Without ``blocks`` they are ranges between sampled values of group and
+    order, of about equal size whatever the values look like; the ranges
+    are settled by a checkpoint, since both passes must see the same ones.
+    Null groups and blocks count as values of their own.
     """
+    if blocks is None:
+        ranged = df.repartitionByRange(*group, *order).withColumn("_range", F.spark_partition_id())
+        return number_rows(durable(ranged), group, [F.col("_range")], order, out).drop("_range")
     names = [f"_b{i}" for i in range(len(blocks))]
     blocked = df
     for name, block in zip(names, blocks):
@@ -43,6 +52,8 @@ def number_rows(
     )
     inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     numbered = blocked.withColumn("_rn", inside)
-    joined = numbered.join(offsets, keys, "left")
-    return joined.select(
-        *df.columns, (F.col("_rn") + F.col("_offset")).cast("bigint").alias(out))
+    here, there = numbered.alias("here"), offsets.alias("there")
+    same = [F.col(f"here.`{k}`").eqNullSafe(F.col(f"there.`{k}`")) for k in keys]
+    return here.join(there, same, "left").select(
+        *[F.col(f"here.`{c}`") for c in df.columns],
+        (F.col("_rn") + F.col("_offset")).cast("bigint").alias(out))

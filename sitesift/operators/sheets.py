@@ -109,20 +109,17 @@ def export_requests(
 
     ``sheets``: projected, raster_width, raster_height and export (kind
     arcgis-export / wms-export, url, layer, max_width, max_height). Pieces
-    come in rows from the top. A sheet that needs more than ``max_pieces``
-    yields one row with ``error`` set and no address.
+    come in rows from the top. All of them are listed; ``error`` tells beside
+    them that a sheet needs more than ``max_pieces``.
     """
     ex, b = F.col("export"), F.col(box)
     w, h = F.col("raster_width"), F.col("raster_height")
     columns, rows = F.ceil(w / ex["max_width"]).cast("int"), F.ceil(h / ex["max_height"]).cast("int")
     planned = sheets.withColumn("pieces", columns.cast("bigint") * rows)
     too_many = F.col("pieces") > max_pieces
-    one = F.array(F.lit(0))
     cut = (
-        planned.withColumn("_r", F.explode(
-            F.when(too_many, one).otherwise(F.sequence(F.lit(0), rows - 1))))
-        .withColumn("_c", F.explode(
-            F.when(too_many, one).otherwise(F.sequence(F.lit(0), columns - 1))))
+        planned.withColumn("_r", F.explode(F.sequence(F.lit(0), rows - 1)))
+        .withColumn("_c", F.explode(F.sequence(F.lit(0), columns - 1)))
         .withColumn("x", F.col("_c") * ex["max_width"]).withColumn("y", F.col("_r") * ex["max_height"])
         .withColumn("w", F.least(ex["max_width"], w - F.col("x")))
         .withColumn("h", F.least(ex["max_height"], h - F.col("y"))))
@@ -148,8 +145,8 @@ def export_requests(
     order = F.col("_r") * columns + F.col("_c")
     return cut.select(
         sheet_key, order.cast("int").alias("n"),
-        F.when(~too_many, url).alias("url"), "x", "y", "w", "h",
-        F.when(~too_many, G.bounds(west, south, east, north)).alias("bounds"),
+        url.alias("url"), "x", "y", "w", "h",
+        G.bounds(west, south, east, north).alias("bounds"),
         F.when(too_many, F.lit("too-many-pieces")).alias("error"))
 
 

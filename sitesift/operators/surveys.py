@@ -112,6 +112,8 @@ def _dedupe_best(spots: DataFrame, radius: float) -> DataFrame:
     """
     columns = spots.columns
     fine = radius / 1.5
+    # Only finite values match by value.
+    finite = ~F.isnan("value") & (F.abs("value") < float("inf"))
     keyed = (
         spots.withColumn("_rank", F.struct(
             (-F.coalesce("confidence", F.lit(0.0))).alias("worse"), F.col("spot_id").alias("id")))
@@ -119,8 +121,8 @@ def _dedupe_best(spots: DataFrame, radius: float) -> DataFrame:
         .withColumn("_cx", _cells(F.col("x"), radius)).withColumn("_cy", _cells(F.col("y"), radius))
         # Two values of one half-tolerance bin always match; matching values
         # are at most one wide bin apart.
-        .withColumn("_half", F.floor(F.col("value") / (VALUE_TOLERANCE / 2)))
-        .withColumn("_wide", F.floor(F.col("value") / 0.0125))
+        .withColumn("_half", F.when(finite, F.floor(F.col("value") / (VALUE_TOLERANCE / 2))))
+        .withColumn("_wide", F.when(finite, F.floor(F.col("value") / 0.0125)))
     )
     square = ["drawing_id", "_sx", "_sy"]
     by_text = keyed.groupBy(*square, "raw").agg(F.min("_rank.worse").alias("_w"), F.min(
@@ -168,15 +170,18 @@ def spot_groups(spots: DataFrame, radius: float = MERGE_RADIUS) -> DataFrame:
     side = radius
     nodes = spots.select(
         "*", _cells(F.col("x"), side).alias("_cx"), _cells(F.col("y"), side).alias("_cy"),
-        F.coalesce(F.floor(F.col("value") / 0.0125), F.lit(-1)).alias("_bin"))
+        F.when(~F.isnan("value") & (F.abs("value") < float("inf")),
+               F.floor(F.col("value") / 0.0125)).alias("_bin"))
     key = F.xxhash64("drawing_id", "_cx", "_cy", "_bin", "raw")
     nodes = nodes.withColumn("_node", key)
     distinct = durable(nodes.select(
         "drawing_id", "_cx", "_cy", "_bin", "raw", "_node").distinct())
     around = distinct.withColumn("_cx", F.explode(_nine("_cx"))).withColumn(
         "_cy", F.explode(_nine("_cy"))).withColumnRenamed("_node", "_from")
-    by_text = around.drop("_bin").join(distinct, ["drawing_id", "_cx", "_cy", "raw"])
-    by_value = around.drop("raw").where("_bin >= 0").withColumn(
+    # A missing text equals a missing text, as in the fold.
+    by_text = around.drop("_bin").withColumn("raw", F.struct("raw")).join(
+        distinct.withColumn("raw", F.struct("raw")), ["drawing_id", "_cx", "_cy", "raw"])
+    by_value = around.drop("raw").where("_bin IS NOT NULL").withColumn(
         "_bin", F.explode(_nine("_bin"))).join(distinct, ["drawing_id", "_cx", "_cy", "_bin"])
     links = durable(
         by_text.select("_from", "_node").union(by_value.select("_from", "_node"))
@@ -201,13 +206,23 @@ def spot_groups(spots: DataFrame, radius: float = MERGE_RADIUS) -> DataFrame:
         "_cx", "_cy", "_bin", "_node")
 
 
+def sure(confidence) -> float:
+    """Confidence with a missing one (None, or NaN as Arrow batches have it) as 0."""
+    return 0.0 if confidence is None or confidence != confidence else confidence
+
+
+def missing(text) -> bool:
+    return text is None or text != text
+
+
 def same_spot(kept: dict, reading: dict, radius: float) -> bool:
     """Whether a reading merges into a kept one."""
     if np.hypot(kept["x"] - reading["x"], kept["y"] - reading["y"]) > radius:
         return False
     a, b = kept["value"], reading["value"]
     finite = a is not None and b is not None and np.isfinite(a) and np.isfinite(b)
-    return bool(finite and abs(a - b) < VALUE_TOLERANCE) or kept["raw"] == reading["raw"]
+    same_text = kept["raw"] == reading["raw"] or (missing(kept["raw"]) and missing(reading["raw"]))
+    return bool(finite and abs(a - b) < VALUE_TOLERANCE) or same_text
 
 
 class KeptReadings:
@@ -229,7 +244,7 @@ class KeptReadings:
         for i in near:
             entry = self.entries[i]
             if same_spot(entry, reading, self.radius):
-                if (reading["confidence"] or 0) > (entry["confidence"] or 0):
+                if sure(reading["confidence"]) > sure(entry["confidence"]):
                     self.squares[self._square(entry)].remove(i)
                     self.squares.setdefault((cx, cy), []).append(i)
                     self.entries[i] = reading
@@ -306,10 +321,13 @@ def label_contours(
     """Elevations along one cut per drawing: start + n * interval in crossing order.
 
     Lines that are not crossed, and other layers, keep their elevation. Numbers
-    come from blocks of the crossing position, so that one drawing may hold any
-    number of lines.
+    come from ranges of the crossing position, so that one drawing may hold any
+    number of lines. A drawing with several cuts is labelled along the least of them.
     """
     columns = contours.columns
+    others = [c for c in cuts.columns if c != "drawing_id"]
+    cuts = cuts.groupBy("drawing_id").agg(F.min(F.struct(*others)).alias("_cut")).select(
+        "drawing_id", "_cut.*")
     labelled = F.startswith("layer", F.lit("CONTOUR")) & (F.size("points") >= 2)
     placed = contours.join(cuts, "drawing_id", "left").withColumn(
         "t", F.when(labelled, _first_hit("points")))
@@ -317,7 +335,7 @@ def label_contours(
         "_step", G.col(interval).cast("double"))
     crossed = number_rows(
         placed.where(F.col("t").isNotNull()), ["drawing_id"],
-        [F.floor(F.col("t") * 65536)], [F.col("t"), F.col("contour_id")], "_n")
+        None, [F.col("t"), F.col("contour_id")], "_n")
     high = crossed.withColumn(
         "elevation", F.col("_start") + (F.col("_n") - 1) * F.col("_step")).select(*columns)
     return high.unionByName(placed.where(F.col("t").isNull()).select(*columns))
@@ -360,9 +378,14 @@ def near_duplicate_lines(
         .where((F.col("_order") < F.col("contour_id"))
                & (F.hypot(F.col("_x") - F.col("_px"), F.col("_y") - F.col("_py")) < radius))
         .select("drawing_id", "contour_id").distinct())
-    stay = probe.select("drawing_id", "contour_id").join(
-        gone, ["drawing_id", "contour_id"], "left_anti")
-    return new.join(stay, ["drawing_id", "contour_id"], "left_semi")
+    # All others of a square lie closer than the radius to its lowest line.
+    covered = fresh.withColumn("_sx", _cells(F.col("_x"), fine)).withColumn(
+        "_sy", _cells(F.col("_y"), fine)).join(
+        lowest.select("drawing_id", "_sx", "_sy", F.col("_l._order").alias("_first")),
+        ["drawing_id", "_sx", "_sy"]).where("_order <> _first").select(
+        "drawing_id", F.col("_order").alias("contour_id"))
+    # Lines without points or without a drawing have no near one and stay.
+    return new.join(gone.union(covered).distinct(), ["drawing_id", "contour_id"], "left_anti")
 
 
 def _simplified(xs: np.ndarray, ys: np.ndarray, eps: float) -> np.ndarray:

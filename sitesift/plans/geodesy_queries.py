@@ -268,14 +268,14 @@ def tile_requests(s: Source) -> DataFrame:
 WITH {SHEET_SQL}, p AS (SELECT *, CASE WHEN site_id % 2 = 0 THEN 800 ELSE 1024 END AS mw,
   CASE WHEN site_id % 9 = 0 THEN 20 ELSE 700 END AS mh FROM sheet),
 k AS (SELECT *, CAST(CEIL(raster_width / mw) AS INT) AS nc, CAST(CEIL(raster_height / mh) AS INT) AS nr FROM p),
-c AS (SELECT *, unnest(range(0, CASE WHEN nc * nr > 64 THEN 1 ELSE nc END)) AS c FROM k),
-q AS (SELECT *, unnest(range(0, CASE WHEN nc * nr > 64 THEN 1 ELSE nr END)) AS r FROM c),
+c AS (SELECT *, unnest(range(0, nc)) AS c FROM k),
+q AS (SELECT *, unnest(range(0, nr)) AS r FROM c),
 o AS (SELECT *, c * mw AS x, r * mh AS y, LEAST(mw, raster_width - c * mw) AS w, LEAST(mh, raster_height - r * mh) AS h FROM q)
 SELECT site_id AS sheet_id, CAST(r * nc + c AS INT) AS n, CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(w AS INT) AS w, CAST(h AS INT) AS h,
-  CASE WHEN nc * nr <= 64 THEN {rounded('pw + (pe - pw) * x / raster_width', 4)} END AS west,
-  CASE WHEN nc * nr <= 64 THEN {rounded('pn - (pn - ps) * (y + h) / raster_height', 4)} END AS south,
-  CASE WHEN nc * nr <= 64 THEN 'https://maps.example.org/MapServer/export?f=image&bboxSR=3857&imageSR=3857&size='
-    || w || '%2C' || h || '&format=png32&transparent=true' END AS url,
+  {rounded('pw + (pe - pw) * x / raster_width', 4)} AS west,
+  {rounded('pn - (pn - ps) * (y + h) / raster_height', 4)} AS south,
+  'https://maps.example.org/MapServer/export?f=image&bboxSR=3857&imageSR=3857&size='
+    || w || '%2C' || h || '&format=png32&transparent=true' AS url,
   CASE WHEN nc * nr > 64 THEN 'too-many-pieces' END AS error FROM o
 """)
 def export_requests(s: Source) -> DataFrame:

@@ -202,7 +202,7 @@ def centroid(s: Source) -> DataFrame:
 WITH c AS (SELECT drawing_id, contour_id, layer, (x1 + x2 + x3) / 3 AS x, (y1 + y2 + y3) / 3 AS y FROM b_contours),
 fresh AS (SELECT * FROM c WHERE contour_id % 3 <> 0),
 others AS (SELECT drawing_id, contour_id AS o, x, y FROM fresh UNION ALL
-  SELECT drawing_id, -1, x, y FROM c WHERE contour_id % 3 = 0 AND contour_id % 40 = 0 AND layer LIKE 'CONTOUR%')
+  SELECT drawing_id, -1, x, y FROM c WHERE contour_id % 3 = 0 AND layer LIKE 'CONTOUR%')
 SELECT drawing_id, contour_id FROM fresh p WHERE NOT EXISTS (SELECT 1 FROM others q
   WHERE q.drawing_id = p.drawing_id AND q.o < p.contour_id
     AND SQRT((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y)) < 20)
@@ -210,7 +210,7 @@ SELECT drawing_id, contour_id FROM fresh p WHERE NOT EXISTS (SELECT 1 FROM other
 def near_duplicate_lines(s: Source) -> DataFrame:
     lines = contours(s)
     fresh = lines.where("contour_id % 3 <> 0")
-    old = lines.where("contour_id % 3 = 0 AND contour_id % 40 = 0")
+    old = lines.where("contour_id % 3 = 0")
     return surveys.near_duplicate_lines(fresh, old).select("drawing_id", "contour_id")
 
 

@@ -234,8 +234,7 @@ def write_manifest(files: DataFrame, path: str, group: str = "package_id") -> No
     from sitesift.operators.numbering import number_rows
 
     columns = [c for c in files.columns if c != group]
-    rows = number_rows(manifest_rows(files, group), [group], [F.substring("path", 1, 12)],
-                       [F.col("path")], "seq")
+    rows = number_rows(manifest_rows(files, group), [group], None, [F.col("path")], "seq")
     as_json = rows.select(group, "seq", F.col("json").alias("line"))
     write_documents(document(as_json, group), group, f"{path}/json")
     as_csv = rows.select(group, "seq", F.col("csv").alias("line"))

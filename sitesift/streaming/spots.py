@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from sitesift.operators.surveys import MERGE_RADIUS, same_spot
+from sitesift.operators.surveys import MERGE_RADIUS, same_spot, sure
 
 READING = "spot_id BIGINT, x DOUBLE, y DOUBLE, value DOUBLE, raw STRING, confidence DOUBLE"
 NAMES = ("spot_id", "x", "y", "value", "raw", "confidence")
@@ -52,7 +52,7 @@ class _Merge(StatefulProcessor):
         for slot in near:
             entry = dict(zip(NAMES, self.kept.getValue((slot,))))
             if same_spot(entry, reading, self.radius):
-                if (reading["confidence"] or 0) <= (entry["confidence"] or 0):
+                if sure(reading["confidence"]) <= sure(entry["confidence"]):
                     return n, None
                 old = self._square(entry)
                 self._put(old, [s for s in self._slots(old) if s != slot])
