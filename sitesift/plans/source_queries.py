@@ -31,7 +31,11 @@ def _ring_text(ring: Column) -> Column:
 
 
 def kml_documents(s: Source, bad: bool = False) -> DataFrame:
-    """Fifty polygons a document, styled in line, by style or by style map."""
+    """Some polygons a document, styled in line, by style or by style map.
+
+    Some documents carry prefixes, some polygons lie in nested geometries, a
+    style is given twice, and a placemark stands in a comment.
+    """
     f = features(s)
     seq = F.col("feature_seq")
     style = (
@@ -47,19 +51,27 @@ def kml_documents(s: Source, bad: bool = False) -> DataFrame:
         F.lit("<Placemark><name>"), F.col("name"),
         F.lit("</name><description>&lt;b&gt;Unit&lt;/b&gt;  text</description>"), style,
         F.lit('<ExtendedData><Data name="FID"><value>'), seq.cast("string"),
-        F.lit("</value></Data></ExtendedData><Polygon><outerBoundaryIs><LinearRing><coordinates>"), outer,
-        F.lit("</coordinates></LinearRing></outerBoundaryIs>"), holes, F.lit("</Polygon></Placemark>"))
+        F.lit("</value></Data></ExtendedData>"),
+        F.when(seq % 7 == 3, "<MultiGeometry><MultiGeometry>").otherwise(""),
+        F.lit("<Polygon><outerBoundaryIs><LinearRing><coordinates>"), outer,
+        F.lit("</coordinates></LinearRing></outerBoundaryIs>"), holes, F.lit("</Polygon>"),
+        F.when(seq % 7 == 3, "</MultiGeometry></MultiGeometry>").otherwise(""), F.lit("</Placemark>"))
     marks = f.select(F.shiftright("feature_seq", 5).alias("doc"), "feature_seq", mark.alias("kml"))
-    head = ('<kml><Document><Style id="s1"><PolyStyle><color>ff0000ff</color></PolyStyle></Style>'
+    head = ('<kml><Document><!-- <Placemark><Polygon></Polygon></Placemark> -->'
+            '<Style id="s1"><PolyStyle><color>ff00ff00</color></PolyStyle></Style>'
+            '<Style id="s1"><PolyStyle><color>ff0000ff</color></PolyStyle></Style>'
             '<StyleMap id="m1"><Pair><key>normal</key><styleUrl>#s1</styleUrl></Pair></StyleMap>')
+    whole = F.concat(F.lit(head), "kml", F.lit("</Document></kml>"))
     return joined_text(marks, "doc", "feature_seq", "kml").select(
-        F.col("doc").cast("string").alias("doc"), F.concat(F.lit(head), "kml", F.lit("</Document></kml>")).alias("kml"))
+        F.col("doc").cast("string").alias("doc"), F.col("doc").alias("doc_seq"),
+        F.when(F.col("doc") % 3 == 1, F.regexp_replace(whole, "(</?)(?=[A-Z])", "$1k:")).otherwise(whole).alias("kml"))
 
 
 @query("read_kml_polygons", f"""
 WITH legend AS (SELECT * FROM (VALUES {legend_values()}) AS t(code, color, title, detail)),
 c AS (SELECT *, {code_sql("label")} AS code FROM b_features)
-SELECT c.feature_seq AS fid, CASE WHEN l.code IS NOT NULL THEN upper(c.code) || ' — ' || l.title ELSE c.label END AS name,
+SELECT c.feature_seq AS fid, ROW_NUMBER() OVER (ORDER BY c.feature_seq) - 1 AS feature_seq,
+  CASE WHEN l.code IS NOT NULL THEN upper(c.code) || ' — ' || l.title ELSE c.label END AS name,
   c.code AS unit_code, CAST(6 AS INT) AS points, CAST(CASE WHEN has_hole THEN 1 ELSE 0 END AS INT) AS holes, west, north,
   CASE WHEN l.code IS NOT NULL THEN l.color WHEN feature_seq % 4 < 2 THEN '#ff0000' ELSE '#00ff00' END AS color,
   CASE WHEN l.code IS NOT NULL THEN 0.6e0 WHEN feature_seq % 4 < 2 THEN 1e0 ELSE ROUND(128 / 255e0, 9) END AS fill_opacity
@@ -68,7 +80,7 @@ FROM c LEFT JOIN legend l ON l.code = c.code
 def read_kml_polygons(s: Source) -> DataFrame:
     found = kml.kml_features(kml_documents(s))
     return found.select(
-        F.col("props")["fid"].cast("bigint").alias("fid"), "name", "unit_code", F.size("polygon").alias("points"),
+        F.col("props")["fid"].cast("bigint").alias("fid"), "feature_seq", "name", "unit_code", F.size("polygon").alias("points"),
         F.size("holes").alias("holes"), G.geometry_bounds("polygon")["west"].alias("west"),
         G.geometry_bounds("polygon")["north"].alias("north"), "color", F.round("fill_opacity", 9).alias("fill_opacity"))
 

@@ -1,8 +1,9 @@
 """KML and KMZ documents as tables of polygons and links.
 
 A document is one row (doc_seq, doc, kml). Its Placemark, Style, StyleMap and
-NetworkLink elements are cut out as text and parsed by ``from_xml``, so the
-work spreads over the elements and not only over the files.
+NetworkLink elements are cut out as text, dealt out by (doc, pos), and parsed by
+``from_xml``, so the parsing spreads over the elements and not only over the files.
+Comments do not count, and tags may carry a namespace prefix.
 """
 
 from __future__ import annotations
@@ -18,22 +19,22 @@ from pyspark.sql import functions as F
 from sitesift.functions import geometry as G
 from sitesift.functions import text as X
 from sitesift.operators import legends, links
+from sitesift.operators.numbering import number_rows
 
-# Archive limits, defaults of an unstyled unit.
-MAX_KMZ_BYTES = 32 * 1024 * 1024
-MAX_KML_BYTES = 128 * 1024 * 1024
+# Defaults of an unstyled unit.
 DEFAULT_NAME = "Geology unit"
 DEFAULT_COLOR, DEFAULT_OPACITY, OFFICIAL_OPACITY = "#5fa8d3", 0.5, 0.6
 
 _RING = "STRUCT<LinearRing: STRUCT<coordinates: STRING>>"
 _POLYGON = (f"STRUCT<outerBoundaryIs: ARRAY<{_RING}>, "
             "innerBoundaryIs: ARRAY<STRUCT<LinearRing: ARRAY<STRUCT<coordinates: STRING>>>>>")
+POLYGON = _POLYGON[len("STRUCT<"):-1].replace("outerBoundaryIs: ", "outerBoundaryIs ").replace(
+    "innerBoundaryIs: ", "innerBoundaryIs ")
 PLACEMARK = (
     "name STRING, description STRING, styleUrl STRING, "
     "Style STRUCT<PolyStyle: STRUCT<color: STRING>>, "
     "ExtendedData STRUCT<Data: ARRAY<STRUCT<_name: STRING, value: STRING>>, SchemaData: "
-    "STRUCT<SimpleData: ARRAY<STRUCT<_name: STRING, _VALUE: STRING>>>>, "
-    f"Polygon ARRAY<{_POLYGON}>, MultiGeometry STRUCT<Polygon: ARRAY<{_POLYGON}>>")
+    "STRUCT<SimpleData: ARRAY<STRUCT<_name: STRING, _VALUE: STRING>>>>")
 STYLE = "_id STRING, PolyStyle STRUCT<color: STRING>"
 STYLE_MAP = "_id STRING, Pair ARRAY<STRUCT<key: STRING, styleUrl: STRING>>"
 _BOX = "STRUCT<LatLonAltBox: STRUCT<north: STRING, south: STRING, east: STRING, west: STRING>>"
@@ -52,8 +53,6 @@ def _main_kml(content: bytes, strict: bool) -> str:
         if not names or (strict and len(names) != 1):
             raise ValueError("one KML document is needed")
         main = next((i for i in names if i.filename.lower() == "doc.kml"), names[0])
-        if main.file_size > MAX_KML_BYTES:
-            raise ValueError("the KML document is too large")
         return archive.read(main).decode("utf-8")
 
 
@@ -61,7 +60,7 @@ def kmz_documents(files: DataFrame, strict: bool = False) -> DataFrame:
     """(doc, kml, error) of KMZ archives (doc, content): doc.kml in any case,
     else the first KML; ``strict`` wants exactly one.
 
-    Unzipping is per file, in tasks. Content is null for a file over the limit.
+    Unzipping is per file, in tasks.
     """
 
     def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -69,8 +68,6 @@ def kmz_documents(files: DataFrame, strict: bool = False) -> DataFrame:
             rows = []
             for doc, content in zip(batch["doc"], batch["content"]):
                 try:
-                    if content is None:
-                        raise ValueError("the archive is too large")
                     rows.append((doc, _main_kml(bytes(content), strict), None))
                 except Exception as error:
                     rows.append((doc, None, str(error)))
@@ -82,33 +79,42 @@ def kmz_documents(files: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def read_kmz(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """``kmz_documents`` of files; one over the byte limit is not opened."""
-    files = spark.read.format("binaryFile").load(path).select(
-        F.col("path").alias("doc"),
-        F.when(F.col("length") <= MAX_KMZ_BYTES, F.col("content")).alias("content"))
+    """``kmz_documents`` of files, of any size."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("doc"), "content")
     return kmz_documents(files, strict)
 
 
+def blocks_of(text: Column, tag: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(rf"(?s)<{tag}(?:\s[^>]*)?>.*?</{tag}>"), F.lit(0))
+
+
+def plain_tags(text: Column) -> Column:
+    """The text without comments and without namespace prefixes of its tags."""
+    bare = F.regexp_replace(text, r"(?s)<!--.*?-->", "")
+    return F.regexp_replace(bare, r"(</?)[A-Za-z_][\w.-]*:(?=[A-Za-z_])", "$1")
+
+
 def elements(docs: DataFrame, tag: str, schema: str) -> DataFrame:
-    """(doc, pos, e): the ``tag`` elements of each document in order, parsed."""
-    blocks = F.regexp_extract_all(
-        F.col("kml"), F.lit(rf"(?s)<{tag}(?:\s[^>]*)?>.*?</{tag}>"), F.lit(0))
-    return docs.select("doc", F.posexplode(blocks).alias("pos", "_block")).select(
-        "doc", "pos", F.from_xml("_block", schema).alias("e"))
+    """(doc, pos, block, e): the ``tag`` elements of each document in order, parsed."""
+    blocks = blocks_of(plain_tags(F.col("kml")), tag)
+    dealt = docs.select("doc", F.posexplode(blocks).alias("pos", "block")).repartition("doc", "pos")
+    return dealt.select("doc", "pos", "block", F.from_xml("block", schema).alias("e"))
 
 
 def style_tables(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Shared styles (doc, style_id, color, opacity) and style maps (doc, style_id, target)."""
+    """Shared styles (doc, style_id, color, opacity) and style maps (doc, style_id, target).
+
+    Of several with one id in a document the last stands.
+    """
     color = X.kml_color("e.PolyStyle.color")
     styles = elements(docs, "Style", STYLE).where("e._id IS NOT NULL").select(
-        "doc", F.col("e._id").alias("style_id"), color.alias("_c")).where(
-        F.col("_c").isNotNull()).select("doc", "style_id", "_c.*").dropDuplicates(
-        ["doc", "style_id"])
+        "doc", "pos", F.col("e._id").alias("style_id"), color.alias("_c")).where(
+        F.col("_c").isNotNull()).groupBy("doc", "style_id").agg(
+        F.max_by("_c", "pos").alias("_c")).select("doc", "style_id", "_c.*")
     normal = F.filter("e.Pair", lambda p: F.trim(p["key"]) == "normal")
     target = F.regexp_replace(F.trim(F.get(normal, F.lit(0))["styleUrl"]), "^#", "")
-    maps = elements(docs, "StyleMap", STYLE_MAP).where("e._id IS NOT NULL").select(
-        "doc", F.col("e._id").alias("style_id"), target.alias("target")).dropDuplicates(
-        ["doc", "style_id"])
+    maps = elements(docs, "StyleMap", STYLE_MAP).where("e._id IS NOT NULL").groupBy(
+        "doc", F.col("e._id").alias("style_id")).agg(F.max_by(target, "pos").alias("target"))
     return styles, maps
 
 
@@ -145,12 +151,13 @@ def _properties() -> Column:
 
 def _polygons(docs: DataFrame) -> DataFrame:
     marks = elements(docs, "Placemark", PLACEMARK)
-    none = F.array().cast(f"array<{_POLYGON.replace(': ', ':')}>")
-    every = F.concat(F.coalesce("e.Polygon", none), F.coalesce("e.MultiGeometry.Polygon", none))
-    props = marks.select("doc", "pos", "e", _properties().alias("props"), every.alias("_all"))
+    # Every polygon inside the placemark, however its geometries are nested.
+    props = marks.select("doc", "pos", "e", _properties().alias("props"),
+                         blocks_of(F.col("block"), "Polygon").alias("_all"))
     # The generator stays in a select of its own: next to it, struct fields lose
     # their names.
-    parts = props.select("doc", "pos", "props", "e", F.posexplode("_all").alias("part", "p"))
+    parts = props.select("doc", "pos", "props", "e", F.posexplode("_all").alias("part", "_text")).select(
+        "doc", "pos", "props", "e", "part", F.from_xml("_text", POLYGON).alias("p"))
     return parts.select(
         "doc", "pos", "props", "part", "p",
         F.coalesce(F.nullif(F.trim("e.name"), F.lit("")), F.lit(DEFAULT_NAME)).alias("name"),
@@ -162,7 +169,8 @@ def _polygons(docs: DataFrame) -> DataFrame:
 def kml_features(docs: DataFrame, kind: str = "surficial", mode: str = "failfast") -> DataFrame:
     """One row per polygon, in source order (``feature_seq``), with official
     legend texts where the unit is known; ``docs`` has doc, kml and optionally
-    doc_seq.
+    doc_seq. The numbers run without a gap over all documents, in the order
+    of doc_seq, doc, placemark and polygon.
 
     A polygon with an unusable hole fails the job, or with ``mode="quarantine"``
     is left in with its ``error``. For ``kind="bedrock"`` every tuple and ring
@@ -211,9 +219,10 @@ def kml_features(docs: DataFrame, kind: str = "surficial", mode: str = "failfast
     styled = coded.join(resolved, ["doc", "style_id"], "left").join(
         docs.select("doc", "doc_seq"), "doc")
     official = F.col("title").isNotNull()
-    seq = F.shiftleft("doc_seq", 40) + F.shiftleft(F.col("pos").cast("bigint"), 16) + F.col("part")
-    return styled.select(
-        seq.alias("feature_seq"), "doc",
+    place = [F.col(c) for c in ("doc_seq", "doc", "pos", "part")]
+    numbered = number_rows(styled, [], None, place, "_nth")
+    return numbered.select(
+        (F.col("_nth") - 1).alias("feature_seq"), "doc",
         F.when(official, F.concat(F.upper("code"), F.lit(" — "), "title")).otherwise(F.col("_name"))
         .alias("name"),
         F.when(official, legends.unit_description("material", "detail"))
