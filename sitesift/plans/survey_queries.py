@@ -36,7 +36,25 @@ def dedupe_spots(s: Source) -> DataFrame:
     return surveys.dedupe_spots(s.sql(SPOTS)).select("drawing_id", "spot_id", "x", "y", "value")
 
 
-@query("dedupe_spots_greedy")
+# The sequential merge as a fold over the readings of each drawing, one reading a step.
+FOLDED = f"""
+WITH RECURSIVE s AS ({SPOTS}),
+r AS (SELECT drawing_id, ROW_NUMBER() OVER (PARTITION BY drawing_id ORDER BY spot_id) AS rn,
+  {{'spot_id': spot_id, 'x': x, 'y': y, 'value': value, 'raw': raw, 'confidence': confidence}} AS r FROM s),
+fold AS (SELECT drawing_id, CAST(1 AS BIGINT) AS n, [r] AS kept FROM r WHERE rn = 1
+  UNION ALL SELECT drawing_id, n + 1, CASE WHEN j IS NULL THEN list_append(kept, r)
+    WHEN r.confidence > kept[j].confidence THEN list_concat(list_append(kept[1:j - 1], r), kept[j + 1:]) ELSE kept END
+  FROM (SELECT f.drawing_id, f.n, f.kept, r.r, list_position(list_transform(f.kept, lambda k:
+      SQRT((k.x - r.r.x) * (k.x - r.r.x) + (k.y - r.r.y) * (k.y - r.r.y)) <= 40
+      AND (k.raw = r.r.raw OR ABS(k.value - r.r.value) < 0.011e0)), TRUE) AS j
+    FROM fold f JOIN r ON r.drawing_id = f.drawing_id AND r.rn = f.n + 1) step),
+last AS (SELECT drawing_id, arg_max(kept, n) AS kept FROM fold GROUP BY 1),
+k AS (SELECT drawing_id, unnest(kept) AS k FROM last)
+SELECT drawing_id, k.spot_id AS spot_id, k.x AS x, k.y AS y, k.value AS value FROM k
+"""
+
+
+@query("dedupe_spots_greedy", FOLDED)
 def dedupe_spots_greedy(s: Source) -> DataFrame:
     kept = surveys.dedupe_spots(s.sql(SPOTS), mode="greedy")
     return kept.select("drawing_id", "spot_id", "x", "y", "value")
