@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitesift.llm.units import Units
+from sitesift.llm.units import Units, latin_word, sliced
 
 
 @functools.cache
@@ -71,12 +71,14 @@ def encoder(path: str, pattern: str) -> Units:
     split = regex.compile(pattern).findall
     mapped = {b: c for b, c in enumerate(byte_characters())}
 
-    def encode(units: list[str]) -> list[np.ndarray]:
-        pieces = [[p.encode("utf-8") for p in split(u)] for u in units]
+    def encode(units: list[str]) -> list[bytes]:
+        pieces = [[u.encode("utf-8")] if latin_word(u[1:]) and u[0] == " " else [p.encode("utf-8") for p in split(u)] for u in units]
         hard = [p for ps in pieces for p in ps if p not in whole]
         ids = model.encode([p.decode("latin-1").translate(mapped) for p in hard], out_type=int, num_threads=1)
         found = dict(zip(hard, ids, strict=True))
-        return [np.array([i for p in ps for i in ([whole[p]] if p in whole else found[p])], dtype=np.uint32) for ps in pieces]
+        rows = [[i for p in ps for i in ([whole[p]] if p in whole else found[p])] for ps in pieces]
+        ends = np.cumsum([len(r) for r in rows])
+        return sliced(np.array([i for r in rows for i in r], dtype=np.uint32), ends)
 
     return Units(encode)
 
@@ -93,21 +95,36 @@ def encode(text: Column | str, path: str, pattern: str) -> Column:
     return ids(text)
 
 
+@functools.cache
+def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All tokens in a row as bytes, and where each starts and how long it is."""
+    tokens = rank_table(path)
+    sizes = np.array([len(t) for t in tokens], dtype=np.int64)
+    return np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(sizes) - sizes, sizes
+
+
+def bytes_of(ids: np.ndarray, path: str) -> bytes:
+    row, starts, sizes = token_bytes(path)
+    size = sizes[ids]
+    ends = np.cumsum(size)
+    return row[np.repeat(starts[ids] - ends + size, size) + np.arange(int(ends[-1]) if len(ids) else 0)].tobytes()
+
+
 def decode(ids: Column | str, path: str) -> Column:
     """binary: bytes of the ids."""
 
     @F.arrow_udf("binary")
     def data(lists: pa.Array) -> pa.Array:
-        tokens = rank_table(path)
-        return pa.array([None if x is None else b"".join([tokens[i] for i in x]) for x in
-                         (v.values.to_numpy().tolist() if v.is_valid else None for v in lists)], type=pa.binary())
+        return pa.array([bytes_of(v.values.to_numpy(), path) if v.is_valid else None for v in lists], type=pa.binary())
 
     return data(ids)
 
 
 def bpe_digest(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     coded = documents.select("doc_id", encode("text", path, pattern).alias("ids"))
+    # The text of an array is "[1, 2]": no string object per id, unlike joining an array of strings.
+    listed = F.btrim(F.replace(F.col("ids").cast("string"), F.lit(", "), F.lit(",")), F.lit("[]"))
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(listed, 256).alias("ids_sha256"),
         F.sha2(decode("ids", path), 256).alias("decoded_sha256"))

@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sitesift.llm.shared import stored
-from sitesift.llm.units import Units
+from sitesift.llm.units import Units, sliced
 
 MAGIC = b"PFOR"
 BLOCK = 128
@@ -39,7 +39,7 @@ SEGMENT_IDS = 1 << 18
 
 
 def bit_lengths(values: np.ndarray) -> np.ndarray:
-    return np.ceil(np.log2(values.astype(np.float64) + 1)).astype(np.uint8)
+    return np.frexp(values.astype(np.float64))[1].astype(np.uint8)
 
 
 def packed_words(values: np.ndarray, width: int) -> np.ndarray:
@@ -145,17 +145,17 @@ def encoder(path: str) -> Units:
     # Every character of a byte-level token is one byte.
     width = np.array([len(model.id_to_token(i) or "") for i in range(size)], dtype=np.int64)
 
-    def encode(units: list[str]) -> list[np.ndarray]:
+    def encode(units: list[str]) -> list[bytes]:
         """Units are encoded in long joined runs where a cut between them is none for the split pattern."""
-        out: list[np.ndarray] = []
+        out: list[bytes] = []
         for at in range(0, len(units), 512):
             some = units[at: at + 512]
             if all(u[:1] == " " and not u[-1:].isspace() for u in some):
                 ids = np.array(model.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, dtype=np.uint32)
                 ends = np.cumsum([len(u.encode()) for u in some])
-                out.extend(np.split(ids, np.searchsorted(np.cumsum(width[ids]), ends[:-1], side="right")))
+                out.extend(sliced(ids, np.searchsorted(np.cumsum(width[ids]), ends, side="right")))
             else:
-                out.extend(np.array(e.ids, dtype=np.uint32) for e in model.encode_batch_fast(some, add_special_tokens=False))
+                out.extend(np.array(e.ids, dtype="<u4").tobytes() for e in model.encode_batch_fast(some, add_special_tokens=False))
         return out
 
     return Units(encode)

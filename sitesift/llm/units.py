@@ -8,11 +8,15 @@ Most units are a word with its space, and most words come again.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import compress, count
+from operator import not_
 
 import numpy as np
 
-#: Units kept per Python worker (about 200 bytes each); beyond, the cache starts anew.
+#: Units in one generation of the cache of a Python worker (about 200 bytes each).
 CACHE_UNITS = 400_000
+MARKS = ".,"
+CHARS_AT_ONCE = 1 << 20
 #: White space of the split pattern; before a space, these forbid the cut.
 ASCII_BLANKS = "\t\n\x0b\x0c\r "
 OTHER_BLANKS = "\x85\xa0                　"
@@ -27,32 +31,75 @@ def cut(text: str) -> list[str] | None:
     return text.split(" ")
 
 
+def sliced(ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """The 32-bit ids between successive ``ends`` as bytes."""
+    raw, at = ids.astype("<u4").tobytes(), [0, *(4 * ends).tolist()]
+    return [raw[a:b] for a, b in zip(at, at[1:])]
+
+
+def latin_word(text: str) -> bool:
+    """Letters only, of blocks in which every Unicode version sees the same letters."""
+    return text.isalpha() and (text.isascii() or max(text) < "\u0250")
+
+
 class Units:
-    """Ids of whole texts through ``encode``, which takes many units and gives an id array for each."""
+    """Ids of whole texts through ``encode``, which takes many units and gives the bytes of the ids of each.
 
-    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]]):
+    The cache has two generations: when the newer one is full it becomes the older one, and what is used again
+    moves over, so frequent words stay. A word with a full stop or comma is its word's ids and the mark's.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
         self.encode = encode
-        self.after_space: dict[str, bytes] = {}  # key "x" holds the ids of " x"
-        self.plain: dict[str, bytes] = {}
-
-    def _learn(self, known: dict[str, bytes], keys: set[str], lead: str) -> None:
-        missing = [k for k in keys if k not in known]
-        if missing:
-            if len(known) + len(missing) > CACHE_UNITS:
-                known.clear()
-                missing = list(keys)
-            for key, ids in zip(missing, self.encode([lead + k for k in missing]), strict=True):
-                known[key] = ids.astype("<u4").tobytes()
+        self.newer: dict[str, bytes] = {}  # key "x" holds the ids of " x"
+        self.older: dict[str, bytes] = {}
+        self.marks = dict(zip(MARKS, encode(list(MARKS)), strict=True))
+
+    def _learn(self, keys: set[str]) -> None:
+        newer, older = self.newer, self.older
+        fresh = []
+        for key in keys:
+            ids = older.get(key)
+            if ids is None:
+                fresh.append(key)
+            else:
+                newer[key] = ids
+        marked = [k for k in fresh if k[-1:] in self.marks and latin_word(k[:-1])]
+        plain = set(fresh).difference(marked)
+        plain.update(w for k in marked if (w := k[:-1]) not in newer and w not in older)
+        units = list(plain)
+        newer.update(zip(units, self.encode([" " + u for u in units]), strict=True))
+        for key in marked:
+            newer[key] = (newer.get(key[:-1]) or older[key[:-1]]) + self.marks[key[-1]]
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
+        """Little-endian 32-bit ids of each text; about a million characters are cut at a time."""
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end]) <= CHARS_AT_ONCE):
+                size += len(texts[end])
+                end += 1
+            out.extend(self._some(texts[at:end]))
+            at = end
+        return out
+
+    def _some(self, texts: list[str]) -> list[bytes]:
+        if len(self.newer) > CACHE_UNITS:
+            self.older, self.newer = self.newer, {}
         parts = [cut(t) for t in texts]
-        self._learn(self.plain, {p[0] if p is not None else t for p, t in zip(parts, texts)}, "")
-        words: set[str] = set()
+        heads = iter(self.encode([t if p is None else p[0] for p, t in zip(parts, texts)]))
+        known, rows, holes = self.newer.get, [], []
         for p in parts:
-            if p is not None:
-                words.update(p[1:])
-        self._learn(self.after_space, words, " ")
-        first, rest = self.plain, self.after_space
-        return [first[t] if p is None else b"".join([first[p[0]], *map(rest.__getitem__, p[1:])])
-                for p, t in zip(parts, texts)]
+            row = [] if p is None else list(map(known, p))
+            if row:
+                row[0] = b"\0"  # its place; a head has no space before it
+                holes.extend((row, i, p[i]) for i in compress(count(), map(not_, row)))
+                row[0] = b""
+            rows.append(row)
+        if holes:
+            self._learn({key for _, _, key in holes})
+            for row, i, key in holes:
+                row[i] = self.newer[key]
+        return [head + b"".join(row) for head, row in zip(heads, rows, strict=True)]
