@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitesift.llm import bpe, decontaminate, neardup, quality, secrets
-from sitesift.llm.shared import stored, table
+from sitesift.llm.shared import small_batches, stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rule, or that the weighed votes call bad, go."""
+    small_batches(spark)
     return quality.judge(docs)
 
 
@@ -37,6 +38,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, source, lang, ids, n_tokens, round_trip): token ids, and whether they decode to the text."""
+    small_batches(spark)
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     coded = docs.select("doc_id", "source", "lang", F.coalesce("text", F.lit("")).alias("text"),
                         bpe.encode("text", vocabulary, public_tokenizers.PATTERN).alias("ids"))

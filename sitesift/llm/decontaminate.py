@@ -232,11 +232,14 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 def holds_item(text: Column | str, items: list[str]) -> Column:
     """Whether the text holds one of the normal texts ``items`` (a block of bounded size)."""
     shared = SparkSession.active().sparkContext.broadcast(items)
+    made: list[Block] = []  # one in each task
 
     @F.arrow_udf("boolean")
     def holds(column: pa.Array) -> pa.Array:
+        if not made:
+            made.append(Block(shared.value))
         hit = np.zeros(len(column), dtype=bool)
-        for number, *_ in search([normal(t) for t in column.to_pylist()], Block(shared.value)):
+        for number, *_ in search([normal(t) for t in column.to_pylist()], made[0]):
             hit[number] = True
         return pa.array(hit)
 

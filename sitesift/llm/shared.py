@@ -6,15 +6,24 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitesift.session import durable
 
-__all__ = ["components", "durable", "known_to", "split_words", "stored", "table", "unknown_to"]
+__all__ = ["components", "durable", "known_to", "small_batches", "split_words", "stored", "table", "unknown_to"]
+
+
+#: Rows in an Arrow batch. Texts are long, and an executor holds a batch and its results for each task.
+BATCH_ROWS = "1000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -25,6 +34,7 @@ def stored(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     context = spark.sparkContext
+    small_batches(spark)
     if context.getCheckpointDir() is None:
         durable(spark.range(1))  # settles the folder: the setting, or a temporary one in local mode
     path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
@@ -71,13 +81,21 @@ def known_to(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     moves any of their columns. When there are so many ids that it is full, the join alone decides.
     """
     near, _ = marked(df, key, ids)
-    return near.join(ids.distinct().toDF("_known"), F.col(key) == F.col("_known"), "left_semi")
+    return near.join(*listed(df, key, ids), "left_semi")
 
 
 def unknown_to(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """Rows of ``df`` whose ``key`` is null or not in the one column of ``ids``."""
     near, far = marked(df, key, ids)
-    return far.union(near.join(ids.distinct().toDF("_known"), F.col(key) == F.col("_known"), "left_anti"))
+    return far.union(near.join(*listed(df, key, ids), "left_anti"))
+
+
+def listed(df: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, Column]:
+    """The ids under a name that ``df`` does not have, and the condition that meets them."""
+    name = "known"
+    while name in df.columns:
+        name += "_"
+    return ids.distinct().toDF(name), F.col(key) == F.col(name)
 
 
 def components(links: DataFrame) -> DataFrame:
