@@ -7,7 +7,7 @@ similarity (0.8 or more), and links form components. A crowded band bucket is so
 hashes and walked, with fresh orders until nothing new is found.
 
 Passages also stand inside and across lines. Where a paragraph cannot be the unit, a piece of 32 words
-is: pieces start at the words whose 5-word shingle has the least hash among 16 in a row. Any 51 words
+is: pieces start at the words whose 5-word shingle has the least hash among 20 in a row. Any 51 words
 that occur in two documents therefore share a piece. Equal pieces collide (a band of all their words),
 overlapping pieces of a document are one passage, and passages with a common piece form components.
 
@@ -33,8 +33,8 @@ from sitesift.llm.neardup import (
 from sitesift.llm.shared import components, durable, known_to, split_words, stored
 
 LEAST_WORDS = 50
-PIECE_WORDS, ANCHOR_SPAN = 32, 16
-SHARE, RECALL, SIGNATURE = 80, 0.999, 64
+PIECE_WORDS, ANCHOR_SPAN = 32, 20
+SHARE, RECALL, SIGNATURE = 80, 0.99, 60
 #: Paragraphs of one document that have own ids (50 words each or more).
 PARAGRAPHS = 1 << 20
 
@@ -56,9 +56,6 @@ def paragraphs(text: str | None) -> Iterator[tuple[int, int, str]]:
         at += n
 
 
-POWERS = {1: np.ones(1, dtype=np.uint64)}
-
-
 def pieces(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(first word, 64-bit hash) of every anchored piece."""
     words = split_words(text)
@@ -75,7 +72,7 @@ def pieces(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     else:
         spans = np.lib.stride_tricks.sliding_window_view(order, ANCHOR_SPAN)
         anchors = np.unique(np.argmin(spans, axis=1) + np.arange(len(spans)))
-    # Hash of the words from each anchor on, by differences of a polynomial prefix sum, doubled up to 32 words.
+    # Hash of the words from each place on, by doubling up to 32 words.
     hashes, width = codes, 1
     while width < PIECE_WORDS:
         hashes = mixed(hashes[:-width] * FACTORS[width % 7] + hashes[width:])

@@ -66,8 +66,8 @@ def hot_windows(run: Column) -> Column:
     none = F.expr("CAST(array() AS array<struct<start:int,end:int>>)")
 
     def step(state: Column, i: Column) -> Column:
-        come = F.get(codes, i)
-        go = F.when(i >= WINDOW, F.get(codes, i - WINDOW)).otherwise(F.lit(-1))
+        come = F.get(state["codes"], i)
+        go = F.when(i >= WINDOW, F.get(state["codes"], i - WINDOW)).otherwise(F.lit(-1))
         of_come, of_go = F.get(state["counts"], come), F.get(state["counts"], go)
         change = F.when(come == go, 0).otherwise(
             F.get(terms, of_come + 1) - F.get(terms, of_come)
@@ -80,9 +80,11 @@ def hot_windows(run: Column) -> Column:
         joined = F.concat(F.slice(state["out"], 1, F.size(state["out"]) - 1), F.array(F.struct(last["start"].alias("start"), end.alias("end"))))
         added = F.concat(state["out"], F.array(F.struct(start.alias("start"), end.alias("end"))))
         out = F.when(~hot, state["out"]).when((F.size(state["out"]) > 0) & (last["end"] >= start), joined).otherwise(added)
-        return F.struct(counts.alias("counts"), total.alias("total"), state["limit"].alias("limit"), out.alias("out"))
+        return F.struct(state["codes"].alias("codes"), counts.alias("counts"), total.alias("total"),
+                        state["limit"].alias("limit"), out.alias("out"))
 
-    first = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0).alias("total"),
+    # The codes travel in the state: an expression outside would be evaluated anew in every step.
+    first = F.struct(codes.alias("codes"), F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0).alias("total"),
                      limit.cast("int").alias("limit"), none.alias("out"))
     return F.aggregate(F.sequence(F.lit(0), F.length(run) - 1), first, step, lambda s: s["out"])
 
@@ -123,16 +125,18 @@ def scan_digest(documents: DataFrame) -> DataFrame:
 
 
 def redact(documents: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """Every found span replaced by ``mark``; spans that overlap or touch count as one."""
-    found = scan(documents, text)
+    """Every found span replaced by ``mark``; spans that overlap or touch count as one. Same columns."""
+    packed = documents.select(F.struct("*").alias("doc"), F.col(text).alias("text"))
     spans = F.array_sort(F.concat(*[F.col(f"secrets.{k}") for k in KINDS]))
+    found = scan(packed).select("doc", "text", spans.alias("spans"))
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def cut(state: Column, s: Column) -> Column:
-        gap = F.substr(F.col(text), state["at"] + 1, s["start"] - state["at"])
+        gap = F.substr(F.col("text"), state["at"] + 1, s["start"] - state["at"])
         fresh = (s["start"] > state["at"]) | (state["out"] == "")
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"),
                         F.when(fresh, F.concat(state["out"], gap, F.lit(mark))).otherwise(state["out"]).alias("out"))
 
-    clean = F.aggregate(spans, first, cut, lambda s: F.concat(s["out"], F.substr(F.col(text), s["at"] + 1)))
-    return found.withColumn(text, F.when(F.size(spans) > 0, clean).otherwise(F.col(text))).drop("secrets")
+    clean = F.aggregate("spans", first, cut, lambda s: F.concat(s["out"], F.substr(F.col("text"), s["at"] + 1)))
+    body = F.when(F.size("spans") > 0, clean).otherwise(F.col("text"))
+    return found.select(*[body.alias(c) if c == text else F.col(f"doc.`{c}`") for c in documents.columns])
