@@ -8,11 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sitesift.llm import (
-    bpe, chat, decontaminate, licenses, neardup, packed, passages, quality, secrets, shards)
+    bpe, chat, decontaminate, licenses, neardup, oracles, packed, passages, quality, secrets, shards)
 from sitesift.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+#: SQL where it can express the query; the others are tested against brute force.
+ORACLES: dict[str, str] = {
+    "op3_secret_scan": oracles.SECRETS, "op5_chat_format": oracles.CHAT, "op7_near_duplicates": oracles.NEAR,
+}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):

@@ -14,7 +14,7 @@ from operator import not_
 import numpy as np
 
 #: Units in one generation of the cache of a Python worker (about 200 bytes each).
-CACHE_UNITS = 400_000
+CACHE_UNITS = 600_000
 MARKS = ".,"
 CHARS_AT_ONCE = 1 << 20
 #: White space of the split pattern; before a space, these forbid the cut.
