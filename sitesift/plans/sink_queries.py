@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from sitesift.plans.registry import query, scalar
 from sitesift.plans.site_queries import features
 from sitesift.plans.survey_queries import SPOTS, contours
 from sitesift.sinks import exports
+from sitesift.session import shared_folder
 
 OPTIONS = {"image_height": 190, "scale": 1500, "dpi": 300, "origin_e": 500000.0,
            "origin_n": 4800000.0, "start": 7, "description": "spot elev"}
@@ -126,8 +129,11 @@ SELECT CASE WHEN feature_seq % 2 = 0 THEN 'surficial' ELSE 'bedrock' END AS data
 FROM b_features GROUP BY 1, 2
 """)
 def write_feature_tiles(s: Source) -> DataFrame:
-    tiled = features(s).withColumn("tile", exports.tile_of())
-    return exports.tile_manifest(tiled.drop("west", "south", "east", "north"), "dataset_id", "tile")
+    """Written, published, read again through the contract, and summed up."""
+    path = f"{shared_folder(s.spark)}/tiles-{uuid.uuid4().hex}"
+    exports.write_feature_tiles(features(s), path, s.table("part").count())
+    stored = exports.read_feature_tiles(s.spark, path)
+    return exports.tile_manifest(stored.drop("west", "south", "east", "north"), "dataset_id", "tile")
 
 
 @query("write_source_record", """

@@ -33,20 +33,25 @@ def local_session(cpus: int | str = 8, app: str = "sitesift", **conf: str) -> Sp
     return spark
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, named by ``spark.checkpoint.dir``.
 
-    The folder is the shared one named by ``spark.checkpoint.dir``. Only a
-    local-mode session without that setting (tests) gets a temporary folder;
-    a cluster without it is an error, because a machine-local folder is lost
-    with its executor.
+    Only a local-mode session without that setting (tests) gets a temporary
+    folder; a cluster without it is an error, because a machine-local folder is
+    lost with its executor.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not context.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a shared folder")
             folder = tempfile.mkdtemp(prefix="sitesift-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

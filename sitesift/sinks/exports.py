@@ -8,9 +8,10 @@ its part files in name order.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitesift.functions import geodesy as D
@@ -304,23 +305,56 @@ def write_feature_tiles(features: DataFrame, path: str, expected: int, cell: flo
     """Write features (with west, south, east, north) as Parquet by dataset and
     tile, then check what was written and add ``manifest`` and ``status``.
 
-    ``status`` says complete only when the stored features are as many as
-    ``expected``. Range partitioning splits a crowded tile over files.
+    ``status`` first says incomplete, so that a failing write leaves no old
+    promise standing; each write has a version folder of its own; last, ``status``
+    names the version, and says complete only when the stored features are as
+    many as ``expected``. Range partitioning splits a crowded tile over files.
     """
+    spark = features.sparkSession
+    version = uuid.uuid4().hex
+    publish_status(spark, path, version, expected, 0, False)
     tiled = features.withColumn("tile", tile_of(cell))
-    tiled.repartitionByRange("dataset_id", "tile", "feature_seq").write.mode("overwrite").partitionBy(
-        "dataset_id", "tile").parquet(f"{path}/features")
-    stored = features.sparkSession.read.parquet(f"{path}/features")
+    tiled.repartitionByRange("dataset_id", "tile", "feature_seq").write.partitionBy(
+        "dataset_id", "tile").parquet(f"{path}/{version}/features")
+    stored = spark.read.parquet(f"{path}/{version}/features")
     manifest = tile_manifest(stored.drop("west", "south", "east", "north"), "dataset_id", "tile")
-    manifest.write.mode("overwrite").parquet(f"{path}/manifest")
-    written = features.sparkSession.read.parquet(f"{path}/manifest")
-    status = written.agg(F.coalesce(F.sum("feature_count"), F.lit(0)).alias("saved")).select(
-        F.lit(expected).cast("bigint").alias("expected"), "saved",
-        (F.col("saved") == expected).alias("complete"))
-    status.write.mode("overwrite").parquet(f"{path}/status")
+    manifest.write.parquet(f"{path}/{version}/manifest")
+    written = spark.read.parquet(f"{path}/{version}/manifest")
+    saved = written.agg(F.coalesce(F.sum("feature_count"), F.lit(0)).alias("n")).first()["n"]
+    publish_status(spark, path, version, expected, saved, saved == expected)
     return written
 
 
+def publish_status(spark: SparkSession, path: str, version: str, expected: int, saved: int, complete: bool) -> None:
+    row = spark.createDataFrame(
+        [(version, expected, saved, complete)], "version STRING, expected BIGINT, saved BIGINT, complete BOOLEAN")
+    row.coalesce(1).write.mode("overwrite").parquet(f"{path}/status")
+
+
+def read_feature_tiles(spark: SparkSession, path: str, bounds: dict[str, float] | None = None) -> DataFrame:
+    """Features of the published version, those whose box meets ``bounds`` if given.
+
+    Refuses an incomplete cache, and one whose stored tiles differ from the
+    manifest in count or bounds.
+    """
+    status = spark.read.parquet(f"{path}/status").first()
+    if not status["complete"] or status["saved"] != status["expected"]:
+        raise ValueError(f"the tile cache is incomplete: {status['saved']} of {status['expected']} features")
+    stored = spark.read.parquet(f"{path}/{status['version']}/features")
+    manifest = spark.read.parquet(f"{path}/{status['version']}/manifest")
+    here = tile_manifest(stored.drop("west", "south", "east", "north"), "dataset_id", "tile")
+    columns = ["dataset_id", "tile", "west", "south", "east", "north", "feature_count"]
+    wrong = here.select(columns).exceptAll(manifest.select(columns)).union(
+        manifest.select(columns).exceptAll(here.select(columns)))
+    if not wrong.isEmpty():
+        raise ValueError("stored tiles differ from the manifest")
+    if bounds is None:
+        return stored
+    from sitesift.operators.sites import scan_tiles
+
+    return scan_tiles(stored, {k: F.lit(v) for k, v in bounds.items()})
+
+
 # Fixed value: where the mirrored service keeps its polygons.
 MIRROR = "/mines/data/google/mrd128/"
 

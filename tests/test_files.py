@@ -3,6 +3,7 @@
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from sitesift.operators import links
@@ -82,6 +83,16 @@ def test_feature_tiles(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t" / "status")).first()["complete"]
     exports.write_feature_tiles(given, str(tmp_path / "t2"), n + 1)
     assert not spark.read.parquet(str(tmp_path / "t2" / "status")).first()["complete"]
+    with pytest.raises(ValueError, match="incomplete"):
+        exports.read_feature_tiles(spark, str(tmp_path / "t2"))
+    some = exports.read_feature_tiles(spark, str(tmp_path / "t"), {"west": -90.0, "south": 43.0, "east": -89.0, "north": 44.0})
+    assert 0 < some.count() < n
+    # A rewrite that fails half-way leaves no promise of the version before.
+    broken = given.withColumn("west", F.when(F.col("feature_seq") > 5, F.raise_error(F.lit("broken"))).otherwise(F.col("west")))
+    with pytest.raises(Exception, match="broken"):
+        exports.write_feature_tiles(broken, str(tmp_path / "t"), n)
+    with pytest.raises(ValueError, match="incomplete"):
+        exports.read_feature_tiles(spark, str(tmp_path / "t"))
 
 
 def test_projects_and_world_files(spark, tmp_path):
