@@ -240,6 +240,8 @@ def test_contour_labels(spark):
     cut = spark.createDataFrame([(1, 1, 0.0, 50.0, 40.0, 50.0)], "drawing_id INT, cut_id INT, cut_x1 DOUBLE, cut_y1 DOUBLE, cut_x2 DOUBLE, cut_y2 DOUBLE")
     out = {r["contour_id"]: r["elevation"] for r in surveys.label_contours(table, cut, 100.0, 2.0).collect()}
     assert out == {1: 100.0, 2: 102.0, 3: 104.0, 4: None, 5: None}
+    two = surveys.label_contours(table, cut.union(cut.withColumn("cut_id", F.lit(2))), 100.0, 2.0).collect()
+    assert {r["contour_id"]: r["elevation"] for r in two} == out and len(two) == 5
 
 
 def readings(rng, n, size):
@@ -303,5 +305,46 @@ def test_deep_links_are_reported(spark):
     roots = spark.createDataFrame([(1, 0), (2, 6)], "root_id INT, doc INT")
     out = links.reachable_documents(edges, roots).collect()
     depths = {(r["root_id"], r["doc"]): r["depth"] for r in out}
-    assert depths[(1, 6)] == 6 and (1, 7) not in depths and depths[(2, 9)] == 3
+    assert depths[(1, 6)] == 6 and depths[(1, 9)] == 9 and depths[(2, 9)] == 3
     assert {r["root_id"]: r["within_limits"] for r in out} == {1: False, 2: True}
+
+
+def test_null_keys_are_numbered(spark):
+    rows = [(None, None), (None, 1), (None, 5000000), (1, None), (1, 2)]
+    table = spark.createDataFrame(rows, "g INT, k BIGINT")
+    for blocks in ([F.shiftright("k", 20)], None):
+        out = {(r["g"], r["k"]): r["n"] for r in number_rows(table, ["g"], blocks, [F.col("k")], "n").collect()}
+        assert out == {(None, None): 1, (None, 1): 2, (None, 5000000): 3, (1, None): 1, (1, 2): 2}
+
+
+def test_sampled_ranges_number_one_prefix(spark):
+    table = spark.range(4000).select(F.lit(7).alias("g"), F.format_string("images/Figure-%05d", F.col("id")).alias("k"))
+    out = number_rows(table, ["g"], None, [F.col("k")], "n")
+    assert out.where(F.col("n") != F.substring("k", 15, 5).cast("int") + 1).count() == 0
+
+
+def test_missing_and_infinite_readings(spark):
+    nan = float("nan")
+    rows = [(1, 1, 0.0, 0.0, nan, "a", 0.5), (1, 2, 1.0, 0.0, nan, "b", 0.5), (1, 3, 1.0, 1.0, 0.001, "c", 0.5),
+            (2, 1, 0.0, 0.0, 5.0, None, None), (2, 2, 1.0, 0.0, 9.0, None, 0.9)]
+    table = spark.createDataFrame(rows, SPOT)
+    for mode in ("best", "greedy"):
+        found = surveys.dedupe_spots(table, mode=mode).collect()
+        assert {(r["drawing_id"], r["spot_id"]) for r in found} == {(1, 1), (1, 2), (1, 3), (2, 2)}, mode
+
+
+def test_lines_without_points_stay(spark):
+    line = [(0.0, 0.0), (0.0, 10.0)]
+    schema = f"drawing_id INT, contour_id BIGINT, layer STRING, points {RING}"
+    new = spark.createDataFrame([(1, 1, "CONTOUR", line), (1, 2, "CONTOUR", line), (1, 3, "CONTOUR", []),
+                                 (None, 4, "CONTOUR", line), (1, 5, "CONTOUR", None)], schema)
+    stay = surveys.near_duplicate_lines(new, new.limit(0)).collect()
+    assert {r["contour_id"] for r in stay} == {1, 3, 4, 5}
+
+
+def test_all_layers_are_joined(spark):
+    rows = [(1, i, f"n{i:02d}", "a", "l", "e") for i in range(25)] + [(2, 0, "x", None, "l", "e")]
+    table = spark.createDataFrame(rows, "item INT, ord INT, name STRING, attribution STRING, license STRING, evidence STRING")
+    out = {r["item"]: r for r in manifests.aggregate_provenance(table, "item").collect()}
+    assert out[1]["provider"].split(" + ") == [f"n{i:02d}" for i in range(25)] and out[1]["error"] == "too-many-layers"
+    assert out[2]["provider"] == "x" and out[2]["error"] is None
