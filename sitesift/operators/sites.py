@@ -98,6 +98,16 @@ def feature_edges(features: DataFrame) -> DataFrame:
     )
 
 
+EDGE_BANDS = 16
+
+
+def _band(y: Column, south: str, north: str) -> Column:
+    """Number of the band of a feature's height that ``y`` lies in; outside counts to the nearest."""
+    height = F.greatest(F.col(north) - F.col(south), F.lit(1e-12))
+    return F.greatest(F.lit(0), F.least(F.lit(EDGE_BANDS - 1), F.floor(
+        (y - F.col(south)) / height * EDGE_BANDS))).cast("int")
+
+
 def site_hits_by_edges(
     sites: DataFrame, features: DataFrame, site_key: str = "site_id",
     lat: str = "lat", lng: str = "lng", profile: grid.GridProfile | None = None,
@@ -105,15 +115,21 @@ def site_hits_by_edges(
 ) -> DataFrame:
     """(site, feature_seq) like ``site_hits``, from exploded edges.
 
-    For rings of many vertices: code-generated, and a feature with many sites
-    is split by adaptive execution, since the join key is the feature.
+    For rings of many vertices. A site meets only the edges in its band of the feature's height. The
+    join is on (feature, band) and the aggregate on the site, so there is an exchange between
+    them and adaptive execution may split the sites of a crowded feature.
     """
     boxed = with_box(features, True, stored_box).select("feature_seq", *BOX)
     located = sites.select(site_key, lat, lng).where(G.valid_location(lat, lng))
     near = grid.points_in_boxes(
         located, boxed, lng, lat, BOX, profile=profile, pad=G.EDGE_TOLERANCE)
-    pairs = near.select(site_key, lat, lng, "feature_seq").join(
-        feature_edges(features), "feature_seq")
+    south, north = BOX[1], BOX[3]
+    edges = feature_edges(features).join(boxed.select("feature_seq", south, north), "feature_seq")
+    low = _band(F.least("y1", "y2") - G.EDGE_TOLERANCE, south, north)
+    high = _band(F.greatest("y1", "y2") + G.EDGE_TOLERANCE, south, north)
+    edges = edges.withColumn("_band", F.explode(F.sequence(low, high))).drop(south, north)
+    pairs = near.withColumn("_band", _band(F.col(lat), south, north)).select(
+        site_key, lat, lng, "feature_seq", "_band").join(edges, ["feature_seq", "_band"])
     crossing = G.edge_crosses_ray(lng, lat, "x2", "y2", "x1", "y1").cast("int")
     touching = G.on_segment(lng, lat, "x1", "y1", "x2", "y2").cast("int")
     rings = pairs.groupBy(site_key, "feature_seq", "ring_no").agg(
