@@ -76,8 +76,9 @@ def utm_zone(lng, lat) -> Column:
     )
 
 
-def _krueger() -> tuple[float, float, list[float]]:
-    """Rectifying radius, eccentricity and forward coefficients to fourth order."""
+def _krueger() -> tuple[float, float, list[float], list[float], list[float]]:
+    """Rectifying radius, eccentricity, and to fourth order the forward and inverse coefficients and
+    those from conformal to geodetic latitude."""
     f = 1 / GRS80_INVERSE_F
     n = f / (2 - f)
     radius = GRS80_A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
@@ -87,10 +88,22 @@ def _krueger() -> tuple[float, float, list[float]]:
         61 * n**3 / 240 - 103 * n**4 / 140,
         49561 * n**4 / 161280,
     ]
-    return radius, math.sqrt(f * (2 - f)), alpha
+    beta = [
+        n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360,
+        n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440,
+        17 * n**3 / 480 - 37 * n**4 / 840,
+        4397 * n**4 / 161280,
+    ]
+    delta = [
+        2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45,
+        7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45,
+        56 * n**3 / 15 - 136 * n**4 / 35,
+        4279 * n**4 / 630,
+    ]
+    return radius, math.sqrt(f * (2 - f)), alpha, beta, delta
 
 
-KRUEGER_RADIUS, GRS80_E, KRUEGER_ALPHA = _krueger()
+KRUEGER_RADIUS, GRS80_E, KRUEGER_ALPHA, KRUEGER_BETA, KRUEGER_DELTA = _krueger()
 
 
 def to_utm(lng, lat, zone) -> Column:
@@ -127,41 +140,28 @@ def to_utm(lng, lat, zone) -> Column:
 
 
 def from_utm(e, n, zone) -> Column:
-    """STRUCT<lng, lat, error> by the footpoint-latitude series."""
+    """STRUCT<lng, lat, error> by the inverse of the series in ``to_utm``."""
     e, n, zone = col(e), col(n), col(zone)
-    e2 = GRS80_E**2
-    second = e2 / (1 - e2)
-    e1 = (1 - math.sqrt(1 - e2)) / (1 + math.sqrt(1 - e2))
-    mu = n / (UTM_SCALE * GRS80_A * (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256))
-    series = [
-        3 * e1 / 2 - 27 * e1**3 / 32, 21 * e1**2 / 16 - 55 * e1**4 / 32,
-        151 * e1**3 / 96, 1097 * e1**4 / 512,
-    ]
-    foot = mu
-    for j, k in enumerate(series, start=1):
-        foot = foot + F.sin(mu * (2 * j)) * k
+    scale = UTM_SCALE * KRUEGER_RADIUS
+    grid = point((e - 500_000) / scale, n / scale)
 
-    def radii(f: Column) -> Column:
-        curve = F.lit(1.0) - F.sin(f) * F.sin(f) * e2
-        prime = F.lit(GRS80_A) / F.sqrt(curve)
-        return F.struct(
-            f.alias("f"), prime.alias("prime"),
-            (F.lit(GRS80_A * (1 - e2)) / F.pow(curve, F.lit(1.5))).alias("meridian"),
-            (F.tan(f) * F.tan(f)).alias("t"), (F.cos(f) * F.cos(f) * second).alias("c"),
-            ((e - 500_000) / (prime * UTM_SCALE)).alias("d"))
+    def sphere(g: Column) -> Column:
+        eta, xi = g["x"], g["y"]
+        across, along = eta, xi
+        for j, b in enumerate(KRUEGER_BETA, start=1):
+            across = across - F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j)) * b
+            along = along - F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j)) * b
+        return point(across, along)
+
+    def conformal(v: Column) -> Column:
+        return point(F.atan2(F.sinh(v["x"]), F.cos(v["y"])), F.asin(F.sin(v["y"]) / F.cosh(v["x"])))
 
     def place(v: Column) -> Column:
-        f, t, c, d = v["f"], v["t"], v["c"], v["d"]
-        d2 = d * d
-        lat = f - v["prime"] * F.tan(f) / v["meridian"] * d2 * (
-            F.lit(0.5)
-            - (t * 3 + c * 10 - c * c * 4 + 5 - 9 * second) * d2 / 24
-            + (t * 90 + c * 298 + t * t * 45 - c * c * 3 + 61 - 252 * second) * d2 * d2 / 720)
-        lng = (zone * 6 - 183) * DEG + d * (
-            F.lit(1.0) - (t * 2 + c + 1) * d2 / 6
-            + (t * 28 - c * 2 - c * c * 3 + t * t * 24 + 5 + 8 * second) * d2 * d2 / 120
-        ) / F.cos(f)
-        return point(lng / DEG, lat / DEG)
+        chi = v["y"]
+        lat = chi
+        for j, d in enumerate(KRUEGER_DELTA, start=1):
+            lat = lat + F.sin(chi * (2 * j)) * d
+        return point(v["x"] / DEG + (zone * 6 - 183), lat / DEG)
 
     def checked(p: Column) -> Column:
         lng, lat = p["x"], p["y"]
@@ -173,7 +173,7 @@ def from_utm(e, n, zone) -> Column:
             F.when(error.isNull(), lng).alias("lng"), F.when(error.isNull(), lat).alias("lat"),
             error.alias("error"))
 
-    return let(let(let(foot, radii), place), checked)
+    return let(let(let(let(grid, sphere), conformal), place), checked)
 
 
 def project_ring(ring, zone) -> Column:

@@ -115,23 +115,15 @@ GRID = """SELECT site_id, 250000e0 + (site_id * 7919) % 500000 AS e, 4500000e0 +
 
 
 def from_utm_sql() -> str:
-    e2 = D.GRS80_E**2
-    se = e2 / (1 - e2)
-    e1 = (1 - math.sqrt(1 - e2)) / (1 + math.sqrt(1 - e2))
-    mu = num(0.9996 * D.GRS80_A * (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256))
-    c = [3 * e1 / 2 - 27 * e1**3 / 32, 21 * e1**2 / 16 - 55 * e1**4 / 32, 151 * e1**3 / 96, 1097 * e1**4 / 512]
-    foot = " + ".join(["mu"] + [f"{num(v)} * SIN({2 * j} * mu)" for j, v in enumerate(c, 1)])
-    se_ = num(se)
+    scale = num(D.UTM_SCALE * D.KRUEGER_RADIUS)
+    across = " ".join(f"- COS({2 * j} * xi) * SINH({2 * j} * eta) * {num(b)}" for j, b in enumerate(D.KRUEGER_BETA, start=1))
+    along = " ".join(f"- SIN({2 * j} * xi) * COSH({2 * j} * eta) * {num(b)}" for j, b in enumerate(D.KRUEGER_BETA, start=1))
+    lat = " ".join(f"+ SIN({2 * j} * chi) * {num(d)}" for j, d in enumerate(D.KRUEGER_DELTA, start=1))
     return f"""
-WITH g AS ({GRID}), a AS (SELECT *, n / {mu} AS mu FROM g), b AS (SELECT *, {foot} AS f FROM a),
-c AS (SELECT *, 1 - {num(e2)} * SIN(f) * SIN(f) AS w, TAN(f) * TAN(f) AS t, {se_} * COS(f) * COS(f) AS cc FROM b),
-d AS (SELECT *, {num(D.GRS80_A)} / SQRT(w) AS nu, {num(D.GRS80_A * (1 - e2))} / POW(w, 1.5e0) AS rho FROM c),
-h AS (SELECT *, (e - 500000) / (nu * 0.9996e0) AS q FROM d),
-o AS (SELECT site_id, zone,
-  (f - nu * TAN(f) / rho * (q * q / 2 - (5 + 3 * t + 10 * cc - 4 * cc * cc - 9 * {se_}) * POW(q, 4) / 24
-    + (61 + 90 * t + 298 * cc + 45 * t * t - 252 * {se_} - 3 * cc * cc) * POW(q, 6) / 720)) / {DEG} AS lat,
-  (zone * 6 - 183) + (q - (1 + 2 * t + cc) * POW(q, 3) / 6 + (5 - 2 * cc + 28 * t - 3 * cc * cc
-    + 8 * {se_} + 24 * t * t) * POW(q, 5) / 120) / COS(f) / {DEG} AS lng FROM h)
+WITH g AS (SELECT site_id, zone, (e - 500000) / {scale} AS eta, n / {scale} AS xi FROM ({GRID}) x),
+s AS (SELECT site_id, zone, eta {across} AS a, xi {along} AS l FROM g),
+c AS (SELECT site_id, zone, ATAN2(SINH(a), COS(l)) / {DEG} + (zone * 6 - 183) AS lng, ASIN(SIN(l) / COSH(a)) AS chi FROM s),
+o AS (SELECT site_id, zone, lng, (chi {lat}) / {DEG} AS lat FROM c)
 SELECT site_id, CASE WHEN lng BETWEEN zone * 6 - 186 - 1e-8 AND zone * 6 - 180 + 1e-8 THEN ROUND(lng, 9) END AS lng,
   CASE WHEN lng BETWEEN zone * 6 - 186 - 1e-8 AND zone * 6 - 180 + 1e-8 THEN ROUND(lat, 9) END AS lat FROM o"""
 
