@@ -41,7 +41,7 @@ class Forest:
     trees: int = 25
     step: int = 5
     depth: int = 16
-    region: int = 12
+    region: int = 8
     hashes: int = HASHES
 
     def __post_init__(self):
@@ -164,21 +164,26 @@ def reordered(nodes: DataFrame, forest: Forest, turn: int) -> DataFrame:
     return nodes.withColumn("sig", turned("sig"))
 
 
-MET = "a bigint, b bigint, tree int, slice binary, n int"
+MET = "a bigint, b bigint, tree int, slice binary, n int, root bigint"
 
 
 def candidates(nodes: DataFrame, forest: Forest, share: int) -> tuple[DataFrame, DataFrame]:
-    """Distinct (a, b), a < b, from all trees, and the ids of nodes in crowded regions; ``nodes`` is (id, n, sig)."""
+    """Distinct (a, b), a < b, of different roots from all trees, and the ids of nodes in crowded regions.
+
+    ``nodes`` is (id, n, sig, root).
+    """
     width = 2 * forest.depth
-    rows = nodes.select("id", "n", "sig", F.explode(F.sequence(F.lit(0), F.lit(forest.trees - 1))).alias("tree")).select(
-        "tree", F.expr(f"substring(sig, tree * {2 * forest.step} + 1, {width})").alias("slice"), "id", "n")
+    rows = nodes.select("id", "n", "root", "sig", F.explode(F.sequence(F.lit(0), F.lit(forest.trees - 1))).alias("tree")).select(
+        "tree", F.expr(f"substring(sig, tree * {2 * forest.step} + 1, {width})").alias("slice"), "id", "n", "root")
     edge = forest.region
 
     def pairs_of(rows: pa.Table) -> pa.RecordBatch:
         """(a, b) of the pairs, (a, null) of the crowded."""
         orders = np.frombuffer(b"".join(rows.column("slice").to_pylist()), ">u2").reshape(-1, forest.depth)
-        tree, ids, sizes = (rows.column(c).to_numpy() for c in ("tree", "id", "n"))
+        tree, ids, sizes, roots = (rows.column(c).to_numpy() for c in ("tree", "id", "n", "root"))
         left, right, crowd = neighbours(orders, tree, forest)
+        apart = roots[left] != roots[right]
+        left, right = left[apart], right[apart]
         near = 100 * np.minimum(sizes[left], sizes[right]) >= share * np.maximum(sizes[left], sizes[right])
         x, y = ids[left][near], ids[right][near]
         both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
@@ -187,12 +192,12 @@ def candidates(nodes: DataFrame, forest: Forest, share: int) -> tuple[DataFrame,
         return pa.RecordBatch.from_arrays([
             pa.array(np.concatenate([both[0], crowd])),
             pa.concat_arrays([pa.array(both[1], pa.int64()), pa.nulls(len(crowd), pa.int64())]),
-            pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32())],
-            names=["a", "b", "tree", "slice", "n"])
+            pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())],
+            names=["a", "b", "tree", "slice", "n", "root"])
 
     def border_of(rows: pa.Table) -> list[pa.RecordBatch]:
         return pa.table({"a": rows.column("id"), "b": pa.nulls(len(rows), pa.int64()), "tree": rows.column("tree"),
-                         "slice": rows.column("slice"), "n": rows.column("n")}).to_batches()
+                         "slice": rows.column("slice"), "n": rows.column("n"), "root": rows.column("root")}).to_batches()
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs of a sorted partition, in pieces that overlap by the rows of an open region; then the border rows."""
@@ -216,7 +221,7 @@ def candidates(nodes: DataFrame, forest: Forest, share: int) -> tuple[DataFrame,
     order = ["tree", "slice", "id"]
     met = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(walk, MET))
     # Border rows: twice ``region`` for each partition.
-    border = met.where("tree IS NOT NULL").select("tree", "slice", F.col("a").alias("id"), "n").distinct()
+    border = met.where("tree IS NOT NULL").select("tree", "slice", F.col("a").alias("id"), "n", "root").distinct()
     crossing = border.repartition(1).sortWithinPartitions(*order).mapInArrow(meet, MET)
     everything = met.where("tree IS NULL").select("a", "b").union(crossing.select("a", "b"))
     return everything.where("b IS NOT NULL").distinct(), everything.where("b IS NULL").select(F.col("a").alias("id")).distinct()
@@ -274,14 +279,9 @@ def least_agreement(share: int, hashes: int) -> float:
 
 def linked_roots(nodes: DataFrame, forest: Forest, share: int, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(id, root) of all linked nodes (id, n, sig). ``sets_of`` gives (id, shingles) for a table of ids."""
-    met, roots, turn = nodes, None, 0
+    met, roots, turn = nodes.withColumn("root", F.col("id")), None, 0
     while True:
         pairs, crowd = candidates(reordered(met, forest, turn), forest, share)
-        if roots is not None:
-            for end in ("a", "b"):
-                side = roots.select(F.col("id").alias(end), F.col("root").alias(f"root_{end}"))
-                pairs = pairs.join(side, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
-            pairs = pairs.where("root_a <> root_b").select("a", "b")
         near = stored(estimated(pairs, nodes, least_agreement(share, forest.hashes), forest.hashes))
         ids = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
         found = durable(confirmed(near, stored(sets_of(ids)), share))
@@ -292,7 +292,8 @@ def linked_roots(nodes: DataFrame, forest: Forest, share: int, sets_of: Callable
         crowd = durable(crowd)
         if crowd.isEmpty():
             return roots
-        met = stored(nodes.join(crowd, "id", "left_semi"))
+        met = stored(nodes.join(crowd, "id", "left_semi").join(roots, "id", "left").withColumn(
+            "root", F.coalesce("root", "id")))
         turn += 1
 
 

@@ -116,7 +116,7 @@ def components(links: DataFrame) -> DataFrame:
         lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (
             both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .where("u <> v").distinct()
+            .where("u <> v")
         )
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u")
