@@ -3,14 +3,13 @@
 A document's set are its distinct 5-word shingles. Documents with one set are one node, named by
 their smallest id. A node has 128 minimum hashes; tree t of the forest sorts all
 nodes by the hashes from 5t on. Nodes whose order begins alike for at least five
-hashes lie in one region. A region of few nodes pairs all of them; a crowded one is
-taken deeper, hash by hash, until its parts are small, so that each node meets the
-neighbours with the longest common prefix. Regions are runs of a range-partitioned sort, so
+hashes lie in one region. A region of few nodes pairs all of them; in a crowded one each node meets the
+next ones in the order, those with the longest common prefix. Regions are runs of a range-partitioned sort, so
 a crowd is spread over tasks, and runs across a partition border are met by a second pass over the border rows.
 
 Candidates pass a size test and an estimate from the signatures, then the exact test on full
-sets. Nodes of crowded regions get further rounds in which the hashes stand in fresh orders and only pairs of
-different components are tested, until a round finds no new link.
+sets. Nodes of crowded regions that are in different components after that are met once more, by a
+prefix-filter join on their full sets: none of their pairs of the similarity is left out as a candidate.
 
 Defined cases: no words (null, empty, blank): an empty set, linked with nothing; fewer words than
 five: the whole sequence is the one shingle; rows that repeat a doc_id are one document of the
@@ -32,6 +31,8 @@ from sitesift.llm.shared import components, durable, known_to, split_words, stor
 
 SHINGLE = 5
 HASHES = 128
+#: Slots in which shingles are counted, and holders of a shingle that are compared at once.
+SLOTS, BLOCK = 1 << 20, 256
 
 
 @dataclass(frozen=True)
@@ -112,56 +113,22 @@ def signed(documents: DataFrame, key: str, text: str, forest: Forest) -> DataFra
     return rows.mapInArrow(sign, "id bigint, n int, k1 bigint, k2 bigint, sig binary")
 
 
-def regions(orders: np.ndarray, tree: np.ndarray, forest: Forest) -> tuple[np.ndarray, np.ndarray]:
-    """Number of the region of each sorted row, and whether it was crowded at the first depth."""
-    n = len(orders)
-    same = orders[1:] == orders[:-1]
-    same[tree[1:] != tree[:-1]] = False
-    prefix = np.logical_and.accumulate(same, axis=1).sum(axis=1)
-    out, found, crowded = np.full(n, -1, dtype=np.int64), 0, np.zeros(n, dtype=bool)
-    for depth in range(forest.step, forest.depth + 1):
-        begins = np.concatenate([[True], prefix < depth])
-        run = np.cumsum(begins) - 1
-        size = np.bincount(run)[run]
-        settled = (size <= forest.region) if depth < forest.depth else np.ones(n, dtype=bool)
-        if depth == forest.step:
-            crowded = size > forest.region
-        fresh = settled & (out < 0)
-        out[fresh] = found + run[fresh]
-        found += int(run[-1]) + 1
-    return out, crowded
-
-
 def neighbours(orders: np.ndarray, tree: np.ndarray, forest: Forest) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row numbers of the candidate pairs among sorted rows, and those of crowded rows.
 
-    Where more than ``region`` rows share even the full prefix, a row meets the next ones.
+    Candidates are rows of one region (``step`` equal hashes or more) that stand fewer than ``region`` places apart.
     """
     if len(orders) < 2:
         none = np.zeros(0, np.int64)
         return none, none, none
-    region, crowded = regions(orders, tree, forest)
+    begins = (orders[1:, : forest.step] != orders[:-1, : forest.step]).any(axis=1) | (tree[1:] != tree[:-1])
+    run = np.concatenate([[0], np.cumsum(begins)])
     left, right = [], []
     for step in range(1, forest.region):
-        at = np.flatnonzero(region[:-step] == region[step:])
+        at = np.flatnonzero(run[:-step] == run[step:])
         left.append(at)
         right.append(at + step)
-    return np.concatenate(left), np.concatenate(right), np.flatnonzero(crowded)
-
-
-def reordered(nodes: DataFrame, forest: Forest, turn: int) -> DataFrame:
-    """The same signatures with their hashes in another order; turn 0 is the first."""
-    if turn == 0:
-        return nodes
-    places = np.random.default_rng(turn).permutation(forest.hashes)
-    places = np.concatenate([places, places[: forest.depth]])
-
-    @F.arrow_udf("binary")
-    def turned(sigs: pa.Array) -> pa.Array:
-        rows = [np.frombuffer(x, ">u2")[places].tobytes() for x in sigs.to_pylist()]
-        return pa.array(rows, pa.binary())
-
-    return nodes.withColumn("sig", turned("sig"))
+    return np.concatenate(left), np.concatenate(right), np.flatnonzero(np.bincount(run)[run] > forest.region)
 
 
 MET = "a bigint, b bigint, tree int, slice binary, n int, root bigint"
@@ -277,24 +244,118 @@ def least_agreement(share: int, hashes: int) -> float:
     return share / 100 - 4.75 * (share / 100 * (1 - share / 100) / hashes) ** 0.5
 
 
+def ranked(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The shingles with the rare ones first; one order for all sets."""
+    return shingles[np.lexsort((shingles, counts[shingles % np.uint64(len(counts))]))]
+
+
+def slot_counts(sets: DataFrame) -> np.ndarray:
+    """How many shingles of ``sets`` fall in each of ``SLOTS`` slots. Any counts give an exact join; good ones a cheap one."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            some = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)
+            total += np.bincount((some % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        at = np.flatnonzero(total)
+        yield from pa.table({"slot": pa.array(at, pa.int32()), "n": pa.array(total[at])}).to_batches(max_chunksize=100_000)
+
+    rows = sets.select("shingles").mapInArrow(count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    out[rows.column("slot").to_numpy()] = rows.column("n").to_numpy()
+    return out
+
+
+def shared_rare(nodes: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """Distinct (a, b), a < b, of different roots: every pair of ``nodes`` (id, n, root) that can have the similarity.
+
+    Sets of that similarity share one of their n - ceil(share n) + 1 rarest shingles (the prefix filter), so none is missed.
+    Holders of a shingle are dealt into blocks of about ``BLOCK``, and blocks meet pairwise, so a common one is spread over tasks.
+    """
+    counts = sets.sparkSession.sparkContext.broadcast(slot_counts(sets).tobytes())
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.frombuffer(counts.value, np.int64)
+        for batch in batches:
+            found = []
+            for x in batch.column(2):
+                s = ranked(np.frombuffer(x.as_py(), np.uint64), held)
+                found.append(s[: len(s) + share * len(s) // -100 + 1])
+            size = np.array([len(s) for s in found], np.int64)
+            row = pa.array(np.repeat(np.arange(len(found)), size))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate(found).astype(np.int64)), batch.column(0).take(row), batch.column(3).take(row), batch.column(1).take(row),
+                pa.array(np.concatenate([np.arange(n) for n in size]).astype(np.int32))], names=["token", "id", "n", "root", "at"])
+
+    whole = nodes.select("id", "n", "root").join(sets, "id").select("id", "root", "shingles", "n")
+    rare = stored(whole.mapInArrow(cut, "token bigint, id bigint, n int, root bigint, at int"))
+    held = rare.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("holders"))
+    blocks = F.ceil(F.col("holders") / BLOCK).cast("int").alias("blocks")
+    dealt = rare.join(held.where("low <> high").select("token", blocks), "token").withColumn(
+        "block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "token", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "n", "root", "at")
+
+    def pairs_of(rows: pa.Table) -> pa.RecordBatch:
+        token, x, y, block, ids, sizes, roots, at = (rows.column(c).to_numpy() for c in rows.column_names)
+        group = np.concatenate([[0], np.cumsum((token[1:] != token[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))])
+        out, step = [np.zeros((2, 0), np.int64)], 1
+        while step < len(group):
+            left = np.flatnonzero(group[:-step] == group[step:])
+            if not len(left):
+                break
+            right = left + step
+            # At the first common shingle no more than these can be common.
+            rest = np.minimum(sizes[left] - at[left], sizes[right] - at[right])
+            both = sizes[left].astype(np.int64) + sizes[right]
+            good = (roots[left] != roots[right]) & ((block[left] != block[right]) | (x[left] == y[left])) \
+                & (100 * np.minimum(sizes[left], sizes[right]).astype(np.int64) >= share * np.maximum(sizes[left], sizes[right]).astype(np.int64)) \
+                & ((100 + share) * rest.astype(np.int64) >= share * both)
+            a, b = ids[left[good]], ids[right[good]]
+            out.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+            step += 1
+        found = np.unique(np.concatenate(out, axis=1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole groups of a sorted partition; the open one waits for the next batch."""
+        held = None
+        for batch in batches:
+            piece = pa.Table.from_batches([batch])
+            held = piece if held is None else pa.concat_tables([held, piece])
+            keys = np.stack([held.column(c).to_numpy() for c in ("token", "x", "y")])
+            begin = len(held) - int((keys == keys[:, -1:]).all(axis=0)[::-1].argmin()) if (keys != keys[:, -1:]).any() else 0
+            if begin:
+                yield pairs_of(held.slice(0, begin))
+                held = held.slice(begin)
+        if held is not None:
+            yield pairs_of(held)
+
+    order = ["token", "x", "y"]
+    return met.repartition(*order).sortWithinPartitions(*order).mapInArrow(walk, "a bigint, b bigint").distinct()
+
+
 def linked_roots(nodes: DataFrame, forest: Forest, share: int, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(id, root) of all linked nodes (id, n, sig). ``sets_of`` gives (id, shingles) for a table of ids."""
-    met, roots, turn = nodes.withColumn("root", F.col("id")), None, 0
-    while True:
-        pairs, crowd = candidates(reordered(met, forest, turn), forest, share)
-        near = stored(estimated(pairs, nodes, least_agreement(share, forest.hashes), forest.hashes))
-        ids = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
-        found = durable(confirmed(near, stored(sets_of(ids)), share))
-        if turn and found.isEmpty():
-            return roots
-        links = found if roots is None else found.union(roots.select(F.col("id").alias("a"), F.col("root").alias("b")))
-        roots = durable(components(links))
-        crowd = durable(crowd)
-        if crowd.isEmpty():
-            return roots
-        met = stored(nodes.join(crowd, "id", "left_semi").join(roots, "id", "left").withColumn(
-            "root", F.coalesce("root", "id")))
-        turn += 1
+    """(id, root) of all linked nodes (id, n, sig). ``sets_of`` gives (id, shingles) for a table of ids.
+
+    The forest meets all pairs of regions that are not crowded, and joins most of a crowd; nodes of crowded regions
+    that still have different roots are then met by the prefix filter on their full sets, which leaves none out.
+    """
+    least = least_agreement(share, forest.hashes)
+    pairs, crowd = candidates(nodes.withColumn("root", F.col("id")), forest, share)
+    crowd = durable(crowd)
+    near = stored(estimated(pairs, nodes, least, forest.hashes))
+    ids = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
+    found = durable(confirmed(near, stored(sets_of(ids)), share))
+    roots = durable(components(found))
+    if crowd.isEmpty():
+        return roots
+    met = stored(nodes.join(crowd, "id", "left_semi").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
+    sets = stored(sets_of(crowd))
+    near = stored(estimated(shared_rare(met, sets, share), met.select("id", "sig"), least, forest.hashes))
+    found = durable(confirmed(near, sets, share))
+    if found.isEmpty():
+        return roots
+    return durable(components(found.union(roots.select(F.col("id").alias("a"), F.col("root").alias("b")))))
 
 
 def near_components(documents: DataFrame, key: str = "doc_id", text: str = "text", share: int = 85,

@@ -247,3 +247,48 @@ def test_pipeline(spark, tmp_path, odd):
         docs = stage(spark, docs, str(folder))
         assert docs.columns == odd.columns
     assert corpus_pipeline.run(spark, str(folder)).count() >= 1
+
+
+def test_crowd_leaves_no_pair_out(spark):
+    """A hot group whose rows stand between a document and its one near copy in every tree."""
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(base[:j] + [f"x{i}"] + base[j + 1:])) for i in range(600) for j in [r.randrange(200)]]
+    for i in range(600, 680):  # about 0.85 to few of the group
+        words = list(base)
+        for j in r.sample(range(200), 4):
+            words[j] = f"y{r.randrange(6)}"
+        rows.append((i, " ".join(words)))
+    _, roots = near_by_hand(rows, 85)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {x.id: x.component for x in neardup.near_components(df, forest=neardup.Forest(region=2)).collect()}
+    assert len({i for i, root in roots.items() if root != i}) > 600 and got == roots
+
+
+def test_rows_that_leave_a_crowd_meet_their_neighbours():
+    orders = np.zeros((21, 16), np.uint16)
+    orders[:, 6] = [0] * 10 + [1] + [2] * 10  # one row stands alone from the seventh hash on
+    left, right, crowd = neardup.neighbours(orders, np.zeros(21, np.int64), neardup.DEFAULT)
+    met = set(zip(left.tolist(), right.tolist()))
+    assert {(9, 10), (10, 11)} <= met and set(crowd.tolist()) == set(range(21))
+
+
+@pytest.mark.parametrize("block", [256, 3])
+def test_prefix_join_is_exact(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(90)]
+    texts = [" ".join(w if r.random() > 0.012 * (i % 4) else f"x{r.randrange(50)}" for w in base) for i in range(120)]
+    sets = {i: neardup.shingle_set(t) for i, t in enumerate(texts)}
+    nodes = spark.createDataFrame([(i, len(s), i % 100) for i, s in sets.items()], "id bigint, n int, root bigint")
+    held = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in sets.items()], "id bigint, shingles binary")
+    pairs = neardup.shared_rare(nodes, held, 85)
+    assert pairs.count() == pairs.distinct().count()
+    got = {(x.a, x.b) for x in neardup.confirmed(pairs, held, 85).collect()}
+    want = set()
+    for a in sets:
+        for b in range(a + 1, len(sets)):
+            common = len(np.intersect1d(sets[a], sets[b]))
+            if a % 100 != b % 100 and 100 * common >= 85 * (len(sets[a]) + len(sets[b]) - common):
+                want.add((a, b))
+    assert len(want) > 100 and got == want
