@@ -140,7 +140,6 @@ def encoder(path: str) -> Units:
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
     size = model.get_vocab_size(with_added_tokens=True)
     # Every character of a byte-level token is one byte.
     width = np.array([len(model.id_to_token(i) or "") for i in range(size)], dtype=np.int64)

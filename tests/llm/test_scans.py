@@ -318,3 +318,14 @@ def test_written_ids(spark, odd, empty, monkeypatch):
                 ids = model.encode(by_id[r.doc_id] or "", add_special_tokens=False).ids + [2]
                 assert (r.n_tokens, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
     assert packed.read(packed.write(empty, PLAIN)).count() == 0
+
+
+def test_special_tokens_are_those_of_the_library():
+    model = Tokenizer.from_file(PLAIN)
+    assert model.encode("one <|endoftext|> two", add_special_tokens=False).ids == [505, 220, 50256, 734]
+    r = random.Random(6)
+    bits = ["<|endoftext|>", " ", "  ", "one", " two", ".", "\n", "é", "<|", "|>", "endoftext"]
+    texts = ["one <|endoftext|> two", "<|endoftext|>", " <|endoftext|>", "a<|endoftext|>b. c"]
+    texts += ["".join(r.choice(bits) for _ in range(r.randint(1, 12))) for _ in range(400)]
+    for text, ids in zip(texts, packed.encoder(PLAIN).ids(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == model.encode(text, add_special_tokens=False).ids
