@@ -28,6 +28,8 @@ RUN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 CLASSES = ((r"^[0-9A-Fa-f]+$", 3.0), (r"^[0-9A-Za-z]+$", 3.7), (r"^.+$", 3.9))
 #: Runs that are known to be harmless: one character class only, or documentation values.
 ALLOWED = r"^([0-9]+|[A-Za-z]+|[^A-Za-z0-9]+)=*$|EXAMPLE|[Ee]xample|[Pp]laceholder|[Xx]{6}|[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"
+#: The same in two: what judges a whole run, and what lets only the windows go that meet it.
+WHOLE, PART = ALLOWED.split("|EXAMPLE|", 1)[0], "EXAMPLE|" + ALLOWED.split("|EXAMPLE|", 1)[1]
 #: c log2 c in millionths, so that sums are exact.
 TERMS = [0, *(round(c * math.log2(c) * 1e6) for c in range(1, WINDOW + 1))]
 
@@ -57,13 +59,14 @@ def matches(text: Column, pattern: str, shortest: int, group: int = 0) -> Column
 
 
 def hot_windows(run: Column) -> Column:
-    """array<struct<start,end>> inside ``run``: joined windows with enough entropy for its class."""
+    """array<struct<start,end>> inside ``run``: joined windows with enough entropy for its class that meet no harmless part."""
     codes = F.transform(F.split(run, ""), lambda c: F.ascii(c))
     limit = F.lit(most_sum(CLASSES[-1][1]))
     for pattern, bits in reversed(CLASSES[:-1]):
         limit = F.when(F.rlike(run, F.lit(pattern)), most_sum(bits)).otherwise(limit)
     terms = F.array(*[F.lit(t) for t in TERMS])
     none = F.expr("CAST(array() AS array<struct<start:int,end:int>>)")
+    parts = F.transform(matches(run, PART, 1), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end")))
 
     def step(state: Column, i: Column) -> Column:
         come = F.get(state["codes"], i)
@@ -74,25 +77,26 @@ def hot_windows(run: Column) -> Column:
             + F.when(go >= 0, F.get(terms, of_go - 1) - F.get(terms, of_go)).otherwise(0))
         counts = F.transform(state["counts"], lambda c, j: c + F.when(j == come, 1).otherwise(0) - F.when(j == go, 1).otherwise(0))
         total = (state["total"] + change).cast("int")
-        hot = (i >= WINDOW - 1) & (total <= state["limit"])
         start, end = i - (WINDOW - 1), i + 1
+        harmless = F.exists(state["parts"], lambda p: (p["start"] < end) & (p["end"] > start))
+        hot = (i >= WINDOW - 1) & (total <= state["limit"]) & ~harmless
         last = F.get(state["out"], F.size(state["out"]) - 1)
         joined = F.concat(F.slice(state["out"], 1, F.size(state["out"]) - 1), F.array(F.struct(last["start"].alias("start"), end.alias("end"))))
         added = F.concat(state["out"], F.array(F.struct(start.alias("start"), end.alias("end"))))
         out = F.when(~hot, state["out"]).when((F.size(state["out"]) > 0) & (last["end"] >= start), joined).otherwise(added)
         return F.struct(state["codes"].alias("codes"), counts.alias("counts"), total.alias("total"),
-                        state["limit"].alias("limit"), out.alias("out"))
+                        state["limit"].alias("limit"), state["parts"].alias("parts"), out.alias("out"))
 
     # The codes travel in the state: an expression outside would be evaluated anew in every step.
     first = F.struct(codes.alias("codes"), F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0).alias("total"),
-                     limit.cast("int").alias("limit"), none.alias("out"))
+                     limit.cast("int").alias("limit"), parts.alias("parts"), none.alias("out"))
     return F.aggregate(F.sequence(F.lit(0), F.length(run) - 1), first, step, lambda s: s["out"])
 
 
 def secret_spans(text: Column) -> dict[str, Column]:
     """Arrays of (start, kind number, end) by kind; ``text`` must not be null."""
     base = {"assign": matches(text, ASSIGN, 6, 2), "access": matches(text, ACCESS, 20), "hex": matches(text, HEX, 24)}
-    runs = F.filter(matches(text, RUN, WINDOW), lambda r: ~F.rlike(r["text"], F.lit(ALLOWED)))
+    runs = F.filter(matches(text, RUN, WINDOW), lambda r: ~F.rlike(r["text"], F.lit(WHOLE)))
     entropy = F.flatten(F.transform(runs, lambda r: F.transform(hot_windows(r["text"]), lambda w: F.struct(
         (r["start"] + w["start"]).alias("start"), (r["start"] + w["end"]).alias("end")))))
 

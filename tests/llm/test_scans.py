@@ -329,3 +329,15 @@ def test_special_tokens_are_those_of_the_library():
     texts += ["".join(r.choice(bits) for _ in range(r.randint(1, 12))) for _ in range(400)]
     for text, ids in zip(texts, packed.encoder(PLAIN).ids(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == model.encode(text, add_special_tokens=False).ids
+
+
+def test_harmless_part_lets_the_rest_of_a_run_be_found(spark):
+    key = "Zk3vQ8xW1mT6yB9sR2nH5cJ7"
+    uuid = "123e4567-e89b-12d3-a456-426614174000"
+    long = key * 50 + "xxxxxx" + key * 50
+    texts = [f"services/{uuid}/{key}", f"a/Example/{key}", f"{key}/placeholder", long, uuid, f"at {uuid} x", "my-Example/thing-of-words-only"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    clean = [r.text for r in secrets.redact(df).orderBy("doc_id").collect()]
+    assert not any(key in t for t in clean) and all("[SECRET]" in t for t in clean[:4])
+    assert uuid in clean[0] and "xxxxxx" in clean[3] and clean[4:] == texts[4:]
