@@ -15,6 +15,10 @@ from sitesift.llm import bpe, decontaminate, neardup, quality, secrets
 from sitesift.llm.shared import small_batches, stored, table
 
 
+#: For a similarity of 0.8: 32 trees of 4 hashes miss (1 - 0.8^4)^32 = 5e-8 of the pairs.
+NEAR = neardup.Forest(trees=32, step=4)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rule, or that the weighed votes call bad, go."""
     small_batches(spark)
@@ -23,7 +27,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one of the smallest id."""
-    return neardup.keep_one(docs)
+    return neardup.keep_one(docs, share=80, forest=NEAR)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -378,7 +378,7 @@ def near_digest(documents: DataFrame) -> DataFrame:
         F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
-def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text", share: int = 85) -> DataFrame:
+def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text", share: int = 85, forest: Forest = DEFAULT) -> DataFrame:
     """One document of each component, the one of the smallest id; same columns."""
-    gone = stored(near_components(documents, key, text, share).where("id <> component").select("id").distinct())
+    gone = stored(near_components(documents, key, text, share, forest).where("id <> component").select("id").distinct())
     return unknown_to(documents, key, gone)

@@ -292,3 +292,21 @@ def test_prefix_join_is_exact(spark, monkeypatch, block):
             if a % 100 != b % 100 and 100 * common >= 85 * (len(sets[a]) + len(sets[b]) - common):
                 want.add((a, b))
     assert len(want) > 100 and got == want
+
+
+def test_pipeline_takes_near_copies_from_080(spark):
+    import corpus_pipeline
+
+    r = random.Random(12)
+    rows = []
+    for i in range(0, 60, 2):
+        words = [f"w{r.randrange(10**6)}" for _ in range(120)]
+        other = list(words)
+        for j in r.sample(range(24), r.choice([2, 3, 4])):
+            other[5 * j] = f"x{r.randrange(10**6)}"
+        rows += [(i, " ".join(words)), (i + 1, " ".join(other))]
+    _, at_80 = near_by_hand(rows, 80)
+    _, at_85 = near_by_hand(rows, 85)
+    assert at_80 != at_85
+    left = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), SMALL)
+    assert {x.doc_id for x in left.collect()} == {i for i, root in at_80.items() if i == root}
