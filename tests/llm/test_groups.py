@@ -310,3 +310,8 @@ def test_pipeline_takes_near_copies_from_080(spark):
     assert at_80 != at_85
     left = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), SMALL)
     assert {x.doc_id for x in left.collect()} == {i for i, root in at_80.items() if i == root}
+
+
+def test_bands_miss_less_than_a_thousandth():
+    forest = passages.tuned()
+    assert (forest.trees, forest.step) == (16, 4) and (1 - 0.8**forest.step) ** forest.trees < 0.001
