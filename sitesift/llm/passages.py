@@ -8,10 +8,10 @@ hashes and walked, with fresh orders until nothing new is found.
 
 Passages also stand inside and across lines. Where a paragraph cannot be the unit, a piece of 32 words
 is: pieces start at the words whose 5-word shingle has the least hash among 20 in a row. Any 51 words
-that occur in two documents therefore share a piece. Equal pieces collide (a band of all their words),
-overlapping pieces of a document are one passage, and passages with a common piece form components.
+that occur in two documents therefore share a piece. Equal pieces collide (a band of all their words).
 
-In every component the occurrence of the smallest (doc_id, first word) stays, the others are removals.
+Of every repeated piece the occurrence of the smallest (doc_id, first word) stays whole. The others, with the equal words
+around them, are joined to spans along one kept text and are removals. Of a component of paragraphs the smallest occurrence stays.
 
 Defined cases: null and empty texts have neither; repeats inside one document alone are no
 repeats across documents; a null doc_id takes no part; rows that repeat a doc_id are one document.
@@ -19,21 +19,23 @@ repeats across documents; a null doc_id takes no part; rows that repeat a doc_id
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sitesift.llm.neardup import (
     FACTORS, PLACES, SHINGLE, Forest, linked_roots, mixed, set_key, shingle_set, signature_bytes)
-from sitesift.llm.shared import components, durable, known_to, split_words, stored
+from sitesift.llm.shared import durable, known_to, split_words, stored
 
 LEAST_WORDS = 50
 PIECE_WORDS, ANCHOR_SPAN = 32, 20
+#: A shared passage begins at most so many words before its first common piece, and ends so many after the last.
+AROUND = ANCHOR_SPAN - 1
 SHARE, RECALL, SIGNATURE = 80, 0.999, 64
 #: Paragraphs of one document that have own ids (50 words each or more).
 PARAGRAPHS = 1 << 20
@@ -56,12 +58,12 @@ def paragraphs(text: str | None) -> Iterator[tuple[int, int, str]]:
         at += n
 
 
-def pieces(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, 64-bit hash) of every anchored piece."""
+def pieces(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, 64-bit hash) of every anchored piece, and the hashes of all words."""
     words = split_words(text)
     n = len(words)
     if n < PIECE_WORDS:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     codes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=n)
     total = np.zeros(n - SHINGLE + 1, dtype=np.uint64)
     for i in range(SHINGLE):
@@ -77,43 +79,113 @@ def pieces(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     while width < PIECE_WORDS:
         hashes = mixed(hashes[:-width] * FACTORS[width % 7] + hashes[width:])
         width *= 2
-    return anchors, hashes[anchors]
+    return anchors, hashes[anchors], codes
 
 
 def piece_rows(documents: DataFrame) -> DataFrame:
-    """(piece, doc_id, start) of all pieces."""
+    """(piece, doc_id, start, before, after) of all pieces; the last two are hashes of the words around."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [pieces(t.as_py()) for t in batch.column(1)]
-            count = np.array([len(s) for s, _ in found], dtype=np.int64)
-            if count.sum():
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate([h for _, h in found]).astype(np.int64)),
-                    batch.column(0).take(pa.array(np.repeat(np.arange(len(found)), count))),
-                    pa.array(np.concatenate([s for s, _ in found]).astype(np.int32))], names=["piece", "doc_id", "start"])
+            for at in range(0, batch.num_rows, 50):
+                some = batch.slice(at, 50)
+                found = [pieces(t.as_py()) for t in some.column(1)]
+                count = np.array([len(s) for s, _, _ in found], dtype=np.int64)
+                if count.sum():
+                    before = [c[max(0, i - AROUND): i].tobytes() for s, _, c in found for i in s.tolist()]
+                    after = [c[i + PIECE_WORDS: i + PIECE_WORDS + AROUND].tobytes() for s, _, c in found for i in s.tolist()]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.concatenate([h for _, h, _ in found]).astype(np.int64)),
+                        some.column(0).take(pa.array(np.repeat(np.arange(len(found)), count))),
+                        pa.array(np.concatenate([s for s, _, _ in found]).astype(np.int32)),
+                        pa.array(before, pa.binary()), pa.array(after, pa.binary())],
+                        names=["piece", "doc_id", "start", "before", "after"])
 
     rows = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(cut, "piece bigint, doc_id bigint, start int")
+    return rows.mapInArrow(cut, "piece bigint, doc_id bigint, start int, before binary, after binary")
+
+
+def alike(x: bytes, y: bytes, back: bool) -> int:
+    """Equal words at the beginning, or ``back`` from the end."""
+    n = min(len(x), len(y)) // 8
+    a, b = (np.frombuffer(z[len(z) - 8 * n:] if back else z[: 8 * n], np.uint64) for z in (x, y))
+    same = (a == b)[::-1] if back else a == b
+    return n if same.all() else int(same.argmin())
+
+
+def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def passages_of(doc: int, rows: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """(doc_id, start, n_words, kept_doc, kept_start) from the pieces (start, kept_doc, kept_start, more left, more right) of a document.
+
+    Removed pieces with their equal surroundings are joined along one kept text; words of a piece that stays are left out.
+    """
+    stay = united([(s, s + PIECE_WORDS) for s, d, k, _, _ in rows if (d, k) == (doc, s)])
+    out = [(doc, a, b - a, doc, a) for a, b in stay]
+    lines: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for s, d, k, more_left, more_right in rows:
+        if (d, k) != (doc, s):
+            lines.setdefault((d, s - k), []).append((s - more_left, s + PIECE_WORDS + more_right))
+    firsts, lasts = [a for a, _ in stay], [b for _, b in stay]
+    for (d, shift), spans in lines.items():
+        for a, b in united(spans):
+            for i in range(bisect_right(lasts, a), bisect_left(firsts, b)):
+                if firsts[i] > a:
+                    out.append((doc, a, firsts[i] - a, d, a - shift))
+                a = max(a, lasts[i])
+            if a < b:
+                out.append((doc, a, b - a, d, a - shift))
+    return out
 
 
 def repeated_passages(documents: DataFrame) -> DataFrame:
     """(doc_id, start, n_words, kept_doc, kept_start) of passages that occur in several documents."""
     repeated = stored(piece_rows(documents).groupBy("piece").agg(
         F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("piece"))
-    found = stored(known_to(piece_rows(documents), "piece", repeated).distinct())
-    along = W.partitionBy("doc_id").orderBy("start", "piece")
-    opens = F.coalesce((F.col("start") > F.lag("start").over(along) + PIECE_WORDS).cast("int"), F.lit(1))
-    runs = found.withColumn("opens", opens).withColumn(
-        "first", F.max(F.when(F.col("opens") == 1, F.col("start"))).over(along))
-    placed = stored(runs.select("piece", "start", F.struct("doc_id", F.col("first").alias("start")).alias("passage")))
-    spans = placed.groupBy("passage").agg((F.max("start") + PIECE_WORDS).alias("end"))
-    centres = placed.groupBy("piece").agg(F.min("passage").alias("centre"))
-    links = placed.join(centres, "piece").where("passage <> centre").select(
-        F.col("passage").alias("a"), F.col("centre").alias("b")).distinct()
-    roots = components(links)
-    return spans.join(roots.withColumnRenamed("id", "passage"), "passage").select(
-        "passage.doc_id", F.col("passage.start").alias("start"), (F.col("end") - F.col("passage.start")).alias("n_words"),
-        F.col("root.doc_id").alias("kept_doc"), F.col("root.start").alias("kept_start"))
+    found = stored(known_to(piece_rows(documents), "piece", repeated).groupBy("piece", "doc_id", "start").agg(
+        F.min(F.struct("before", "after")).alias("around")))
+    kept = found.groupBy("piece").agg(F.min(F.struct("doc_id", "start", "around")).alias("kept"))
+
+    @F.arrow_udf("struct<l:int,r:int>")
+    def more(b: pa.Array, a: pa.Array, kept_b: pa.Array, kept_a: pa.Array) -> pa.Array:
+        left = [alike(x, y, True) for x, y in zip(b.to_pylist(), kept_b.to_pylist())]
+        right = [alike(x, y, False) for x, y in zip(a.to_pylist(), kept_a.to_pylist())]
+        return pa.StructArray.from_arrays([pa.array(left, pa.int32()), pa.array(right, pa.int32())], names=["l", "r"])
+
+    placed = stored(found.join(kept, "piece").select(
+        "doc_id", "start", F.col("kept.doc_id").alias("kept_doc"), F.col("kept.start").alias("kept_start"),
+        more("around.before", "around.after", "kept.around.before", "kept.around.after").alias("more")).select(
+        "doc_id", "start", "kept_doc", "kept_start", "more.l", "more.r"))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents of a sorted partition; the open one waits for the next batch."""
+        def table(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
+                zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()))],
+                names=["doc_id", "start", "n_words", "kept_doc", "kept_start"])
+
+        doc, held = None, []
+        for batch in batches:
+            out = []
+            for name, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if name != doc:
+                    out.extend(passages_of(doc, held))
+                    doc, held = name, []
+                held.append(tuple(row))
+            if out:
+                yield table(out)
+        if held:
+            yield table(passages_of(doc, held))
+
+    return placed.repartition("doc_id").sortWithinPartitions("doc_id", "start").mapInArrow(
+        join, "doc_id bigint, start int, n_words int, kept_doc bigint, kept_start int")
 
 
 def repeated_paragraphs(documents: DataFrame, share: int = SHARE) -> DataFrame:

@@ -315,3 +315,20 @@ def test_pipeline_takes_near_copies_from_080(spark):
 def test_bands_miss_less_than_a_thousandth():
     forest = passages.tuned()
     assert (forest.trees, forest.step) == (16, 4) and (1 - 0.8**forest.step) ** forest.trees < 0.001
+
+
+def test_passages_keep_one_copy_and_reach_their_ends(spark):
+    def words(name, n):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    x, y, z = words("x", 60), words("y", 70), words("z", 51)
+    texts = {1: f"{words('a', 5)} {x} {words('b', 9)}", 5: f"{words('c', 30)} {x} {y} {words('d', 30)}", 9: f"{y} {words('e', 40)}",
+             11: f"{words('f', 30)} {z} {words('g', 30)}", 12: f"{words('h', 45)} {z} {words('i', 25)}"}
+    rows = passages.repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()
+    gone = {d: set() for d in texts}
+    for r in rows:
+        if (r.doc_id, r.start) != (r.kept_doc, r.kept_start):
+            gone[r.doc_id] |= set(range(r.start, r.start + r.n_words))
+            one, other = texts[r.doc_id].split(), texts[r.kept_doc].split()
+            assert one[r.start:r.start + r.n_words] == other[r.kept_start:r.kept_start + r.n_words]
+    assert gone == {1: set(), 5: set(range(30, 90)), 9: set(range(70)), 11: set(), 12: set(range(45, 96))}
