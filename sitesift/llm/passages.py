@@ -1,6 +1,6 @@
 """Substring dedup: repeated paragraphs and passages.
 
-A paragraph is a line of 50 words or more. Paragraphs get MinHash signatures of their 5-word shingles; the
+A paragraph is a line of 5 words or more. Paragraphs get MinHash signatures of their 5-word shingles; the
 number of rows in a band is the largest at which the bands still find a pair of the wanted
 similarity with the wanted recall. Colliding paragraphs are verified by exact Jaccard
 similarity (0.8 or more), and links form components. A crowded band bucket is sorted by its further
@@ -32,13 +32,14 @@ from sitesift.llm.neardup import (
     FACTORS, PLACES, SHINGLE, Forest, linked_roots, mixed, set_key, shingle_set, signature_bytes)
 from sitesift.llm.shared import durable, known_to, split_words, stored
 
-LEAST_WORDS = 50
+#: Every line with a 5-word shingle is a paragraph.
+LEAST_WORDS = SHINGLE
 PIECE_WORDS, ANCHOR_SPAN = 32, 20
 #: A shared passage begins at most so many words before its first common piece, and ends so many after the last.
 AROUND = ANCHOR_SPAN - 1
 SHARE, RECALL, SIGNATURE = 80, 0.999, 64
-#: Paragraphs of one document that have own ids (50 words each or more).
-PARAGRAPHS = 1 << 20
+#: Paragraphs of one document that have own ids (5 words each or more).
+PARAGRAPHS = 1 << 24
 
 
 def tuned(share: int = SHARE, recall: float = RECALL, hashes: int = SIGNATURE) -> Forest:
@@ -195,12 +196,13 @@ def repeated_paragraphs(documents: DataFrame, share: int = SHARE) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out, signed = [], {}  # equal lines of a batch are signed once
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 for number, (start, n, line) in enumerate(paragraphs(text.as_py())):
-                    shingles = shingle_set(line)
-                    out.append((doc * PARAGRAPHS + number, doc, start, n, len(shingles), *set_key(shingles),
-                                signature_bytes(shingles, forest)))
+                    if line not in signed:
+                        shingles = shingle_set(line)
+                        signed[line] = len(shingles), *set_key(shingles), signature_bytes(shingles, forest)
+                    out.append((doc * PARAGRAPHS + number, doc, start, n, *signed[line]))
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(),

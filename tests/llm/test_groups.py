@@ -332,3 +332,12 @@ def test_passages_keep_one_copy_and_reach_their_ends(spark):
             one, other = texts[r.doc_id].split(), texts[r.kept_doc].split()
             assert one[r.start:r.start + r.n_words] == other[r.kept_start:r.kept_start + r.n_words]
     assert gone == {1: set(), 5: set(range(30, 90)), 9: set(range(70)), 11: set(), 12: set(range(45, 96))}
+
+
+def test_short_lines_are_paragraphs(spark):
+    line = [f"w{i}" for i in range(40)]
+    near = line[:39] + ["other"]
+    texts = [(1, "a b\n" + " ".join(line)), (2, "c\n" + " ".join(near)), (3, "one two three four five"), (4, "x\none two three four five"), (5, "q r s t u")]
+    rows = passages.repeated_paragraphs(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()
+    assert {(r.doc_id, r.start, r.n_words, r.kept_doc, r.kept_start) for r in rows} == {
+        (1, 2, 40, 1, 2), (2, 1, 40, 1, 2), (3, 0, 5, 3, 0), (4, 1, 5, 3, 0)}
