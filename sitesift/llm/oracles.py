@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sitesift.llm import chat, secrets
+from sitesift.llm import chat, negatives, secrets
 
 _BLANK = "[\\x20\\x09-\\x0D]+"
 
@@ -72,3 +72,43 @@ SELECT d.doc_id, COUNT(*) FILTER (kind = 0) AS n_assign, COUNT(*) FILTER (kind =
   COALESCE(string_agg(n.text, ',' ORDER BY s, kind, e), '') AS spans
 FROM d LEFT JOIN named n ON n.row = d.row GROUP BY d.row, d.doc_id
 """
+
+
+_C = negatives.DEFAULT
+
+NEGATIVES = f"""
+WITH v AS (SELECT vec_id, CAST(CASE WHEN vec_id % {_C.moved_step} = 0 THEN (label + 1) % {_C.labels} ELSE label END AS BIGINT) AS label,
+    list_transform(embedding, lambda x: CAST(floor({negatives.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS alike,
+    CAST(list_sum(list_transform(list_zip(a.x, b.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % {_C.anchor_step} = 0),
+best AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM pairs WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= {_C.positives})
+SELECT anchor_id, positive_id, CAST(row_number() OVER g AS INTEGER) AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM best JOIN pairs USING (anchor_id) WHERE NOT alike
+  AND {_C.low} * positive_score <= 100 * score AND 100 * score <= {_C.high} * positive_score
+WINDOW g AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)
+QUALIFY row_number() OVER g <= {_C.negatives}
+"""
+
+
+def _terms(table: str, key: str) -> str:
+    lowered = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"SELECT {key}, unnest(regexp_extract_all({lowered}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM {table}"
+
+
+LEXICAL = f"""
+WITH tf AS (SELECT doc_id, t, COUNT(*) AS tf FROM ({_terms("documents", "doc_id")}) GROUP BY ALL),
+sizes AS (SELECT doc_id, CAST(SUM(tf) AS BIGINT) AS n FROM tf GROUP BY 1),
+total AS (SELECT COUNT(*) AS docs, CAST(SUM(n) AS BIGINT) AS len FROM sizes),
+df AS (SELECT t, COUNT(*) AS df FROM tf GROUP BY 1),
+weight AS (SELECT t, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM df, total),
+long AS (SELECT doc_id, 100 - 50 + ((50 * n * docs) // len) AS m FROM sizes, total),
+asked AS (SELECT DISTINCT item_id, t FROM ({_terms("benchmark", "item_id")})),
+scored AS (SELECT item_id, doc_id, CAST(SUM(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM asked JOIN tf USING (t) JOIN weight USING (t) JOIN long USING (doc_id) GROUP BY 1, 2)
+SELECT item_id, CAST(row_number() OVER g AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0
+WINDOW g AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER g <= 50
+"""

@@ -8,13 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sitesift.llm import (
-    bpe, chat, decontaminate, licenses, neardup, oracles, packed, passages, quality, secrets, shards)
+    bpe, chat, decontaminate, lexical, licenses, linequality, neardup, negatives, oracles, packed, passages, quality, secrets, shards)
 from sitesift.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: SQL where it can express the query; the others are tested against brute force.
 ORACLES: dict[str, str] = {
     "op3_secret_scan": oracles.SECRETS, "op5_chat_format": oracles.CHAT, "op7_near_duplicates": oracles.NEAR,
+    "op12_hard_negatives": oracles.NEGATIVES, "op13_lexical_search": oracles.LEXICAL,
 }
 
 
@@ -76,3 +77,18 @@ def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
 def op10_packed_ids(spark: SparkSession, folder: str) -> DataFrame:
     written = packed.write(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return packed.read(written)
+
+
+@query
+def op11_line_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return linequality.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, folder, "embeddings"))
+
+
+@query
+def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

@@ -14,7 +14,7 @@ FOLDER = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", list(ORACLES))
 def test_oracle(spark, name):
     db = duckdb.connect()
-    for view in ("documents", "conversations"):
+    for view in ("documents", "conversations", "embeddings", "benchmark"):
         db.execute(f"CREATE VIEW {view} AS SELECT * FROM '{FOLDER}/{view}.parquet'")
     df = QUERIES[name](spark, FOLDER)
     cursor = db.execute(ORACLES[name])
@@ -25,7 +25,7 @@ def test_entry_point(monkeypatch):
     import __spark_entry__ as entry
 
     names = set(entry.queries())
-    assert {f"op{n}" for n in range(1, 11)} <= {n.split("_")[0] for n in names} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} <= {n.split("_")[0] for n in names} and "pipeline" in names
     for module in ("corpus_pipeline", "sitesift.llm", "sitesift.llm.queries"):
         monkeypatch.setitem(sys.modules, module, None)
     rest = set(entry.queries())
