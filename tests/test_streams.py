@@ -1,5 +1,7 @@
 """Streams over files against their table forms."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,8 +10,10 @@ from sitesift.plans.bindings import Source
 from sitesift.plans.site_queries import features
 from sitesift.plans.stream_queries import MOVES
 from sitesift.plans.survey_queries import SPOTS
-from sitesift.streaming.sites import latest_site, latest_site_stream, stream_site_units, tile_progress
-from sitesift.streaming.spots import NAMES, stream_dedupe_spots
+from sitesift.streaming.replay import arrive, finished
+from sitesift.streaming.sites import (
+    latest_site, latest_site_stream, store_cells, stream_site_changes, stream_site_units, tile_progress, units_by_cell)
+from sitesift.streaming.spots import NAMES, stream_dedupe_spots, stream_finished_drawings
 from sitesift.operators.surveys import KeptReadings
 
 FOLDER = "/root/testdata/sf0.001"
@@ -34,13 +38,21 @@ def run(stream, name, mode, tmp_path):
 
 
 def test_site_units(spark, source, tmp_path):
-    moves = source.sql(MOVES).select("revision", "lat", "lng").where("revision < 300")
+    moves = source.sql(MOVES).select("revision", "lat", "lng").where("revision < 300").union(
+        spark.createDataFrame([(1000, None, 1.0), (1001, 91.0, 1.0), (1002, 0.0, 0.0)], "revision bigint, lat double, lng double"))
+    cells = store_cells(features(source), "cells_of_test", str(tmp_path / "cells"), (), 4)
     stream = as_stream(spark, moves, str(tmp_path / "in"))
-    query = stream_site_units(stream, features(source), str(tmp_path / "out"), str(tmp_path / "cp"), (), "revision")
+    query = stream_site_units(stream, cells, str(tmp_path / "out"), str(tmp_path / "cp"), "revision")
     query.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out")).select("revision", "feature_seq")
     want = site_unit(moves, features(source), (), "revision").select("revision", "feature_seq")
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = units_by_cell(moves, cells, "revision")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    scan = plan[plan.index("FileScan parquet"):]
+    assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning(_level") == 1, scan[:300]
+    spark.sql("DROP TABLE cells_of_test")
 
 
 def test_only_the_newest_revision_counts(spark, source, tmp_path):
@@ -78,3 +90,53 @@ def test_progress(spark, source, tmp_path):
     out = run(tile_progress(stream, "run"), "progress", "complete", tmp_path)
     want = tile_progress(events, "run")
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+
+
+def at(minutes):
+    return F.timestamp_seconds(F.lit(1_700_000_000) + F.lit(60) * minutes)
+
+
+def test_drawings_end_once_and_lose_their_state(spark, tmp_path, monkeypatch):
+    """A crowd of texts on one square, missing texts and places, readings that move a kept one; drawing 2 comes back after its end."""
+    from sitesift.streaming import spots
+
+    monkeypatch.setattr(spots, "SPLIT", 8)
+    r = random.Random(3)
+    rows, n = [], 0
+    for part in range(3):
+        for drawing in (1, 2) if part == 0 else (1,):
+            for _ in range(60):
+                n += 1
+                raw = r.choice([None, "", f"{r.randrange(40)}.5"])
+                rows.append((drawing, n, r.uniform(-5, 90), r.uniform(0, 90), r.choice([None, float("nan"), r.randrange(50) / 100]), raw,
+                             r.choice([None, 0.2, 0.5, 0.9]), part))
+    rows += [(1, 900, float("nan"), 3.0, 1.0, "a", 0.5, 2), (1, 901, float("nan"), 3.0, 1.0, "a", 0.5, 2), (None, 0, 0.0, 0.0, None, None, None, 3),
+             (2, 950, 1.0, 1.0, 7.0, "late", 0.5, 4), (None, 0, 0.0, 0.0, None, None, None, 5)]
+    df = spark.createDataFrame(rows, "drawing_id bigint, spot_id bigint, x double, y double, value double, raw string, confidence double, part int")
+    minutes = F.element_at(F.array(*[F.lit(m) for m in (0, 20, 40, 200, 210, 900)]), F.col("part") + 1)
+    stream = arrive(df.withColumn("seen_at", at(minutes)), "part", "drawing_id", str(tmp_path / "in"), 6, 1)
+    out = finished(stream_finished_drawings(stream, idle="30 minutes")).collect()
+    want = {}
+    for row in sorted(df.where("drawing_id IS NOT NULL AND x = x AND NOT isnan(x)").collect(), key=lambda x: x.spot_id):
+        key = (row.drawing_id, row.part == 4)
+        want.setdefault(key, KeptReadings(40.0)).add({k: row[k] for k in NAMES})
+    ids = sorted((d, e["spot_id"]) for (d, _), k in want.items() for e in k.entries) + [(1, 900), (1, 901)]
+    assert sorted((x.drawing_id, x.spot_id) for x in out) == sorted(ids)
+
+
+def test_a_move_clears_what_belongs_to_the_old_place(spark, tmp_path):
+    rows = [
+        (1, 1, "site", None, 1.0, 2.0, 0), (1, 2, "historical", "a", None, None, 0), (1, 3, "view", "A", None, None, 0),
+        (1, 4, "site", None, 1.0, 2.0, 1), (1, 5, "historical", "b", None, None, 1),  # same place: nothing goes
+        (1, 7, "site", None, 3.0, 2.0, 2), (1, 8, "historical", "c", None, None, 2),
+        (1, 6, "historical", "late", None, None, 3), (1, 5, "site", None, 9.0, 9.0, 3),  # late answers
+        (1, 9, "site", None, 4.0, 2.0, 3), (2, 1, "view", "A", None, None, 0), (2, 2, "site", None, 0.0, 0.0, 1),
+        (2, 3, "view", "B", None, None, 6), (2, 1, "site", None, 5.0, 5.0, 6)]  # project 2 was forgotten
+    df = spark.createDataFrame(rows, "project_id bigint, revision bigint, kind string, item string, lat double, lng double, part int")
+    beat = spark.createDataFrame([(None, 0, "site", None, None, None, p) for p in (4, 5)], df.schema)
+    stream = arrive(df.union(beat).withColumn("ts", at(F.col("part") * 100)), "part", "project_id", str(tmp_path / "in"), 7, 1)
+    out = finished(stream_site_changes(stream, idle="250 minutes")).collect()
+    assert sorted(((r.project_id, r.revision, r.kind, r.item, r.lat, r.sequence) for r in out), key=repr) == sorted([
+        (1, 1, "site", None, 1.0, None), (1, 7, "site", None, 3.0, None), (1, 7, "historical", "a", None, 1), (1, 7, "historical", "b", None, 2),
+        (1, 7, "view", "A", None, None), (1, 9, "site", None, 4.0, None), (1, 9, "historical", "c", None, 1),
+        (2, 2, "site", None, 0.0, None), (2, 2, "view", "A", None, None), (2, 1, "site", None, 5.0, None)], key=repr)
