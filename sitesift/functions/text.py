@@ -375,6 +375,41 @@ def _path_stays_safe(path: Column) -> Column:
         end["path"].rlike("%[0-9a-fA-F]{2}"), F.lit(True))
 
 
+def resolve_url(href, base) -> Column:
+    """The address that ``href`` has in a document at ``base``, for http and https.
+
+    Absolute, scheme-relative, rooted, relative, query and fragment forms. Dot segments (also as %2e) are
+    walked, scheme and host lowered, default ports dropped, backslashes read as slashes, spaces encoded. Null
+    where ``base`` is no such address, and for other schemes.
+    """
+    plain = F.replace(F.regexp_replace(F.trim(F.coalesce(col(href), F.lit(""))), r"[\t\r\n]", ""), F.lit(" "), F.lit("%20"))
+    head = F.regexp_extract(plain, r"^[^?#]*", 0)
+    plain = F.concat(F.replace(head, F.lit("\\"), F.lit("/")), F.substr(plain, F.length(head) + 1))
+    here = F.regexp_replace(col(base), "#.*", "")
+    start = F.regexp_extract(here, r"(?i)^(https?://[^/?#]+)", 1)
+    path = F.regexp_extract(here, r"(?i)^https?://[^/?#]+(/[^?#]*)?", 1)
+    folder = F.concat(F.regexp_extract(path, r"^(.*/)?", 0), F.when(path == "", "/").otherwise(""))
+    whole = (
+        F.when(plain.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), plain)
+        .when(plain.startswith("//"), F.concat(F.regexp_extract(start, "^[^/]*", 0), plain))
+        .when(plain.startswith("/"), F.concat(start, plain))
+        .when(plain.startswith("?"), F.concat(start, path, plain))
+        .when((plain == "") | plain.startswith("#"), F.concat(here, plain))
+        .otherwise(F.concat(start, folder, plain)))
+    parts = r"(?i)^(https?)://([^/?#]+)([^?#]*)(.*)$"
+    scheme, host = F.lower(F.regexp_extract(whole, parts, 1)), F.lower(F.regexp_extract(whole, parts, 2))
+    host = F.regexp_replace(host, F.when(scheme == "http", ":80$").otherwise(":443$"), "")
+    steps = F.split(F.regexp_replace(F.regexp_extract(whole, parts, 3), "^/", ""), "/")
+    dots = F.transform(steps, lambda s: F.regexp_replace(s, "(?i)%2e", "."))
+    walked = F.aggregate(
+        F.arrays_zip(steps.alias("s"), dots.alias("d")), F.array().cast("array<string>"),
+        lambda acc, x: F.when(x["d"] == ".", acc)
+        .when(x["d"] == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, x["s"])))
+    end = F.when(F.element_at(dots, -1).isin(".", "..") & (F.size(walked) > 0), "/").otherwise("")
+    known = whole.rlike(parts) & (start != "")
+    return F.when(known, F.concat(scheme, F.lit("://"), host, F.lit("/"), F.array_join(walked, "/"), end, F.regexp_extract(whole, parts, 4)))
+
+
 def url_origin(url) -> Column:
     return F.lower(F.regexp_extract(col(url), r"(?i)^(https://[^/?#]+)", 1))
 

@@ -6,8 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitesift.functions import geometry as G
+from sitesift.functions import text as X
 from sitesift.session import durable
 
+# The publisher's host and folder, whose documents a cache keeps under polygons/.
+OFFICIAL_HOST = r"(?i)^https?://([^/?#:]*\.)?geologyontario\."
+OFFICIAL_FOLDER = "/mines/data/google/mrd128/polygons/"
+
 
 def resolve_styles(styles: DataFrame, style_maps: DataFrame) -> DataFrame:
     """(doc, style_id, color, opacity) of styles and of the maps that lead to one.
@@ -66,3 +71,61 @@ def reachable_documents(
     limits = seen.groupBy("root_id").agg(
         ((F.count(F.lit(1)) <= max_docs) & (F.max("depth") <= max_depth)).alias("within_limits"))
     return seen.join(limits, "root_id")
+
+
+def document_links(
+    found: DataFrame, cache_root: str, surficial: bool = True,
+    official_host: str = OFFICIAL_HOST, official_folder: str = OFFICIAL_FOLDER,
+) -> DataFrame:
+    """(parent, pos, doc, region, problem) of the links to follow, from ``network_links`` whose documents are named by address.
+
+    Addresses are resolved against their document; the surficial layer follows only links of its rule; an address of the
+    publisher's folder is the cached copy's. ``problem`` is ``outside`` for a document that is not under the cache.
+    """
+    address = X.resolve_url("href", "doc")
+    resolved = found.select(F.col("doc").alias("parent"), "pos", "name", "region", address.alias("_to"))
+    if surficial:
+        resolved = resolved.where(X.follow_link("name", F.coalesce("_to", F.lit(""))))
+    path = X.url_path("_to")
+    copied = F.concat(F.lit(f"{cache_root}polygons/"), F.substring_index(path, official_folder, -1))
+    to = F.when(F.col("_to").rlike(official_host) & path.contains(official_folder), copied).otherwise(F.col("_to"))
+    inside = F.coalesce(to.startswith(f"{cache_root}polygons/"), F.lit(False))
+    return resolved.select("parent", "pos", to.alias("doc"), "region", F.when(~inside, "outside").alias("problem"))
+
+
+def linked_documents(
+    links: DataFrame, documents: DataFrame, roots: DataFrame, bounds: Column | str | None = None,
+    max_depth: int = 6, max_docs: int = 600,
+) -> DataFrame:
+    """(root_id, doc, depth, problem, within_limits) of the documents that a walk from each root loads.
+
+    ``links`` as of ``document_links``, ``documents`` holds the known addresses (doc), ``roots`` (root_id, doc and what
+    ``bounds`` names: a viewport for each root). A link whose region misses the root's viewport is not followed; one without region always
+    is. A document outside the cache or not there is reported with its problem and leads nowhere. Cycles and
+    shared documents are loaded once for each root. Each level is one equi-join and one anti-join on slim rows (no text moves), cut by a
+    checkpoint; the walk is whole, and ``within_limits`` says whether the root kept to the caller's depth and number of documents.
+    """
+    kept = [F.col("root_id"), F.col("doc")] + ([] if bounds is None else [(F.col(bounds) if isinstance(bounds, str) else bounds).alias("_view")])
+    known = documents.select("doc").distinct().withColumn("_there", F.lit(True))
+    edges = durable(
+        links.join(known, "doc", "left").select(
+            F.col("parent").alias("_parent"), "doc", "region",
+            F.coalesce("problem", F.when(F.col("_there").isNull(), "missing")).alias("problem")).distinct())
+    start = roots.select(*kept).distinct().join(known, "doc", "left")
+    frontier = durable(start.select(
+        "root_id", "doc", F.lit(0).alias("depth"), F.when(F.col("_there").isNull(), "missing").alias("problem"), *kept[2:] and ["_view"]))
+    seen = frontier.select("root_id", "doc", "depth", "problem")
+    level = 0
+    while not frontier.isEmpty():
+        level += 1
+        open_ = frontier.where("problem IS NULL").withColumnRenamed("doc", "_parent").drop("depth", "problem")
+        step = open_.join(edges, "_parent")
+        if bounds is not None:
+            step = step.where(F.col("region").isNull() | G.bbox_intersects("region", "_view"))
+        step = step.drop("_parent", "region").dropDuplicates(["root_id", "doc"])
+        frontier = durable(step.join(seen.select("root_id", "doc"), ["root_id", "doc"], "left_anti").withColumn("depth", F.lit(level)))
+        seen = durable(seen.unionByName(frontier.select("root_id", "doc", "depth", "problem")))
+    loaded = F.col("problem").isNull()
+    limits = seen.groupBy("root_id").agg(
+        ((F.count_if(loaded) <= max_docs) & (F.max(F.when(loaded, F.col("depth"))) <= max_depth)).alias("within_limits"))
+    return seen.join(limits, "root_id").select("root_id", "doc", "depth", "problem", F.coalesce("within_limits", F.lit(True)).alias("within_limits"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sitesift.functions import geodesy as D
 from sitesift.functions import geometry as G
+from sitesift.operators import links
 from sitesift.plans.bindings import Source
 from sitesift.plans.catalog_queries import NAMES
 from sitesift.plans.geodesy_queries import FRAMES, ilat, ilng, mx, my
@@ -313,3 +314,44 @@ def scan_image_inventory(s: Source) -> DataFrame:
     files = s.table("documents").select(F.concat(F.lit("a/"), c("doc_id").cast("string"), ext).alias("path"), raw.alias("content"))
     found = records.image_inventory(files)
     return found.select(F.regexp_replace("path", r"\.\w+$", "").alias("doc"), "mime", "width", "height", "error")
+
+
+# Documents of one cache, linked by every form of address: relative, rooted, through dot segments, the publisher's own; some lead
+# outside, some to documents that are not there, some are no polygon documents. Two viewports walk from the one root.
+CACHE = "https://maps.example.test/site/mrd128-cache/"
+WALKED = """SELECT doc_id, parent_id, doc_id % 11 = 7 AS outside, doc_id % 13 = 5 AS gone, doc_id % 17 = 3 AS text_file,
+  doc_id % 3 = 0 AS far_east FROM b_links"""
+
+
+@query("linked_documents", f"""
+WITH RECURSIVE l AS ({WALKED}), roots AS (SELECT * FROM (VALUES (1, TRUE), (2, FALSE)) AS t(root_id, east)),
+walk AS (SELECT CAST(r.root_id AS BIGINT) AS root_id, r.east, l.doc_id, 0 AS depth, CAST(NULL AS VARCHAR) AS problem FROM l, roots r WHERE l.parent_id IS NULL
+  UNION ALL SELECT w.root_id, w.east, l.doc_id, w.depth + 1, CASE WHEN l.outside THEN 'outside' WHEN l.gone THEN 'missing' END
+  FROM walk w JOIN l ON l.parent_id = w.doc_id WHERE w.problem IS NULL AND NOT l.text_file AND (w.east OR NOT l.far_east))
+SELECT root_id, CASE WHEN problem = 'outside' THEN 'https://other.example.test/mrd128-cache/polygons/' || doc_id || '/doc.kml'
+    ELSE '{CACHE}polygons/' || doc_id || '/doc.kml' END AS doc, CAST(depth AS INT) AS depth, problem,
+  MAX(CASE WHEN problem IS NULL THEN depth END) OVER r <= 3 AND COUNT(*) FILTER (problem IS NULL) OVER r <= 600 AS within_limits
+FROM walk WINDOW r AS (PARTITION BY root_id)
+""")
+def linked_documents(s: Source) -> DataFrame:
+    c = F.col
+    number = c("doc_id").cast("string")
+    href = F.when(c("outside"), F.concat(F.lit("//Other.example.test:443/mrd128-cache/polygons/"), number, F.lit("/doc.kml"))).when(
+        c("text_file"), F.concat(F.lit("../"), number, F.lit("/doc.txt"))).otherwise(F.element_at(F.array(
+            F.concat(F.lit("../"), number, F.lit("/doc.kml")),
+            F.concat(F.lit("/site/mrd128-cache/polygons/"), number, F.lit("/doc.kml")),
+            F.concat(F.lit("a/./%2e%2E/../x/../"), number, F.lit("/doc.kml")),
+            F.concat(F.lit("http://www.geologyontario.mndm.gov.on.ca/mines/data/google/mrd128/polygons/"), number, F.lit("/doc.kml"))),
+            (c("doc_id") % 4 + 1).cast("int")))
+    region = F.when(c("far_east"), F.lit("<Region><LatLonAltBox><north>9</north><south>1</south><east>9</east><west>6</west></LatLonAltBox></Region>")).otherwise("")
+    link = F.concat(F.lit("<NetworkLink><name>t</name>"), region, F.lit("<Link><href> "), href, F.lit("\n</href></Link></NetworkLink>"))
+    rows = s.sql(WALKED)
+    children = joined_text(rows.where("parent_id IS NOT NULL").select("parent_id", "doc_id", link.alias("kml")), "parent_id", "doc_id", "kml")
+    docs = rows.where("NOT (outside OR gone)").select(c("doc_id").alias("parent_id")).join(children, "parent_id", "left").select(
+        F.concat(F.lit(f"{CACHE}polygons/"), c("parent_id").cast("string"), F.lit("/doc.kml")).alias("doc"),
+        F.concat(F.lit("<kml>"), F.coalesce("kml", F.lit("")), F.lit("</kml>")).alias("kml"))
+    views = F.explode(F.array(*[F.struct(F.lit(i).cast("bigint").alias("root_id"), F.lit(e).alias("east")) for i, e in ((1, 9.0), (2, 5.0))]))
+    roots = rows.where("parent_id IS NULL").select(F.concat(F.lit(f"{CACHE}polygons/"), number, F.lit("/doc.kml")).alias("doc"),
+        views.alias("v")).select("v.root_id", "doc", G.bounds(F.lit(0.0), F.lit(0.0), F.col("v.east"), F.lit(9.0)).alias("view"))
+    found = links.document_links(kml.network_links(docs), CACHE)
+    return links.linked_documents(found, docs, roots, "view", max_depth=3)

@@ -348,3 +348,41 @@ def test_all_layers_are_joined(spark):
     out = {r["item"]: r for r in manifests.aggregate_provenance(table, "item").collect()}
     assert out[1]["provider"].split(" + ") == [f"n{i:02d}" for i in range(25)] and out[1]["error"] == "too-many-layers"
     assert out[2]["provider"] == "x" and out[2]["error"] is None
+
+
+def test_addresses_resolve(spark):
+    from urllib.parse import urljoin
+
+    base = "https://Example.test/a/b/doc.kml?v=1#top"
+    hrefs = ["x.kml", "./x.kml", "../x.kml", "../../../x.kml", "/r.kml", "//Other.test/y.kml", "http://Third.test:80/p/../q.kml", "?k=2", "#f", "",
+             "c/./d/../e.kml?u=../z#../w", "..", ".", "a/b/", "https://t.test", "mailto:me", "x/%2e%2E/y.kml", "a b.kml", "\\s\\t.kml", " z.kml\n"]
+    df = spark.createDataFrame([(h, base) for h in hrefs] + [(None, base), ("x", None), ("x", "ftp://h/a")], "h string, b string")
+    got = [r.u for r in df.select(X.resolve_url("h", "b").alias("u")).collect()]
+    want = []
+    for h in hrefs:
+        u = urljoin("https://example.test/a/b/doc.kml?v=1", h.strip().replace(" ", "%20").replace("\\", "/"))
+        want.append({"http://Third.test:80/q.kml": "http://third.test/q.kml", "mailto:me": None, "https://t.test": "https://t.test/"}.get(u, u))
+    want[6], want[5], want[16] = "http://third.test/q.kml", "https://other.test/y.kml", "https://example.test/a/b/y.kml"
+    want = [w.replace("Third", "third").replace(":80", "") if w else w for w in want]
+    assert got == [*want, "https://example.test/a/b/doc.kml?v=1", None, None]
+
+
+def test_linked_documents_cycles_and_limits(spark):
+    from sitesift.operators.links import document_links, linked_documents
+
+    root = "https://h.test/mrd128-cache/"
+    at = lambda n: f"{root}polygons/{n}.kml"
+    found = spark.createDataFrame(
+        [(at("a"), 0, "", "b.kml", None), (at("b"), 0, "", "a.kml", None), (at("b"), 1, "", "c.kml", (20.0, 20.0, 30.0, 30.0)),
+         (at("a"), 1, "", "d.kml", (0.0, 0.0, 1.0, 1.0)), (at("d"), 0, "Surficial Geology", "https://evil.test/x", None), (at("d"), 1, "", "gone.kml", None),
+         (at("d"), 2, "", "note.txt", None)],
+        "doc string, pos int, name string, href string, region struct<west:double,south:double,east:double,north:double>")
+    docs = spark.createDataFrame([(at(n),) for n in "abcd"], "doc string")
+    roots = spark.createDataFrame([(1, at("a")), (2, at("nowhere"))], "root_id bigint, doc string")
+    rows = linked_documents(document_links(found, root), docs, roots, G.bounds(0.0, 0.0, 5.0, 5.0), max_docs=2).collect()
+    assert {(r.root_id, r.doc, r.depth, r.problem, r.within_limits) for r in rows} == {
+        (1, at("a"), 0, None, False), (1, at("b"), 1, None, False), (1, at("d"), 1, None, False),
+        (1, "https://evil.test/x", 2, "outside", False), (1, at("gone"), 2, "missing", False), (2, at("nowhere"), 0, "missing", True)}
+    assert len(rows) == 6
+    everything = linked_documents(document_links(found, root, surficial=False), docs, roots).collect()
+    assert {r.doc for r in everything if r.problem is None} == {at(n) for n in "abcd"}
