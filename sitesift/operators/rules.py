@@ -162,7 +162,8 @@ def validate_historical(items: DataFrame, max_year: int) -> DataFrame:
         (~X.bounded_text("attribution", 1000), "attribution"),
         (~c("policy").eqNullSafe("exportable"), "policy"),
         (c("resolution_m") <= 0, "resolution"),
-        (~G.valid_bounds("bounds", "lat", "lng"), "bounds"),
+        (~F.when(c("lat").isNull() & c("lng").isNull(), G.valid_bounds("bounds"))  # a project without a site yet
+          .otherwise(G.valid_bounds("bounds", "lat", "lng")), "bounds"),
         (created.isNull(), "created-at"), (updated.isNull(), "updated-at"),
         (updated < created, "updated-before-created"),
         (official & ~F.coalesce(c("provider_id").rlike(X.PROVIDER_ID), F.lit(False)), "provider"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sitesift.functions import geodesy as D
 from sitesift.functions import geometry as G
-from sitesift.operators import links
+from sitesift.operators import links, projects, rules, saved_projects
 from sitesift.plans.bindings import Source
 from sitesift.plans.catalog_queries import NAMES
 from sitesift.plans.geodesy_queries import FRAMES, ilat, ilng, mx, my
@@ -355,3 +355,99 @@ def linked_documents(s: Source) -> DataFrame:
         views.alias("v")).select("v.root_id", "doc", G.bounds(F.lit(0.0), F.lit(0.0), F.col("v.east"), F.lit(9.0)).alias("view"))
     found = links.document_links(kml.network_links(docs), CACHE)
     return links.linked_documents(found, docs, roots, "view", max_depth=3)
+
+
+# Whole saved projects, written as text: every known field, fields that no version knows, old versions and wrong records.
+_ID = "00000000-0000-4000-8000-"
+SAVED_DOCS = f"""SELECT c_custkey AS project_id, CASE WHEN c_custkey % 17 = 0 THEN '[1, 2' ELSE concat(
+  '{{"schemaVersion":', CASE WHEN c_custkey % 5 = 0 THEN 'null' ELSE CAST(c_custkey % 5 AS STRING) END, ',"id":"p', c_custkey, '","name":',
+  CASE WHEN c_custkey % 13 = 0 THEN '7' ELSE concat('"', c_name, '"') END, ',"projectNo":"P-1","date":"2024-02-29","address":"Main St","company":"Old Co",',
+  '"location":', CASE WHEN c_custkey % 7 = 0 THEN 'null' WHEN c_custkey % 11 = 0 THEN '{{"lat":95,"lng":-80.25}}' ELSE '{{"lat":43.5,"lng":-80.25}}' END,
+  ',"siteBoundary":[[-80.5,43.25],[-80,43.25],[-80,43.75],[-80.5,43.25]],"annotations":[{{"id":"n1","figureCode":"B","text":"Former tank","position":{{"lat":43.5,"lng":-80}},',
+  '"target":', CASE WHEN c_custkey % 3 = 0 THEN 'null' ELSE '{{"lat":44,"lng":-81}}' END, ',"mask":', CASE WHEN c_custkey % 19 = 0 THEN 'false' ELSE 'true' END, '}}],',
+  '"historical":[{{"id":"{_ID}', lpad(CAST(c_custkey AS STRING), 12, '0'), '","year":1972,"sequence":', c_custkey % 4, ',"title":"Flight","mode":"official","providerId":"toronto",',
+  '"sourceUrl":"https://maps.example.org/a","licenseUrl":"https://maps.example.org/l","attribution":"City","policy":"exportable","resolutionMeters":0.5,',
+  '"bounds":{{"north":43.75,"south":43.25,"east":-80,"west":-80.5}},"placement":null,"assetId":null,"officialExport":{{"kind":"arcgis-export","url":"https://maps.example.org/e",',
+  '"layer":"0","maxWidth":4096,"maxHeight":', 1000 + c_custkey % 9, ',"resultId":"toronto:x","coverage":{{"north":44,"south":43,"east":-79,"west":-81}},"preview":null}},',
+  '"createdAt":"2024-05-01T10:00:00Z","updatedAt":"2024-05-01T11:00:00Z"}},{{"id":"old","year":1950,"name":"scan.png","size":', c_custkey + 1, ',"dataUrl":"data:image/png;base64,AA=="}}],',
+  '"historicalSequenceCounters":{{"1972":2,"', CASE WHEN c_custkey % 23 = 0 THEN '2150' ELSE '1980' END, '":', c_custkey % 6, '}},"dpi":', 150 + c_custkey % 2 * 150, ',',
+  '"geology":{{"surficial":null,"bedrock":{{"name":"', CASE WHEN c_custkey % 2 = 0 THEN 'mine.KMZ' ELSE 'table' END, '","count":', c_custkey, '}}}},',
+  '"figures":{{"B":{{"title":"Plan","extentMeters":250,"status":"Done","bounds":{{"north":43.75,"south":', CASE WHEN c_custkey % 29 = 0 THEN '43.6' ELSE '43.25' END,
+  ',"east":-80,"west":-80.5}},"grid":[', c_custkey % 10, ']}}}},"companyProfileSnapshot":{{"companyName":"Example Ltd","address":"Main St","phone":"1","email":"a@example.org",',
+  '"website":"example.org","logoAssetId":"logo","logoMime":"image/png","logoWidth":', c_custkey % 8, ',"logoHeight":10,"logoPlacement":{{"align":"left","scale":1}}}},',
+  '"exportPreferences":{{"codes":["E"],"selection":[{{"kind":"historical","id":"old"}},{{"kind":"figure","code":"D"}},{{"kind":"figure","code":"Z"}},',
+  '{{"kind":"figure","code":"A","more":1}},4,{{"kind":"historical","id":"{_ID}', lpad(CAST(c_custkey AS STRING), 12, '0'), '"}},{{"kind":"figure","code":"B"}}]}},',
+  '"createdAt":"2024-01-01T00:00:00Z","updatedAt":"2024-01-02T00:00:00Z","reviewer":{{"name":"R', c_custkey % 3, '"}}}}') END AS json FROM customer"""
+_OLD = "(c_custkey % 5 IN (0, 1, 2))"
+
+
+@query("restore_projects", f"""
+WITH p AS (SELECT *, c_custkey % 17 <> 0 AS ok FROM customer)
+SELECT c_custkey AS project_id, CAST(6 AS INT) AS schema_version, CASE WHEN ok THEN 'p' || c_custkey END AS id,
+  CASE WHEN ok AND c_custkey % 13 <> 0 THEN c_name ELSE '' END AS name, CASE WHEN ok THEN 'P-1|2024-02-29|Main St|Old Co' ELSE '|||' END AS texts,
+  CASE WHEN ok AND c_custkey % 7 <> 0 THEN CASE WHEN c_custkey % 11 = 0 THEN 95e0 ELSE 43.5e0 END END AS lat, CASE WHEN ok THEN -80e0 END AS corner_x,
+  CASE WHEN ok THEN 'n1|B|Former tank|' || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '44.0' END || '|' || (c_custkey % 19 <> 0) END AS note,
+  CASE WHEN ok THEN c_custkey % 4 END AS sequence, CASE WHEN ok THEN 'official|toronto|City|0.5|43.75|arcgis-export|' || (1000 + c_custkey % 9) || '|-81.0|2024-05-01T11:00:00Z' END AS item,
+  CASE WHEN ok THEN 'scan.png|' || (c_custkey + 1) || '|data:image/png;base64,AA==' END AS legacy,
+  CASE WHEN ok THEN '1972:' || greatest(2, c_custkey % 4) || ',' || CASE WHEN c_custkey % 23 = 0 THEN 2150 ELSE 1980 END || ':' || c_custkey % 6 ELSE '' END AS counters,
+  CASE WHEN ok THEN 'Plan|Done|43.75|' || c_custkey % 10 ELSE 'CURRENT AERIAL / SITE PLAN|Not Started||' END AS figure_b,
+  CASE WHEN ok AND NOT {_OLD} THEN 250e0 ELSE 100e0 END AS b_extent, 20000e0 AS e_extent, CAST(CASE WHEN ok THEN 150 + c_custkey % 2 * 150 ELSE 300 END AS INT) AS dpi,
+  CASE WHEN ok THEN CASE WHEN c_custkey % 2 = 0 THEN 'mine.KMZ|custom|Custom import: mine.KMZ|unknown|false|' ELSE 'table|||||' END || c_custkey ELSE '' END AS bedrock,
+  CASE WHEN ok THEN 'Example Ltd|' || CAST(c_custkey % 8 AS DOUBLE) || '|left|1.0' ELSE '|||' END AS company,
+  CASE WHEN ok THEN 'B,D,old,{_ID}' || lpad(CAST(c_custkey AS VARCHAR), 12, '0') ELSE '' END AS selection,
+  CASE WHEN ok THEN '2024-01-01T00:00:00Z|2024-01-02T00:00:00Z' ELSE '|' END AS stamps, CASE WHEN ok THEN 'R' || c_custkey % 3 END AS reviewer,
+  concat_ws(',', CASE WHEN NOT ok THEN 'document' END, CASE WHEN ok AND c_custkey % 13 = 0 THEN 'text-fields' END,
+    CASE WHEN ok AND c_custkey % 7 <> 0 AND c_custkey % 11 = 0 THEN 'location' END, CASE WHEN ok AND c_custkey % 23 = 0 THEN 'counters' END,
+    CASE WHEN ok AND ((c_custkey % 29 = 0 AND c_custkey % 7 <> 0) OR (c_custkey % 7 <> 0 AND c_custkey % 11 = 0)) THEN 'figure-bounds' END) AS violations,
+  TRUE AS comes_back FROM p
+""")
+def restore_projects(s: Source) -> DataFrame:
+    found = saved_projects.restore_projects(s.sql(SAVED_DOCS))
+    again = saved_projects.restore_projects(saved_projects.project_json(found))
+    written = saved_projects.project_json(again).withColumnRenamed("json", "again")
+    rows = found.join(saved_projects.project_json(found), "project_id").join(written, "project_id")
+    parts = lambda *columns: F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns])
+    note, item, old = F.try_element_at("annotations", F.lit(1)), F.try_element_at("historical", F.lit(1)), F.try_element_at("historical", F.lit(2))
+    b, e, rock, firm = F.col("figures")["B"], F.col("figures")["E"], F.col("geology")["bedrock"], F.col("company_profile")
+    counters = F.transform(F.array_sort(F.map_entries("historical_counters")), lambda c: F.concat_ws(":", c["key"], c["value"]))
+    return rows.select(
+        "project_id", "schema_version", "id", "name", parts(F.col("project_no"), F.col("date"), F.col("address"), F.col("company")).alias("texts"),
+        F.col("location.lat").alias("lat"), F.try_element_at(F.try_element_at("site_boundary", F.lit(2)), F.lit(1)).alias("corner_x"),
+        F.when(note.isNotNull(), parts(note["id"], note["figureCode"], note["text"], note["target"]["lat"], note["mask"])).alias("note"),
+        item["sequence"].alias("sequence"),
+        F.when(item.isNotNull(), parts(item["mode"], item["providerId"], item["attribution"], item["resolutionMeters"], item["bounds"]["north"], item["officialExport"]["kind"],
+                                       item["officialExport"]["maxHeight"], item["officialExport"]["coverage"]["west"], item["updatedAt"])).alias("item"),
+        F.when(old.isNotNull(), parts(old["name"], old["size"], old["dataUrl"])).alias("legacy"), F.array_join(counters, ",").alias("counters"),
+        parts(b["title"], b["status"], b["bounds"]["north"], F.try_variant_get(b["extra"]["grid"], "$[0]", "int")).alias("figure_b"),
+        b["extent_m"].alias("b_extent"), e["extent_m"].alias("e_extent"), "dpi",
+        F.when(rock.isNotNull(), parts(rock["name"], rock["source"]["id"], rock["source"]["name"], rock["source"]["acquisitionYearVerification"],
+                                       rock["source"]["permissionConfirmed"], F.try_variant_get(rock["extra"]["count"], "$", "bigint"))).otherwise("").alias("bedrock"),
+        parts(firm["companyName"], firm["logoWidth"], firm["logoPlacement"]["align"], firm["logoPlacement"]["scale"]).alias("company"),
+        F.array_join(F.transform("selection", lambda v: v["key"]), ",").alias("selection"), parts(F.col("created_at"), F.col("updated_at")).alias("stamps"),
+        F.try_variant_get(F.col("extra")["reviewer"], "$.name", "string").alias("reviewer"),
+        F.array_join("violations", ",").alias("violations"), (F.col("json") == F.col("again")).alias("comes_back"))
+
+
+@query("saved_project_rules", f"""
+WITH p AS (SELECT c_custkey AS project_id, c_name, c_custkey % 17 <> 0 AS ok, c_custkey AS k FROM customer),
+v1 AS (SELECT project_id, 'V1 ' || unnest(list_filter([
+    CASE WHEN NOT ok OR k % 13 = 0 THEN 'project-name' END, CASE WHEN NOT ok THEN 'project-number' END, CASE WHEN NOT ok THEN 'project-date' END,
+    CASE WHEN NOT ok THEN 'address' END, CASE WHEN NOT ok OR k % 7 = 0 OR k % 11 = 0 THEN 'location' END,
+    CASE WHEN ok AND k % 8 = 0 THEN 'company-logo-record' END, CASE WHEN NOT ok OR k % 7 = 0 OR k % 11 = 0 THEN 'site-boundary' END], lambda x: x IS NOT NULL)) AS rule FROM p),
+firm AS (SELECT project_id, 'V1 ' || unnest(['company-name', 'company-address', 'company-phone', 'company-email', 'company-website', 'company-logo', 'company-logo-placement']) AS rule
+  FROM p WHERE NOT ok),
+v6 AS (SELECT project_id, 'V6 ' || unnest(list_filter([CASE WHEN k % 4 = 0 THEN 'sequence' END,
+    CASE WHEN k % 7 <> 0 AND k % 11 = 0 THEN 'bounds' END], lambda x: x IS NOT NULL)) AS rule FROM p WHERE ok),
+v7 AS (SELECT project_id, 'V7 mask' AS rule FROM p WHERE ok AND k % 19 = 0),
+a6 AS (SELECT project_id, 'A6 1972 ' || greatest(2, k % 4) AS rule FROM p WHERE ok)
+SELECT * FROM v1 UNION ALL SELECT * FROM firm UNION ALL SELECT * FROM v6 UNION ALL SELECT * FROM v7 UNION ALL SELECT * FROM a6
+""")
+def saved_project_rules(s: Source) -> DataFrame:
+    found = saved_projects.restore_projects(s.sql(SAVED_DOCS))
+    broken = lambda df, rule: df.select("project_id", F.explode("violations").alias("rule")).withColumn("rule", F.concat(F.lit(f"{rule} "), "rule"))
+    sheets = saved_projects.print_rows(found).where("figure = 'B'")
+    items = saved_projects.item_rows(found)
+    counted = projects.sequence_counters(items, saved_projects.counter_rows(found)).where("year = 1972")
+    return broken(rules.print_requirements(sheets), "V1").union(broken(rules.validate_historical(items, 2026), "V6")).union(
+        broken(rules.validate_annotations(saved_projects.note_rows(found)), "V7")).union(
+        counted.select("project_id", F.concat(F.lit("A6 1972 "), F.col("counter").cast("string"))))
