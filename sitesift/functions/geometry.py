@@ -333,5 +333,80 @@ def centroid(points) -> Column:
     return F.when(n > 0, point(total["x"] / n, total["y"] / n))
 
 
+def vertex_keys(ring) -> Column:
+    """A text for each vertex, equal for equal vertices: texts are hashed where structs would be compared one with all."""
+    return F.transform(col(ring), lambda p: F.concat_ws(",", *[
+        F.coalesce((p[axis] + 0.0).cast("string"), F.lit("none")) for axis in ("x", "y")]))
+
+
 def distinct_vertices(ring) -> Column:
-    return F.size(F.array_distinct(col(ring)))
+    return F.size(F.array_distinct(vertex_keys(ring)))
+
+
+# Parts of the spacing of doubles at 1 below which a ring counts as flat.
+SPACING = 2.0**-52
+LINE_SLACK, AREA_SLACK = 1024, 256
+
+
+def compensated_area(ring) -> Column:
+    """Signed area of a closed ring, summed with the rounding error of every step carried along.
+
+    Triangles from the first vertex; one pass. Unlike ``ring_area`` it keeps its digits on rings of very many vertices.
+    """
+    ring = col(ring)
+    origin = F.element_at(ring, 1)
+
+    def step(acc: Column, e: Column) -> Column:
+        term = ((e["a"]["x"] - origin["x"]) * (e["b"]["y"] - origin["y"])
+                - (e["a"]["y"] - origin["y"]) * (e["b"]["x"] - origin["x"]))
+
+        def add(v: Column) -> Column:
+            total, t = v["sum"], v["term"]
+            whole = total + t
+            lost = F.when(F.abs(total) >= F.abs(t), (total - whole) + t).otherwise((t - whole) + total)
+            return F.struct(whole.alias("sum"), (v["lost"] + lost).alias("lost"))
+
+        return let(F.struct(acc["sum"].alias("sum"), acc["lost"].alias("lost"), term.alias("term")), add)
+
+    between = F.slice(ring, 2, F.greatest(F.size(ring) - 2, F.lit(0)))
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("lost"))
+    return F.aggregate(path_edges(between), start, step, lambda acc: (acc["sum"] + acc["lost"]) / 2)
+
+
+def ring_is_flat(ring) -> Column:
+    """Whether a closed ring has no area for its size: all vertices on its longest line between extremes, or an area below
+    what rounding can make of it. Both limits grow with the ring, so small rings are not flat by being small.
+    """
+    ring = col(ring)
+
+    def judge(v: Column) -> Column:
+        xs, ys = F.transform(v, lambda p: p["x"]), F.transform(v, lambda p: p["y"])
+        ends = F.array(*[F.get(v, F.array_position(side, pick(side)).cast("int") - 1)
+                         for side in (xs, ys) for pick in (F.array_min, F.array_max)])
+        size = F.greatest(F.array_max(xs) - F.array_min(xs), F.array_max(ys) - F.array_min(ys))
+        lines = F.flatten(F.transform(ends, lambda a: F.transform(ends, lambda b: F.struct(
+            ((b["x"] - a["x"]) * (b["x"] - a["x"]) + (b["y"] - a["y"]) * (b["y"] - a["y"])).alias("squared"),
+            (b["x"] - a["x"]).alias("dx"), (b["y"] - a["y"]).alias("dy"), a["x"].alias("x"), a["y"].alias("y")))))
+        longest = F.array_max(lines)
+        off = lambda line: F.array_max(F.transform(v, lambda p: F.abs(
+            line["dx"] * (p["y"] - line["y"]) - line["dy"] * (p["x"] - line["x"]))))
+        straight = let(longest, lambda line: off(line) <= line["squared"] * SPACING * LINE_SLACK)
+        twice = F.abs(compensated_area(ring)) * 2
+        return straight | ~(twice > size * size * SPACING * AREA_SLACK * F.size(v)) | ~(twice < float("inf"))
+
+    vertices = F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(0)))
+    return F.when(F.size(ring) > 1, let(vertices, judge)).otherwise(F.lit(True))
+
+
+def segments_meet(ax, ay, bx, by, cx, cy, dx, dy) -> Column:
+    """Segments ab and cd cross or touch, with an end on a line only within 1e-14 of its cross product."""
+    def lies(px, py, sx, sy, ex, ey) -> Column:
+        px, py, sx, sy, ex, ey = map(col, (px, py, sx, sy, ex, ey))
+        return (px.between(F.least(sx, ex), F.greatest(sx, ex)) & py.between(F.least(sy, ey), F.greatest(sy, ey))
+                & (F.abs(orientation(sx, sy, ex, ey, px, py)) < ZERO_AREA))
+
+    touch = (lies(ax, ay, cx, cy, dx, dy) | lies(bx, by, cx, cy, dx, dy) | lies(cx, cy, ax, ay, bx, by) | lies(dx, dy, ax, ay, bx, by))
+    proper = (
+        (orientation(ax, ay, bx, by, cx, cy) * orientation(ax, ay, bx, by, dx, dy) < 0)
+        & (orientation(cx, cy, dx, dy, ax, ay) * orientation(cx, cy, dx, dy, bx, by) < 0))
+    return touch | proper

@@ -181,3 +181,53 @@ def validate_rings(s: Source) -> DataFrame:
             F.slice(p, 1, 5), F.array(G.point(p[0]["x"], p[0]["y"] + 0.03125)))).otherwise(p))
     checked = rings.validate_rings(given)
     return checked.select("ring_id", F.array_join(F.reverse(F.array_sort("violations")), ",").alias("violations"))
+
+
+# Rings of six orders of size and six of flatness: width w = 2^-(4 size), height w / 2^thin; every seventh crosses itself.
+SIZED = """SELECT feature_seq AS ring_id, feature_seq % 6 AS size, feature_seq % 7 = 3 AS crossed, west,
+  CAST(POWER(2e0, -4 * (feature_seq % 6)) AS DOUBLE) AS w,
+  CAST(POWER(2e0, -4 * (feature_seq % 6) - CASE feature_seq % 5 WHEN 0 THEN 44 WHEN 1 THEN 43 WHEN 2 THEN 41 WHEN 3 THEN 20 ELSE 0 END) AS DOUBLE) AS h FROM b_features"""
+
+
+def sized(s: Source) -> DataFrame:
+    """Steps on both long sides, so that the area is a sum of many terms; crossed ones swap the far corners."""
+    west, w, h = F.col("west"), F.col("w"), F.col("h")
+    east = F.when(F.col("crossed"), F.array(G.point(west + w, h), G.point(west + w, F.lit(0.0)))).otherwise(
+        F.array(G.point(west + w, F.lit(0.0)), G.point(west + w, h)))
+    along = F.transform(F.sequence(F.lit(1), F.lit(7)), lambda k: G.point(west + w * k / 8, F.when(k % 2 == 1, F.lit(0.0)).otherwise(h / 4)))
+    ring = F.concat(F.array(G.point(west, F.lit(0.0))), along, east, F.array(G.point(west, h), G.point(west, F.lit(0.0))))
+    return s.sql(SIZED).select("ring_id", "crossed", ring.alias("ring"))
+
+
+@query("compensated_area", f"SELECT ring_id, w * h * (1 - 3e0 / 32) AS area FROM ({SIZED}) r WHERE NOT crossed")
+def compensated_area(s: Source) -> DataFrame:
+    return sized(s).where("NOT crossed").select("ring_id", G.compensated_area("ring").alias("area"))
+
+
+def lies_sql(p: str, a: str, b: str) -> str:
+    return (f"({p}x BETWEEN LEAST({a}x, {b}x) AND GREATEST({a}x, {b}x) AND {p}y BETWEEN LEAST({a}y, {b}y) AND GREATEST({a}y, {b}y) "
+            f"AND ABS({turn_sql(a, b, p)}) < 1e-14)")
+
+
+def turn_sql(a: str, b: str, c: str) -> str:
+    return f"(({b}x - {a}x) * ({c}y - {a}y) - ({b}y - {a}y) * ({c}x - {a}x))"
+
+
+MEET_SQL = " OR ".join([
+    lies_sql("l.a", "r.a", "r.b"), lies_sql("l.b", "r.a", "r.b"), lies_sql("r.a", "l.a", "l.b"), lies_sql("r.b", "l.a", "l.b"),
+    f"({turn_sql('l.a', 'l.b', 'r.a')} * {turn_sql('l.a', 'l.b', 'r.b')} < 0 AND {turn_sql('r.a', 'r.b', 'l.a')} * {turn_sql('r.a', 'r.b', 'l.b')} < 0)"])
+
+
+# A crossed ring winds both ways, so its area is about half, and the area limit meets it one step earlier.
+@query("validate_projected_rings", f"""
+WITH r AS ({SIZED}), v AS (
+  SELECT ring_id, 1 AS k, west AS x, 0e0 AS y FROM r UNION ALL SELECT ring_id, 12, west, 0e0 FROM r UNION ALL SELECT ring_id, 11, west, h FROM r
+  UNION ALL SELECT ring_id, k + 1, west + w * k / 8, CASE WHEN k % 2 = 1 THEN 0e0 ELSE h / 4 END FROM r, (VALUES (1), (2), (3), (4), (5), (6), (7)) t(k)
+  UNION ALL SELECT ring_id, 9, west + w, CASE WHEN crossed THEN h ELSE 0e0 END FROM r UNION ALL SELECT ring_id, 10, west + w, CASE WHEN crossed THEN 0e0 ELSE h END FROM r),
+s AS (SELECT a.ring_id, a.k, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by FROM v a JOIN v b ON b.ring_id = a.ring_id AND b.k = a.k + 1),
+c AS (SELECT DISTINCT l.ring_id FROM s l JOIN s r ON r.ring_id = l.ring_id AND l.k + 1 < r.k AND NOT (l.k = 1 AND r.k = 11) WHERE {MEET_SQL})
+SELECT r.ring_id, concat_ws(',', CASE WHEN west + w >= -72 THEN 'coordinates' END, CASE WHEN h / w <= POWER(2e0, CASE WHEN crossed THEN -41 ELSE -42 END) THEN 'flat' END,
+  CASE WHEN c.ring_id IS NOT NULL THEN 'self-intersection' END) AS violations FROM r LEFT JOIN c ON c.ring_id = r.ring_id
+""")
+def validate_projected_rings(s: Source) -> DataFrame:
+    return rings.validate_projected_rings(sized(s)).select("ring_id", F.array_join("violations", ",").alias("violations"))

@@ -126,7 +126,7 @@ def ring_of(coordinates: Column) -> Column:
     usable = F.filter(points, lambda p: G.valid_location(p["y"], p["x"]))
     none = F.array().cast("array<struct<x:double,y:double>>")
     return G.let(usable, lambda r: F.when(
-        F.size(F.array_distinct(r)) >= 3, G.close_ring(r)).otherwise(none))
+        G.distinct_vertices(r) >= 3, G.close_ring(r)).otherwise(none))
 
 
 def _bad_tuples(coordinates: Column) -> Column:
