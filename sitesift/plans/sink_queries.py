@@ -136,6 +136,18 @@ def write_feature_tiles(s: Source) -> DataFrame:
     return exports.tile_manifest(stored.drop("west", "south", "east", "north"), "dataset_id", "tile")
 
 
+@query("read_feature_tiles", """
+SELECT CASE WHEN feature_seq % 2 = 0 THEN 'surficial' ELSE 'bedrock' END AS dataset_id, feature_seq, west, north FROM b_features
+WHERE west <= -84e0 AND east >= -86.5e0 AND south <= 46.25e0 AND north >= 44.5e0
+""")
+def read_feature_tiles(s: Source) -> DataFrame:
+    """A viewport read from what was written and published."""
+    path = f"{shared_folder(s.spark)}/tiles-{uuid.uuid4().hex}"
+    exports.write_feature_tiles(features(s), path, s.table("part").count())
+    view = {"west": -86.5, "east": -84.0, "south": 44.5, "north": 46.25}
+    return exports.read_feature_tiles(s.spark, path, view).select("dataset_id", "feature_seq", "west", "north")
+
+
 @query("write_source_record", """
 SELECT o_orderkey AS item, 'H-' || o_orderkey || chr(10) || 'Acquisition year: ' || CASE WHEN o_orderkey % 3 = 0 THEN 'unknown' ELSE '1990' END || chr(10)
   || 'Acquisition year verification: unverified' || chr(10) || 'Provider: ' || o_orderpriority || chr(10) || 'Attribution: By' || chr(10) || '    two' || chr(10)

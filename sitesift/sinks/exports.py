@@ -8,6 +8,7 @@ its part files in name order.
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Sequence
 
@@ -326,33 +327,42 @@ def write_feature_tiles(features: DataFrame, path: str, expected: int, cell: flo
 
 
 def publish_status(spark: SparkSession, path: str, version: str, expected: int, saved: int, complete: bool) -> None:
+    """Add a status; the newest counts. Nothing is overwritten, so a reader always finds one."""
     row = spark.createDataFrame(
-        [(version, expected, saved, complete)], "version STRING, expected BIGINT, saved BIGINT, complete BOOLEAN")
-    row.coalesce(1).write.mode("overwrite").parquet(f"{path}/status")
+        [(time.time_ns(), version, expected, saved, complete)], "at BIGINT, version STRING, expected BIGINT, saved BIGINT, complete BOOLEAN")
+    row.coalesce(1).write.mode("append").parquet(f"{path}/status")
+
+
+TILE = ("dataset_id", "tile")
+
+
+def tile_selection(manifest: DataFrame, bounds: dict[str, float] | None) -> DataFrame:
+    """Rows of the manifest whose tile meets the viewport."""
+    from sitesift.operators.sites import scan_tiles
+
+    return manifest if bounds is None else scan_tiles(manifest, {k: F.lit(v) for k, v in bounds.items()})
 
 
 def read_feature_tiles(spark: SparkSession, path: str, bounds: dict[str, float] | None = None) -> DataFrame:
-    """Features of the published version, those whose box meets ``bounds`` if given.
+    """Features of the published version; with ``bounds`` those of the tiles that meet it whose own box meets it too.
 
-    Refuses an incomplete cache, and one whose stored tiles differ from the
-    manifest in count or bounds.
+    The manifest chooses the tiles, and the join with it prunes the partitions of the scan, so only the files of chosen
+    tiles are read, and only they are verified. Refuses an incomplete cache, and one whose chosen
+    tiles differ from the manifest in count or bounds.
     """
-    status = spark.read.parquet(f"{path}/status").first()
+    status = spark.read.parquet(f"{path}/status").orderBy(F.col("at").desc()).first()
     if not status["complete"] or status["saved"] != status["expected"]:
         raise ValueError(f"the tile cache is incomplete: {status['saved']} of {status['expected']} features")
-    stored = spark.read.parquet(f"{path}/{status['version']}/features")
-    manifest = spark.read.parquet(f"{path}/{status['version']}/manifest")
-    here = tile_manifest(stored.drop("west", "south", "east", "north"), "dataset_id", "tile")
-    columns = ["dataset_id", "tile", "west", "south", "east", "north", "feature_count"]
-    wrong = here.select(columns).exceptAll(manifest.select(columns)).union(
-        manifest.select(columns).exceptAll(here.select(columns)))
+    chosen = tile_selection(spark.read.parquet(f"{path}/{status['version']}/manifest"), bounds)
+    features = spark.read.parquet(f"{path}/{status['version']}/features")
+    stored = features if bounds is None else features.join(chosen.select(*TILE), list(TILE), "left_semi").select(*features.columns)
+    here = tile_manifest(stored.drop("west", "south", "east", "north"), *TILE)
+    columns = [*TILE, "west", "south", "east", "north", "feature_count"]
+    wrong = here.select(columns).exceptAll(chosen.select(columns)).union(
+        chosen.select(columns).exceptAll(here.select(columns)))
     if not wrong.isEmpty():
         raise ValueError("stored tiles differ from the manifest")
-    if bounds is None:
-        return stored
-    from sitesift.operators.sites import scan_tiles
-
-    return scan_tiles(stored, {k: F.lit(v) for k, v in bounds.items()})
+    return tile_selection(stored, bounds)
 
 
 # Fixed value: where the mirrored service keeps its polygons.

@@ -118,3 +118,39 @@ def test_manifest_and_world_sinks(spark, tmp_path):
     exports.write_world_files(frames, str(tmp_path / "w"))
     assert read_lines(tmp_path / "w", "image_id=i") == (
         "1.00000000000\n0.00000000000\n0.00000000000\n-2.00000000000\n500000.500000\n4800099.00000\n")
+
+
+def test_a_viewport_reads_only_its_tiles(spark, tmp_path):
+    from sitesift.functions import geometry as G
+
+    p = lambda x, y: G.point(F.col("west") + x, F.col("south") + y)
+    df = spark.range(400).select(F.col("id").alias("feature_seq"), F.lit("surficial").alias("dataset_id"), (F.col("id") % 20 * 1.0).alias("west"),
+                                 (F.col("id") / 20).cast("int").cast("double").alias("south"))
+    df = df.withColumn("polygon", F.array(p(0, 0), p(0.5, 0), p(0.5, 0.5), p(0, 0))).withColumn("holes", F.array().cast("array<array<struct<x:double,y:double>>>"))
+    df = df.withColumn("east", F.col("west") + 0.5).withColumn("north", F.col("south") + 0.5)
+    path = str(tmp_path / "tiles")
+    exports.write_feature_tiles(df, path, 400)
+    read = {}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that the plan shows its scans
+    for name, side in (("small", 1.0), ("large", 8.0)):
+        view = {"west": 3.1, "south": 3.1, "east": 3.1 + side, "north": 3.1 + side}
+        found = exports.read_feature_tiles(spark, path, view)
+        assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString()
+        want = df.where(f"west <= {3.1 + side} AND east >= 3.1 AND south <= {3.1 + side} AND north >= 3.1")
+        assert sorted(r.feature_seq for r in found.collect()) == sorted(r.feature_seq for r in want.collect())
+        leaves = found._jdf.queryExecution().executedPlan().collectLeaves()
+        scans = [leaves.apply(i) for i in range(leaves.size()) if leaves.apply(i).metrics().contains("filesSize")]
+        read[name] = max(int(s.metrics().get("filesSize").get().value()) for s in scans)
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    whole = sum(f.stat().st_size for f in (tmp_path / "tiles").rglob("features/**/*.parquet"))
+    assert 0 < read["small"] < read["large"] < whole
+    # a tile outside the viewport may be broken, one inside may not
+    gone = next((tmp_path / "tiles").rglob("features/dataset_id=surficial/tile=12_12/*.parquet"))
+    gone.unlink()
+    view = {"west": 3.1, "south": 3.1, "east": 3.9, "north": 3.9}
+    assert exports.read_feature_tiles(spark, path, view).count() == 1
+    with pytest.raises(ValueError):
+        exports.read_feature_tiles(spark, path, view | {"east": 14.0, "north": 14.0})
+    exports.publish_status(spark, path, "next", 1, 0, False)
+    with pytest.raises(ValueError):
+        exports.read_feature_tiles(spark, path, view)
