@@ -3,8 +3,8 @@
 A paragraph is a line of 5 words or more. Paragraphs get MinHash signatures of their 5-word shingles; the
 number of rows in a band is the largest at which the bands still find a pair of the wanted
 similarity with the wanted recall. Colliding paragraphs are verified by exact Jaccard
-similarity (0.8 or more), and links form components. A crowded band bucket is sorted by its further
-hashes and walked, with fresh orders until nothing new is found.
+similarity (0.8 or more), and links form components. Nodes of a crowded bucket meet their next neighbours in sorted order; those
+still apart are met by a prefix-filter join, which leaves no pair out.
 
 Passages also stand inside and across lines. Where a paragraph cannot be the unit, a piece of 32 words
 is: pieces start at the words whose 5-word shingle has the least hash among 20 in a row. Any 51 words
@@ -14,7 +14,9 @@ Of every repeated piece the occurrence of the smallest (doc_id, first word) stay
 around them, are joined to spans along one kept text and are removals. Of a component of paragraphs the smallest occurrence stays.
 
 Defined cases: null and empty texts have neither; repeats inside one document alone are no
-repeats across documents; a null doc_id takes no part; rows that repeat a doc_id are one document.
+repeats across documents; a null doc_id takes no part, any other (negative ones too) does; rows that repeat a doc_id are one
+document; of equal paragraphs the smallest (doc_id, first word) stays; other columns are not read. A text of any length is read
+whole; its pieces are held by one task.
 """
 
 from __future__ import annotations
@@ -38,8 +40,6 @@ PIECE_WORDS, ANCHOR_SPAN = 32, 20
 #: A shared passage begins at most so many words before its first common piece, and ends so many after the last.
 AROUND = ANCHOR_SPAN - 1
 SHARE, RECALL, SIGNATURE = 80, 0.999, 64
-#: Paragraphs of one document that have own ids (5 words each or more).
-PARAGRAPHS = 1 << 24
 
 
 def tuned(share: int = SHARE, recall: float = RECALL, hashes: int = SIGNATURE) -> Forest:
@@ -202,37 +202,42 @@ def repeated_paragraphs(documents: DataFrame, share: int = SHARE) -> DataFrame:
                     if line not in signed:
                         shingles = shingle_set(line)
                         signed[line] = len(shingles), *set_key(shingles), signature_bytes(shingles, forest)
-                    out.append((doc * PARAGRAPHS + number, doc, start, n, *signed[line]))
+                    out.append((doc, number, start, n, *signed[line]))
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(),
                                                                 pa.int64(), pa.int64(), pa.binary()))],
-                    names=["id", "doc_id", "start", "n_words", "n", "k1", "k2", "sig"])
+                    names=["doc_id", "number", "start", "n_words", "n", "k1", "k2", "sig"])
 
     found = stored(rows.mapInArrow(
-        sign, "id bigint, doc_id bigint, start int, n_words int, n int, k1 bigint, k2 bigint, sig binary"))
-    groups = found.groupBy("n", "k1", "k2").agg(F.min(F.struct("id", "sig")).alias("m"))
-    nodes = stored(groups.select("n", "k1", "k2", "m.id", "m.sig"))
+        sign, "doc_id bigint, number bigint, start int, n_words int, n int, k1 bigint, k2 bigint, sig binary"))
+    groups = found.groupBy("n", "k1", "k2").agg(F.min(F.struct("doc_id", "number", "sig")).alias("m"))
+    # ids are given once, when the table is written
+    nodes = stored(groups.select(F.monotonically_increasing_id().alias("id"), "n", "k1", "k2", "m.doc_id", "m.number", "m.sig"))
+    place = F.xxhash64("doc_id", "number")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        holders = ids.select(F.expr(f"id div {PARAGRAPHS}").alias("doc_id")).distinct()
+        wanted = known_to(nodes.select("id", "doc_id", "number"), "id", ids)
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                out = [(doc * PARAGRAPHS + number, shingle_set(line).tobytes())
+                out = [(doc, number, shingle_set(line).tobytes())
                        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1))
                        for number, (_, _, line) in enumerate(paragraphs(text.as_py()))]
                 if out:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([i for i, _ in out], pa.int64()), pa.array([s for _, s in out], pa.binary())], names=["id", "shingles"])
+                        [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))],
+                        names=["doc_id", "number", "shingles"])
 
-        return known_to(known_to(rows, "doc_id", holders).mapInArrow(read, "id bigint, shingles binary"), "id", ids)
+        read_ = known_to(rows, "doc_id", wanted.select("doc_id")).mapInArrow(read, "doc_id bigint, number bigint, shingles binary")
+        near = known_to(read_.withColumn("place", place), "place", wanted.select(place.alias("place"))).drop("place")
+        return near.join(wanted, ["doc_id", "number"]).select("id", "shingles").dropDuplicates(["id"])
 
     roots = linked_roots(nodes.select("id", "n", "sig"), forest, share, sets_of)
     named = nodes.select("n", "k1", "k2", "id").join(roots.withColumnRenamed("id", "r"), F.expr("id = r"), "left").select(
         F.col("n").alias("gn"), F.col("k1").alias("g1"), F.col("k2").alias("g2"), F.coalesce("root", "id").alias("root"))
     placed = durable(found.select("doc_id", "start", "n_words", "n", "k1", "k2").join(
-        named, F.expr("n = gn AND k1 = g1 AND k2 = g2")).select("root", "doc_id", "start", "n_words"))
+        named, F.expr("n = gn AND k1 = g1 AND k2 = g2")).select("root", "doc_id", "start", "n_words").distinct())
     kept = placed.groupBy("root").agg(F.min(F.struct("doc_id", "start")).alias("kept"), F.max("doc_id").alias("high"))
     return placed.join(kept.where("kept.doc_id <> high"), "root").select(
         "doc_id", "start", "n_words", F.col("kept.doc_id").alias("kept_doc"), F.col("kept.start").alias("kept_start"))

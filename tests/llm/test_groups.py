@@ -226,7 +226,7 @@ def test_pipeline(spark, tmp_path, odd):
 
     texts = dict(texts_of(documents(spark)))
     verdict = {r.doc_id for r in quality.quality_digest(documents(spark)).collect() if r.kept}
-    _, roots = near_by_hand([(i, t) for i, t in texts.items() if i in verdict], 85)
+    _, roots = near_by_hand([(i, t) for i, t in texts.items() if i in verdict], 80)
     kept = {i for i, root in roots.items() if i == root}
     items = [decontaminate.normal(r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
     kept = {i for i in kept if not any(item in decontaminate.normal(texts[i]) for item in items)}
@@ -341,3 +341,66 @@ def test_short_lines_are_paragraphs(spark):
     rows = passages.repeated_paragraphs(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()
     assert {(r.doc_id, r.start, r.n_words, r.kept_doc, r.kept_start) for r in rows} == {
         (1, 2, 40, 1, 2), (2, 1, 40, 1, 2), (3, 0, 5, 3, 0), (4, 1, 5, 3, 0)}
+
+
+def test_paragraphs_of_any_id(spark):
+    """Ids from negative to the largest, rows given twice, and links and components against brute force."""
+    r = random.Random(21)
+    line = lambda: [f"w{r.randrange(10**5)}" for _ in range(40)]
+    ids = [-(2**63), -2, -1, 0, 5, 2**39, 2**62, 2**63 - 1]
+    texts = {}
+    shared = [line() for _ in range(3)]
+    for k, i in enumerate(ids):
+        lines = [line()]
+        for s in shared[: 1 + k % 3]:
+            near = list(s)
+            near[-1 - k % 2] = f"x{k}"  # 5-word sets of 36; one word at the end changes one or two of them
+            lines.append(near)
+        texts[i] = "\n".join(map(" ".join, lines))
+    rows = [*texts.items(), (-1, texts[-1]), (None, texts[0])]
+    got = passages.repeated_paragraphs(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    nodes = [(i, at, set(map(tuple, zip(*[w[j:] for j in range(5)])))) for i, t in texts.items()
+             for at, w in zip(np.cumsum([0, *(len(x.split()) for x in t.split("\n"))]).tolist(), map(str.split, t.split("\n")))]
+    roots = union_find([(a, b) for a in range(len(nodes)) for b in range(a) if 100 * len(nodes[a][2] & nodes[b][2]) >= 80 * len(nodes[a][2] | nodes[b][2])])
+    groups = defaultdict(list)
+    for n, root in roots.items():
+        groups[root].append(nodes[n][:2])
+    want = {(*place, *min(places)) for places in groups.values() for place in places}
+    assert len(want) > 12 and len(got) == len(want) and {(x.doc_id, x.start, x.kept_doc, x.kept_start) for x in got} == want
+
+
+def test_paragraph_recall_on_a_table(spark):
+    """Every pair of similar lines of the small table ends in one component."""
+    lines = []
+    for i, t in texts_of(documents(spark)):
+        at = 0
+        for piece in (t or "").split("\n"):
+            words = piece.encode().lower().split()
+            if len(words) >= 5:
+                lines.append((i, at, frozenset(zip(*[words[j:] for j in range(5)]))))
+            at += len(words)
+    holders = defaultdict(list)
+    for n, (_, _, s) in enumerate(lines):
+        for g in s:
+            holders[g].append(n)
+    pairs = {(a, b) for held in holders.values() if len(held) < 400 for a in held for b in held if a < b}
+    links = [(a, b) for a, b in pairs if 100 * len(lines[a][2] & lines[b][2]) >= 80 * len(lines[a][2] | lines[b][2])]
+    rows = passages.repeated_paragraphs(documents(spark)).collect()
+    component = {(x.doc_id, x.start): (x.kept_doc, x.kept_start) for x in rows}
+    across = [(a, b) for a, b in links if lines[a][0] != lines[b][0]]
+    found = sum(component.get(lines[a][:2], 0) == component.get(lines[b][:2], 1) for a, b in across)
+    assert len(across) > 50 and found >= 0.999 * len(across)
+
+
+@pytest.mark.parametrize("folder", ["empty", "odd"])
+def test_pipeline_on_odd_tables(spark, tmp_path, odd, empty, folder):
+    import corpus_pipeline
+
+    docs = {"empty": empty, "odd": odd}[folder]
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{SMALL}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == {"empty": empty, "odd": odd}[folder].columns
+    rows = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert all(r.round_trip for r in rows) and (bool(rows) == (folder == "odd"))
