@@ -10,6 +10,9 @@ Items are a stated query set. They are taken in blocks of at most BLOCK_CHARS ch
 each of which is broadcast and met by one pass over all documents, so any
 number of items works with bounded memory.
 
+Where the bound is not positive (13 to 15 characters with these values) the lemma says nothing; such an item is cut into k + 1
+parts, one of which stands unchanged in every place, and each place of a part is aligned.
+
 Defined cases: null and empty texts and items match nothing; items shorter than q are looked up
 as plain text; equal items are met once and reported for each id; a text that holds an item
 several times reports its best place (fewest edits, then first); texts are scanned whole.
@@ -59,6 +62,33 @@ def budget(size: int) -> int:
     return int(size * EDIT_SHARE)
 
 
+def lemma(size: int) -> int:
+    """Q-grams that a place of an item of ``size`` characters shares with it at least."""
+    return size - Q + 1 - budget(size) * Q
+
+
+def parts(text: str, many: int) -> list[tuple[int, str]]:
+    """(place, part) of ``many`` parts of about equal length."""
+    ends = [len(text) * k // many for k in range(many + 1)]
+    return [(a, text[a:b]) for a, b in zip(ends, ends[1:])]
+
+
+def loose_place(text: str, item: str, pieces: list[tuple[int, str]]) -> tuple[int, int, int] | None:
+    """(edits, start, end) of the best place of ``item``, looked for around every place of one of its pieces."""
+    at = text.find(item)
+    if at >= 0:
+        return 0, at, at + len(item)
+    edits, best, codes = budget(len(item)), None, None
+    for offset, piece in pieces:
+        at = text.find(piece)
+        while at >= 0:
+            codes = points(text) if codes is None else codes
+            place = aligned(codes, points(item), at - offset - edits, at - offset + edits, edits)
+            best = min(p for p in (best, place) if p) if best or place else None
+            at = text.find(piece, at + 1)
+    return best
+
+
 class Block:
     """Q-grams of some items, sorted by hash, with a bitmap of 2^22 slots before them."""
 
@@ -67,7 +97,7 @@ class Block:
         self.items = [points(t) for t in items]
         grams, owner, place = [], [], []
         for number, codes in enumerate(self.items):
-            if len(codes) >= Q:
+            if len(codes) >= Q and lemma(len(codes)) > 0:
                 found = gram_hashes(codes)
                 grams.append(found)
                 owner.append(np.full(len(found), number))
@@ -84,6 +114,7 @@ class Block:
         self.sizes = sizes
         self.edits = np.array([budget(n) for n in sizes], dtype=np.int64)
         self.least = np.maximum(1, sizes - Q + 1 - self.edits * Q)
+        self.loose = [(i, parts(t, budget(len(t)) + 1)) for i, t in enumerate(items) if len(t) >= Q and lemma(len(t)) <= 0]
         self.short = [(i, t) for i, t in enumerate(items) if 0 < len(t) < Q]
 
     def places(self, codes: np.ndarray, border: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,6 +179,9 @@ def search(texts: list[str], block: Block) -> Iterator[tuple[int, int, int, int,
             at = text.find(short)
             if at >= 0:
                 yield number, item, at, at + len(short), 0
+        for item, pieces in block.loose:
+            if place := loose_place(text, block.texts[item], pieces):
+                yield number, item, place[1], place[2], place[0]
     at = 0
     while at < len(texts):
         group, size = [], 0
