@@ -13,8 +13,8 @@ from operator import not_
 
 import numpy as np
 
-#: Units in one generation of the cache of a Python worker (about 200 bytes each).
-CACHE_UNITS = 600_000
+#: Bytes in one generation of the cache of a Python worker, counted as UNIT_BYTES for the objects of a unit and its own length.
+CACHE_BYTES, UNIT_BYTES = 40 << 20, 180
 MARKS = ".,"
 CHARS_AT_ONCE = 1 << 20
 #: White space of the split pattern; before a space, these forbid the cut.
@@ -46,17 +46,18 @@ class Units:
     """Ids of whole texts through ``encode``, which takes many units and gives the bytes of the ids of each.
 
     The cache has two generations: when the newer one is full it becomes the older one, and what is used again
-    moves over, so frequent words stay. A word with a full stop or comma is its word's ids and the mark's.
+    moves over, so frequent words stay. Both are bounded by bytes, as a worker lives on after its stage. A word with a full stop or comma is its word's ids and the mark's.
     """
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]]):
         self.encode = encode
         self.newer: dict[str, bytes] = {}  # key "x" holds the ids of " x"
         self.older: dict[str, bytes] = {}
+        self.weight = 0
         self.marks = dict(zip(MARKS, encode(list(MARKS)), strict=True))
 
     def _learn(self, keys: set[str]) -> None:
-        newer, older = self.newer, self.older
+        newer, older, before = self.newer, self.older, len(self.newer)
         fresh = []
         for key in keys:
             ids = older.get(key)
@@ -71,6 +72,7 @@ class Units:
         newer.update(zip(units, self.encode([" " + u for u in units]), strict=True))
         for key in marked:
             newer[key] = (newer.get(key[:-1]) or older[key[:-1]]) + self.marks[key[-1]]
+        self.weight += UNIT_BYTES * (len(newer) - before) + sum(len(k) + len(newer[k]) for k in keys)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text; about a million characters are cut at a time."""
@@ -86,8 +88,8 @@ class Units:
         return out
 
     def _some(self, texts: list[str]) -> list[bytes]:
-        if len(self.newer) > CACHE_UNITS:
-            self.older, self.newer = self.newer, {}
+        if self.weight > CACHE_BYTES:
+            self.older, self.newer, self.weight = self.newer, {}, 0
         parts = [cut(t) for t in texts]
         heads = iter(self.encode([t if p is None else p[0] for p, t in zip(parts, texts)]))
         known, rows, holes = self.newer.get, [], []

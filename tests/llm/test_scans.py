@@ -207,7 +207,7 @@ def edit_distance_inside(item, text):
 def test_decontamination_against_brute_force():
     r = random.Random(11)
     letters = "abcdefgh "
-    items = [decontaminate.normal("".join(r.choice(letters) for _ in range(n))) for n in (5, 40, 90, 160)]
+    items = [decontaminate.normal("".join(r.choice(letters) for _ in range(n))) for n in (5, 8, 12, 13, 14, 15, 16, 25, 40, 90, 160)]
     texts, wanted = [], []
     for _ in range(60):
         item = list(r.choice(items))
@@ -268,7 +268,7 @@ def test_ids_of_any_string(tik, text):
 
 
 def test_cache_may_start_anew(monkeypatch, tik):
-    monkeypatch.setattr(units, "CACHE_UNITS", 10)
+    monkeypatch.setattr(units, "CACHE_BYTES", 2000)
     own = units.Units(bpe.encoder(MULTI, public_tokenizers.PATTERN).encode)
     for text in ("a b c d e f g h i j k l m.", "m, n o p q r s, t u v w x y z", "a b  c", "", "a m. n, b", "é ß, don't. x"):
         assert np.frombuffer(own.ids([text])[0], "<u4").tolist() == tik.encode_ordinary(text)
@@ -341,3 +341,27 @@ def test_harmless_part_lets_the_rest_of_a_run_be_found(spark):
     clean = [r.text for r in secrets.redact(df).orderBy("doc_id").collect()]
     assert not any(key in t for t in clean) and all("[SECRET]" in t for t in clean[:4])
     assert uuid in clean[0] and "xxxxxx" in clean[3] and clean[4:] == texts[4:]
+
+
+@pytest.mark.parametrize("size", range(8, 41))
+def test_items_of_every_length_with_edits_in_the_middle(size):
+    r = random.Random(size)
+    item = "".join(r.choice("abcdefghijklmnop") for _ in range(size))
+    block = decontaminate.Block([item])
+    for kind in ("swap", "drop", "add", None):
+        word, left = list(item), decontaminate.budget(size) if kind else 0
+        for k in range(left):
+            at = size // 2 + 3 * k
+            word[at:at + 1] = {"swap": ["z"], "drop": [], "add": ["z", word[at]]}[kind]
+        text = "y" * 30 + " " + "".join(word) + " " + "y" * 10
+        found = list(decontaminate.search(["other", text, ""], block))
+        assert [(n, i) for n, i, *_ in found] == [(1, 0)] and found[0][4] <= left
+
+
+def test_unit_cache_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(units, "CACHE_BYTES", 50_000)
+    made = units.Units(lambda some: [u.encode() * 4 for u in some])
+    for k in range(60):
+        made.ids([" ".join(f"w{k * 100 + j}" for j in range(100)), "x " + "long" * 3000])
+        assert sum(180 + len(a) + len(b) for d in (made.newer, made.older) for a, b in d.items()) < 2 * (50_000 + 180 * 100 + 200_000)
+    assert len(made.newer) < 600
