@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import functools
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -67,18 +68,36 @@ def encoder(path: str, pattern: str) -> Units:
 
     tokens = rank_table(path)
     model = sentencepiece.SentencePieceProcessor(model_proto=serialised_model(tokens))
-    whole = {token: rank for rank, token in enumerate(tokens)}
+    whole = {token: array("I", [rank]).tobytes() for rank, token in enumerate(tokens)}
     split = regex.compile(pattern).findall
     mapped = {b: c for b, c in enumerate(byte_characters())}
+    gap = mapped[32]
 
     def encode(units: list[str]) -> list[bytes]:
-        pieces = [[u.encode("utf-8")] if latin_word(u[1:]) and u[0] == " " else [p.encode("utf-8") for p in split(u)] for u in units]
-        hard = [p for ps in pieces for p in ps if p not in whole]
-        ids = model.encode([p.decode("latin-1").translate(mapped) for p in hard], out_type=int, num_threads=1)
-        found = dict(zip(hard, ids, strict=True))
-        rows = [[i for p in ps for i in ([whole[p]] if p in whole else found[p])] for ps in pieces]
-        ends = np.cumsum([len(r) for r in rows])
-        return sliced(np.array([i for r in rows for i in r], dtype=np.uint32), ends)
+        """Pieces that are a token are looked up; the others go through the model together and fill their places."""
+        out: list = [b""] * len(units)
+        hard: list[str] = []
+        places: list[tuple[list, int]] = []
+        for i, unit in enumerate(units):
+            if unit[:1] == " " and latin_word(unit[1:]):
+                raw = unit.encode("utf-8")
+                if (known := whole.get(raw)) is None:
+                    # ASCII letters are their own characters in the model
+                    hard.append(gap + unit[1:] if unit.isascii() else raw.decode("latin-1").translate(mapped))
+                    places.append((out, i))
+                else:
+                    out[i] = known
+                continue
+            parts = out[i] = []
+            for piece in split(unit):
+                raw = piece.encode("utf-8")
+                if (known := whole.get(raw)) is None:
+                    hard.append(raw.decode("latin-1").translate(mapped))
+                    places.append((parts, len(parts)))
+                parts.append(known)
+        for (held, at), ids in zip(places, model.encode(hard, out_type=int, num_threads=1), strict=True):
+            held[at] = array("I", ids).tobytes()
+        return [x if type(x) is bytes else b"".join(x) for x in out]
 
     return Units(encode)
 

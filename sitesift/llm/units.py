@@ -13,8 +13,8 @@ from operator import not_
 
 import numpy as np
 
-#: Bytes in one generation of the cache of a Python worker, counted as UNIT_BYTES for the objects of a unit and its own length.
-CACHE_BYTES, UNIT_BYTES = 40 << 20, 180
+#: Bytes in one generation of the cache of a Python worker, counted as UNIT_BYTES for the objects of a unit and twice its length (text and ids).
+CACHE_BYTES, UNIT_BYTES = 28 << 20, 180
 MARKS = ".,"
 CHARS_AT_ONCE = 1 << 20
 #: White space of the split pattern; before a space, these forbid the cut.
@@ -72,7 +72,7 @@ class Units:
         newer.update(zip(units, self.encode([" " + u for u in units]), strict=True))
         for key in marked:
             newer[key] = (newer.get(key[:-1]) or older[key[:-1]]) + self.marks[key[-1]]
-        self.weight += UNIT_BYTES * (len(newer) - before) + sum(len(k) + len(newer[k]) for k in keys)
+        self.weight += UNIT_BYTES * (len(newer) - before) + 2 * sum(map(len, keys))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text; about a million characters are cut at a time."""
