@@ -148,8 +148,9 @@ def _dedupe_best(spots: DataFrame, radius: float) -> DataFrame:
     near = (
         (F.hypot(F.col("x") - F.col("_px"), F.col("y") - F.col("_py")) <= radius)
         & (F.col("_rank") < F.col("_prank")))
-    same_text = probe.withColumnRenamed("_praw", "raw").join(
-        texts, ["drawing_id", "_cx", "_cy", "raw"]).where(near)
+    # A missing text equals a missing text, as in the fold.
+    same_text = probe.withColumn("raw", F.struct(F.col("_praw").alias("raw"))).join(
+        texts.withColumn("raw", F.struct("raw")), ["drawing_id", "_cx", "_cy", "raw"]).where(near)
     same_value = (
         probe.withColumn("_wide", F.explode(_nine("_pwide")))
         .join(values, ["drawing_id", "_cx", "_cy", "_wide"])

@@ -232,6 +232,22 @@ def near_duplicate_lines(s: Source) -> DataFrame:
     return surveys.near_duplicate_lines(fresh, old).select("drawing_id", "contour_id")
 
 
+# A radius at which lines stay and lines go; sums of the centres differ by less than the distance of any pair to it.
+@query("near_duplicate_lines_close", """
+WITH c AS (SELECT drawing_id, contour_id, layer, (x1 + x2 + x3) / 3 AS x, (y1 + y2 + y3) / 3 AS y FROM b_contours),
+fresh AS (SELECT * FROM c WHERE contour_id % 3 <> 0),
+others AS (SELECT drawing_id, contour_id AS o, x, y FROM fresh UNION ALL
+  SELECT drawing_id, -1, x, y FROM c WHERE contour_id % 3 = 0 AND layer LIKE 'CONTOUR%')
+SELECT drawing_id, contour_id FROM fresh p WHERE NOT EXISTS (SELECT 1 FROM others q
+  WHERE q.drawing_id = p.drawing_id AND q.o < p.contour_id
+    AND SQRT((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y)) < 0.3)
+""")
+def near_duplicate_lines_close(s: Source) -> DataFrame:
+    lines = contours(s)
+    found = surveys.near_duplicate_lines(lines.where("contour_id % 3 <> 0"), lines.where("contour_id % 3 = 0"), 0.3)
+    return found.select("drawing_id", "contour_id")
+
+
 @query("simplify_line", """
 SELECT contour_id, CAST(CASE WHEN (x3 = x1 AND y3 = y1)
   OR ABS((x2 - x1) * (y3 - y1) - (y2 - y1) * (x3 - x1))

@@ -428,3 +428,10 @@ def test_distinct_vertices_are_linear(spark):
     start = time.time()
     assert df.select(G.distinct_vertices("ring")).first()[0] == 100_000
     assert time.time() - start < 20  # comparing all with all takes minutes
+
+
+def test_readings_without_text_merge_across_squares(spark):
+    rows = [(1, 1, 0.0, 0.0, 1.0, None, 0.5), (1, 2, 28.0, 0.0, 9.0, None, 0.4), (1, 3, 300.0, 0.0, 9.0, None, 0.4), (1, 4, 28.0, 0.0, None, "a", 0.4)]
+    df = spark.createDataFrame(rows, "drawing_id bigint, spot_id bigint, x double, y double, value double, raw string, confidence double")
+    for mode in ("best", "greedy"):
+        assert sorted(r.spot_id for r in surveys.dedupe_spots(df, mode=mode).collect()) == [1, 3, 4]
