@@ -57,3 +57,26 @@ def number_rows(
     return here.join(there, same, "left").select(
         *[F.col(f"here.`{c}`") for c in df.columns],
         (F.col("_rn") + F.col("_offset")).cast("bigint").alias(out))
+
+
+def running_sum(
+    df: DataFrame, group: Sequence[str], blocks: Sequence[Column], order: Sequence[Column], weight: str, out: str,
+) -> DataFrame:
+    """``df`` with the sum of ``weight`` over the rows of its group up to each one, without one task per group.
+
+    Sums inside (group, block), plus the sum of the blocks before. ``blocks`` and ``order`` as in ``number_rows``; a null weight adds nothing.
+    """
+    names = [f"_b{i}" for i in range(len(blocks))]
+    blocked = df
+    for name, block in zip(names, blocks):
+        blocked = blocked.withColumn(name, block)
+    keys = [*group, *names]
+    before = Window.partitionBy(*group).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocked.groupBy(*keys).agg(F.coalesce(F.sum(weight), F.lit(0)).alias("_n")).select(
+        *keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = blocked.withColumn("_sum", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
+    here, there = summed.alias("here"), offsets.alias("there")
+    same = [F.col(f"here.`{k}`").eqNullSafe(F.col(f"there.`{k}`")) for k in keys]
+    return here.join(there, same, "left").select(
+        *[F.col(f"here.`{c}`") for c in df.columns], (F.col("_sum") + F.col("_offset")).cast("bigint").alias(out))

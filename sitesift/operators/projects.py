@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitesift.operators.numbering import id_block, number_rows
+from sitesift.operators.numbering import id_block, number_rows, running_sum
 
 # Figure codes with their default titles and spans, saved version.
 FIGURES = {
@@ -48,6 +48,16 @@ def sheet_order(selection: DataFrame, group: str = "package_id") -> DataFrame:
     return placed.drop("_kind", "_year", "_seq")
 
 
+def sheet_pages(ordered: DataFrame, group: str = "package_id", continuations: str = "continuations") -> DataFrame:
+    """``ordered`` (of ``sheet_order``, with the number of continuation pages of each sheet) with first_page and last_page.
+
+    Pages run through a package from 1; a sheet takes one page and its continuations. A missing number counts as none.
+    """
+    weighed = ordered.withColumn("_pages", F.greatest(F.coalesce(F.col(continuations), F.lit(0)), F.lit(0)).cast("bigint") + 1)
+    ended = running_sum(weighed, [group], [id_block("pos")], [F.col("pos")], "_pages", "last_page")
+    return ended.withColumn("first_page", F.col("last_page") - F.col("_pages") + 1).drop("_pages")
+
+
 def selection_intersect(saved: DataFrame, ready: DataFrame, *keys: str) -> DataFrame:
     """Saved selections that are ready."""
     return saved.join(ready.select(*keys), list(keys), "left_semi")

@@ -288,6 +288,21 @@ def sheet_order(s: Source) -> DataFrame:
     return projects.sheet_order(s.sql(CODED))
 
 
+# Legends of D and E run on, and so do some dated sheets.
+RUN_ON = "CASE WHEN code IN ('D', 'E') THEN 2 + package_id % 3 ELSE package_id % 2 END"
+
+
+@query("sheet_pages", f"""
+WITH o AS (SELECT package_id, code, {RUN_ON} AS continuations, ROW_NUMBER() OVER (PARTITION BY package_id ORDER BY CASE WHEN length(code) = 1 THEN 0 ELSE 1 END,
+  TRY_CAST(regexp_extract(code, '^H-([0-9]+)-', 1) AS INT), TRY_CAST(regexp_extract(code, '-([0-9]+)$', 1) AS BIGINT), code) AS pos FROM ({CODED}) c)
+SELECT package_id, code, pos, CAST(SUM(continuations + 1) OVER (PARTITION BY package_id ORDER BY pos) - continuations AS BIGINT) AS first_page,
+  CAST(SUM(continuations + 1) OVER (PARTITION BY package_id ORDER BY pos) AS BIGINT) AS last_page FROM o
+""")
+def sheet_pages(s: Source) -> DataFrame:
+    ordered = projects.sheet_order(s.sql(CODED)).withColumn("continuations", F.expr(RUN_ON))
+    return projects.sheet_pages(ordered).select("package_id", "code", "pos", "first_page", "last_page")
+
+
 scalar("historical_code", ITEMS, ["item_id"],
        lambda: {"code": X.historical_code("year", F.col("sequence") - 1)},
        {"code": "CASE WHEN sequence > 1 THEN 'H-' || year || '-' || (sequence - 1) END"})

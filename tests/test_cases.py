@@ -435,3 +435,17 @@ def test_readings_without_text_merge_across_squares(spark):
     df = spark.createDataFrame(rows, "drawing_id bigint, spot_id bigint, x double, y double, value double, raw string, confidence double")
     for mode in ("best", "greedy"):
         assert sorted(r.spot_id for r in surveys.dedupe_spots(df, mode=mode).collect()) == [1, 3, 4]
+
+
+def test_pages_of_one_package_over_many_blocks(spark):
+    from sitesift.operators.projects import sheet_pages
+
+    r = random.Random(4)
+    rows = [(g, p << 18, r.choice([None, 0, 1, 5, -2])) for g in (1, None) for p in range(60)]  # 15 blocks a package
+    got = {(x.package_id, x.pos): (x.first_page, x.last_page) for x in sheet_pages(
+        spark.createDataFrame(rows, "package_id bigint, pos bigint, continuations int")).collect()}
+    for g in (1, None):
+        page = 0
+        for _, pos, more in (x for x in rows if x[0] == g):
+            assert got[g, pos] == (page + 1, page + 1 + max(more or 0, 0))
+            page += 1 + max(more or 0, 0)
