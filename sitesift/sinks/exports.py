@@ -12,7 +12,7 @@ import time
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from sitesift.functions import geodesy as D
@@ -333,6 +333,10 @@ def publish_status(spark: SparkSession, path: str, version: str, expected: int,
     row.coalesce(1).write.mode("append").parquet(f"{path}/status")
 
 
+def newest_status(spark: SparkSession, path: str) -> Row:
+    return spark.read.parquet(f"{path}/status").orderBy(F.col("at").desc()).first()
+
+
 TILE = ("dataset_id", "tile")
 
 
@@ -350,7 +354,7 @@ def read_feature_tiles(spark: SparkSession, path: str, bounds: dict[str, float]
     tiles are read, and only they are verified. Refuses an incomplete cache, and one whose chosen
     tiles differ from the manifest in count or bounds.
     """
-    status = spark.read.parquet(f"{path}/status").orderBy(F.col("at").desc()).first()
+    status = newest_status(spark, path)
     if not status["complete"] or status["saved"] != status["expected"]:
         raise ValueError(f"the tile cache is incomplete: {status['saved']} of {status['expected']} features")
     chosen = tile_selection(spark.read.parquet(f"{path}/{status['version']}/manifest"), bounds)

@@ -80,9 +80,9 @@ def test_feature_tiles(spark, tmp_path):
     n = given.count()
     manifest = exports.write_feature_tiles(given, str(tmp_path / "t"), n)
     assert manifest.agg(F.sum("feature_count")).first()[0] == n
-    assert spark.read.parquet(str(tmp_path / "t" / "status")).first()["complete"]
+    assert exports.newest_status(spark, str(tmp_path / "t"))["complete"]
     exports.write_feature_tiles(given, str(tmp_path / "t2"), n + 1)
-    assert not spark.read.parquet(str(tmp_path / "t2" / "status")).first()["complete"]
+    assert not exports.newest_status(spark, str(tmp_path / "t2"))["complete"]
     with pytest.raises(ValueError, match="incomplete"):
         exports.read_feature_tiles(spark, str(tmp_path / "t2"))
     some = exports.read_feature_tiles(spark, str(tmp_path / "t"), {"west": -90.0, "south": 43.0, "east": -89.0, "north": 44.0})
