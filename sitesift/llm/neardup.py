@@ -3,8 +3,8 @@
 A document's set are its distinct 5-word shingles. Documents with one set are one node, named by
 their smallest id. A node has 128 minimum hashes; tree t of the forest sorts all
 nodes by the hashes from 5t on. Nodes whose order begins alike for at least five
-hashes lie in one region. A region of few nodes pairs all of them; in a crowded one each node meets the
-next ones in the order, those with the longest common prefix. Regions are runs of a range-partitioned sort, so
+hashes lie in one region. A region of few nodes pairs all of them; a crowded one goes deeper, hash by hash, until its
+parts are small, and a node also meets those beside it in the order, which share its longest prefix. Regions are runs of a range-partitioned sort, so
 a crowd is spread over tasks, and runs across a partition border are met by a second pass over the border rows.
 
 Candidates pass a size test and an estimate from the signatures, then the exact test on full
@@ -116,19 +116,37 @@ def signed(documents: DataFrame, key: str, text: str, forest: Forest) -> DataFra
 def neighbours(orders: np.ndarray, tree: np.ndarray, forest: Forest) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row numbers of the candidate pairs among sorted rows, and those of crowded rows.
 
-    Candidates are rows of one region (``step`` equal hashes or more) that stand fewer than ``region`` places apart.
+    Rows with ``step`` equal hashes or more are a region. One of more than ``region`` rows is crowded and parts at the next
+    hash, and so on down to ``depth``, until its parts are small. Rows of one part are candidates; so are two rows side by side
+    that share ``step`` hashes, since nothing has a longer prefix in common with either, also where a part ends between them.
     """
-    if len(orders) < 2:
+    n = len(orders)
+    if n < 2:
         none = np.zeros(0, np.int64)
         return none, none, none
-    begins = (orders[1:, : forest.step] != orders[:-1, : forest.step]).any(axis=1) | (tree[1:] != tree[:-1])
-    run = np.concatenate([[0], np.cumsum(begins)])
-    left, right = [], []
-    for step in range(1, forest.region):
-        at = np.flatnonzero(run[:-step] == run[step:])
+    common = np.cumprod(orders[1:] == orders[:-1], axis=1).sum(axis=1)
+    common[tree[1:] != tree[:-1]] = 0
+
+    def first_rows(depth: int) -> np.ndarray:
+        return np.maximum.accumulate(np.where(np.concatenate([[True], common < depth]), np.arange(n), 0))
+
+    part = first_rows(forest.step)
+    crowded = np.bincount(part, minlength=n)[part] > forest.region
+    open_rows = crowded.copy()
+    for depth in range(forest.step + 1, forest.depth + 1):
+        if not open_rows.any():
+            break
+        deeper = first_rows(depth)
+        part[open_rows] = deeper[open_rows]
+        open_rows &= np.bincount(deeper, minlength=n)[deeper] > forest.region
+    part[open_rows] = -1 - np.flatnonzero(open_rows)
+    beside = np.flatnonzero((part[:-1] == part[1:]) | (common >= forest.step))
+    left, right = [beside], [beside + 1]
+    for places in range(2, forest.region):
+        at = np.flatnonzero(part[:-places] == part[places:])
         left.append(at)
-        right.append(at + step)
-    return np.concatenate(left), np.concatenate(right), np.flatnonzero(np.bincount(run)[run] > forest.region)
+        right.append(at + places)
+    return np.concatenate(left), np.concatenate(right), np.flatnonzero(crowded)
 
 
 MET = "a bigint, b bigint, tree int, slice binary, n int, root bigint"

@@ -176,7 +176,7 @@ def test_near_duplicates(spark, odd, empty):
 
 
 def test_crowd_of_near_copies(spark):
-    """Hundreds of copies with few and many changes: crowded regions, found whole by rounds of fresh orders."""
+    """Hundreds of copies with few and many changes: crowded regions, found whole."""
     r = random.Random(1)
     base = [f"w{i}" for i in range(100)]
     rows = []
@@ -273,6 +273,24 @@ def test_rows_that_leave_a_crowd_meet_their_neighbours():
     assert {(9, 10), (10, 11)} <= met and set(crowd.tolist()) == set(range(21))
 
 
+def test_a_crowded_region_goes_deeper_until_its_parts_are_small():
+    r = np.random.default_rng(4)
+    orders = r.integers(0, 3, (3000, 16)).astype(np.uint16)
+    orders[:, :5] = 7
+    orders[-40:] = 9  # equal rows: no depth parts them
+    orders = orders[np.lexsort(orders.T[::-1])]
+    left, right, crowd = neardup.neighbours(orders, np.zeros(3000, np.int64), neardup.DEFAULT)
+    assert len(crowd) == 3000 and len(left) < 3.5 * 3000 and len(set(zip(left.tolist(), right.tolist()))) == len(left)
+    met = set(zip(left.tolist(), right.tolist()))
+    assert all((i, i + 1) in met for i in range(2999) if (orders[i, :5] == orders[i + 1, :5]).all())
+    for depth in range(6, 17):  # any part of few rows is paired whole
+        parts = {}
+        for i, row in enumerate(orders[:, :depth].tolist()):
+            parts.setdefault(tuple(row), []).append(i)
+        for rows in parts.values():
+            assert len(rows) > 8 or all((a, b) in met for a in rows for b in rows if a < b)
+
+
 @pytest.mark.parametrize("block", [256, 3])
 def test_prefix_join_is_exact(spark, monkeypatch, block):
     monkeypatch.setattr(neardup, "BLOCK", block)
