@@ -158,14 +158,54 @@ def sort_manifest(files: DataFrame, path: str = "path") -> DataFrame:
     return files.orderBy(path)
 
 
+#: A stem that reads like a numbered name: the stem before the number, and the number.
+NUMBERED_STEM = "^(.+)-([2-9]|[1-9][0-9]{1,17})$"
+
+
+def _used_numbers(rows: DataFrame, key: str) -> DataFrame:
+    """(_g, _base, _taken, _m, _first, _stem_key, _island, _end): numbers of a stem whose names are stems of their own.
+
+    ``_first`` is the id that begins such a stem and ``_taken`` its extension. Consecutive numbers form an island that ends at ``_end``.
+    """
+    firsts = rows.where("_at = 1").select("_g", "_key", F.col(key).alias("_first"), F.col("_ext").alias("_taken"))
+    used = firsts.select(
+        "_g", F.regexp_extract("_key", NUMBERED_STEM, 1).alias("_base"), "_taken",
+        F.regexp_extract("_key", NUMBERED_STEM, 2).try_cast("bigint").alias("_m"), "_first", F.col("_key").alias("_stem_key"))
+    known = durable(used.where("_base <> ''").join(firsts.select("_g", F.col("_key").alias("_base")), ["_g", "_base"], "left_semi"))
+    keys = ["_g", "_base", "_taken"]
+    placed = number_rows(known, keys, [id_block("_m")], [F.col("_m")], "_nth").withColumn("_island", F.col("_m") - F.col("_nth")).drop("_nth")
+    ends = placed.groupBy(*keys, "_island").agg(F.max("_m").alias("_end"))
+    return durable(placed.join(ends, [*keys, "_island"]))
+
+
+def _pass_over(rows: DataFrame, used: DataFrame, key: str) -> DataFrame:
+    """``rows`` with their final ``_n``; each round takes every stem over the next island that one of its rows meets."""
+    taken = used.select("_g", F.col("_base").alias("_key"), F.col("_m").alias("_n"), F.col("_taken").alias("_ext"), "_first", "_island", "_end")
+    while True:
+        met = rows.join(taken, ["_g", "_key", "_n", "_ext"]).where(F.col("_first") < F.col(key))
+        hit = F.struct("_at", F.col("_n").alias("_from"), F.col(key).alias("_id"), "_ext", "_island", "_end")
+        lost = durable(met.groupBy("_g", "_key").agg(F.min_by(hit, "_at").alias("_hit")).select("_g", "_key", "_hit.*"))
+        if lost.isEmpty():
+            return rows
+        # Inside the island a number is free as well while the id that begins its name is a later one.
+        later = lost.join(taken, ["_g", "_key", "_ext", "_island"]).where("_n > _from AND _first > _id").groupBy("_g", "_key").agg(F.min("_n").alias("_free"))
+        step = lost.join(later, ["_g", "_key"], "left").select(
+            "_g", "_key", F.col("_at").alias("_since"), (F.coalesce("_free", F.col("_end") + 1) - F.col("_from")).alias("_more"))
+        moved = rows.join(step, ["_g", "_key"], "left")
+        rows = durable(moved.withColumn("_n", F.col("_n") + F.when(F.col("_at") >= F.col("_since"), F.col("_more")).otherwise(0)).select(*rows.columns))
+
+
 def allocate_filenames(
     items: DataFrame, group: str = "package_id", key: str = "id", label: str = "label",
     mime: str = "mime", blocks: Sequence[Column] | None = None,
 ) -> DataFrame:
-    """(group, id, path, world_path): slugs, numbered from the second of a stem on.
+    """(group, id, path, world_path): slugs, numbered from the second of a stem on, in the order of the ids.
 
-    A generated name may meet a natural one; the lower id keeps it and the
-    other takes its next number, until no name meets another.
+    A generated name may meet a natural one; the lower id keeps it. The used numbers of a stem are known beforehand, as
+    the stems that read like its numbered names; consecutive ones are islands. A row that meets an island goes
+    to the next free number, with all later rows of its stem, so the rounds follow the islands met and not the rows. A stem that reads
+    like a numbered name is settled after the stem before its number, which may have taken its own first name.
+    A null group is a group; ids are unique in a group and not null.
     """
     extension = F.create_map(*[F.lit(v) for kv in IMAGE_EXTENSIONS.items() for v in kv])[F.col(mime)]
     world = F.create_map(*[F.lit(v) for kv in WORLD_EXTENSIONS.items() for v in kv])[F.col(mime)]
@@ -174,23 +214,27 @@ def allocate_filenames(
     keyed = named.withColumn("_key", F.lower("_stem"))
     if blocks is None and dict(items.dtypes)[key] != "string":
         blocks = [id_block(key)]
-    numbered = number_rows(keyed, [group, "_key"], blocks, [F.col(key)], "_n")
+    numbered = number_rows(keyed, [group, "_key"], blocks, [F.col(key)], "_at")
+    rows = durable(numbered.withColumn("_g", F.struct(group)).withColumn("_n", F.col("_at")))
+    used = _used_numbers(rows, key)
+    open_stems = durable(used.select("_g", F.col("_stem_key").alias("_key"), "_base", "_m", "_taken", "_first"))
+    done = _pass_over(rows.join(open_stems, ["_g", "_key"], "left_anti").select(*rows.columns), used, key)
+    while not open_stems.isEmpty():
+        waiting = open_stems.select("_g", F.col("_key").alias("_base"))
+        ready = durable(open_stems.join(waiting, ["_g", "_base"], "left_anti"))
+        owners = done.select("_g", F.col("_key").alias("_base"), F.col("_n").alias("_m"), F.col("_ext").alias("_taken"), F.col(key).alias("_owner"))
+        late = ready.join(owners, ["_g", "_base", "_m", "_taken"]).where("_owner < _first").select("_g", "_key", F.lit(1).alias("_late"))
+        mine = rows.join(ready.select("_g", "_key"), ["_g", "_key"], "left_semi").join(late, ["_g", "_key"], "left")
+        begun = durable(mine.withColumn("_n", F.col("_at") + F.coalesce("_late", F.lit(0))).select(*rows.columns))
+        done = done.unionByName(_pass_over(begun, used, key))
+        open_stems = durable(open_stems.join(ready.select("_g", "_key"), ["_g", "_key"], "left_anti"))
 
     def path(extra: str) -> Column:
         return F.concat(F.lit("images/"), F.col("_stem"), F.when(
             F.col("_n") > 1, F.concat(F.lit("-"), F.col("_n").cast("string"))).otherwise(F.lit("")),
             F.lit("."), F.col(extra))
 
-    current = durable(numbered.withColumn("_path", F.lower(path("_ext"))))
-    while True:
-        owners = current.groupBy(group, "_path").agg(
-            F.min(key).alias("_owner"), F.count(F.lit(1)).alias("_claims")).where("_claims > 1")
-        if owners.isEmpty():
-            break
-        moved = current.join(owners, [group, "_path"], "left").withColumn(
-            "_n", F.col("_n") + (F.coalesce(F.col("_owner") != F.col(key), F.lit(False))).cast("int"))
-        current = durable(moved.drop("_owner", "_claims").withColumn("_path", F.lower(path("_ext"))))
-    return current.select(group, key, path("_ext").alias("path"), path("_world").alias("world_path"))
+    return done.select(group, key, path("_ext").alias("path"), path("_world").alias("world_path"))
 
 
 def validate_files(files: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitesift.functions import geometry as G
@@ -233,7 +233,8 @@ def unit_coverage(
 ) -> DataFrame:
     """Area of the visible features per view and unit, with a subtotal per view.
 
-    ``share`` is the unit's part of its view's total. Holes are subtracted.
+    ``share`` is the unit's part of its view's total. Holes are subtracted. Rows are summed by (view, unit) before a window
+    over the view's units gives its total, which the subtotal row repeats: no roll-up meets itself again.
     """
     area = F.abs(G.ring_area("polygon")) - F.aggregate(
         F.coalesce(F.col("holes"), G.no_holes()), F.lit(0.0), lambda acc, h: acc + F.abs(G.ring_area(h)))
@@ -243,14 +244,17 @@ def unit_coverage(
         view_key, unit_key().alias("unit_key"), "_area")
     units = seen.groupBy(view_key, "unit_key").agg(
         F.sum("_area").alias("area"), F.count(F.lit(1)).alias("features"))
-    rolled = units.rollup(view_key, "unit_key").agg(
-        F.sum("area").alias("area"), F.sum("features").alias("features"),
-        F.grouping("unit_key").alias("is_total"), F.grouping(view_key).alias("_all"))
-    per_view = rolled.where(F.col("_all") == 0).drop("_all")
-    total = per_view.where(F.col("is_total") == 1).select(
-        view_key, F.col("area").alias("_total"))
-    return per_view.join(total, view_key).withColumn(
-        "share", F.col("area") / F.col("_total")).drop("_total")
+    view = Window.partitionBy(view_key)
+    place = F.row_number().over(view.orderBy("unit_key"))
+    ready = units.select(
+        "*", F.sum("area").over(view).alias("_total"), F.sum("features").over(view).alias("_count"), place.alias("_place"))
+    row = F.struct("unit_key", "area", "features", F.lit(0).alias("is_total"))
+    total = F.struct(
+        F.lit(None).cast("string").alias("unit_key"), F.col("_total").alias("area"), F.col("_count").alias("features"),
+        F.lit(1).alias("is_total"))
+    rows = F.when(F.col("_place") == 1, F.array(row, total)).otherwise(F.array(row))
+    return ready.select(view_key, "_total", F.explode(rows).alias("r")).select(
+        view_key, "r.*", (F.col("r.area") / F.col("_total")).alias("share"))
 
 
 def dataset_bounds(features: DataFrame, *keys: str) -> DataFrame:

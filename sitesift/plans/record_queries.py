@@ -204,6 +204,34 @@ def allocate_filenames(s: Source) -> DataFrame:
     return manifests.allocate_filenames(s.sql(NAMED))
 
 
+#: Stems that repeat, and natural names that read like their numbered ones, before and after them.
+COLLIDING = """SELECT p_partkey % 40 AS package_id, p_partkey AS id,
+  CASE WHEN p_partkey % 7 < 3 THEN 'plan' WHEN p_partkey % 7 = 3 THEN CONCAT('plan-', CAST(p_partkey % 13 + 2 AS STRING))
+    WHEN p_partkey % 7 = 4 THEN CONCAT('Plan-2-', CAST(p_partkey % 3 + 1 AS STRING)) WHEN p_partkey % 7 = 5 THEN 'plan-2' ELSE p_name END AS label,
+  CASE WHEN p_partkey % 11 = 0 THEN 'image/jpeg' ELSE 'image/png' END AS mime FROM part"""
+
+
+@query("allocate_colliding_filenames", f"""
+WITH RECURSIVE n AS (SELECT *, regexp_replace(label, '[^A-Za-z0-9]+', '-', 'g') AS stem, CASE mime WHEN 'image/png' THEN '.png' ELSE '.jpg' END AS ext,
+  ROW_NUMBER() OVER (PARTITION BY package_id ORDER BY id) AS step FROM ({COLLIDING}) x),
+walk AS (
+  SELECT n.package_id, n.id, n.step, n.stem, n.ext, CAST(1 AS BIGINT) AS c, [lower(n.stem || n.ext)] AS used, [{{'s': lower(n.stem), 'c': CAST(1 AS BIGINT)}}] AS tops
+  FROM n WHERE step = 1
+  UNION ALL
+  SELECT package_id, id, step, stem, ext, c, list_append(used, lower(stem || CASE WHEN c > 1 THEN '-' || c ELSE '' END || ext)),
+    list_append(tops, {{'s': lower(stem), 'c': c}})
+  FROM (SELECT n.package_id, n.id, n.step, n.stem, n.ext, w.used, w.tops, list_min(list_filter(
+      range(1, n.step + n.step + 2),
+      lambda i: i > COALESCE(list_max(list_transform(list_filter(w.tops, lambda t: t.s = lower(n.stem)), lambda t: t.c)), 0)
+        AND NOT list_contains(w.used, lower(n.stem || CASE WHEN i > 1 THEN '-' || i ELSE '' END || n.ext)))) AS c
+    FROM walk w JOIN n ON n.package_id = w.package_id AND n.step = w.step + 1) q)
+SELECT package_id, id, 'images/' || stem || CASE WHEN c > 1 THEN '-' || c ELSE '' END || ext AS path,
+  'images/' || stem || CASE WHEN c > 1 THEN '-' || c ELSE '' END || CASE ext WHEN '.png' THEN '.pgw' ELSE '.jgw' END AS world_path FROM walk
+""")
+def allocate_colliding_filenames(s: Source) -> DataFrame:
+    return manifests.allocate_filenames(s.sql(COLLIDING))
+
+
 FILE_ROWS = """SELECT doc_id, CONCAT(CASE WHEN doc_id % 10 = 0 THEN 'company/' ELSE 'images/' END, 'f', CAST(doc_id AS STRING),
     CASE WHEN doc_id % 3 = 0 THEN '.png' ELSE '.txt' END) AS path,
   CASE WHEN doc_id % 3 = 0 THEN 'image/png' WHEN doc_id % 7 = 0 THEN 'text/html' ELSE 'text/plain' END AS mime,

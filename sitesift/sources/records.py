@@ -149,7 +149,7 @@ def _tiff_size(data: bytes) -> tuple[int, int] | None:
     if at < 8 or at + 2 > len(data):
         return None
     count = struct.unpack_from(order + "H", data, at)[0]
-    if count > 128 or at + 6 + 12 * count > len(data):
+    if at + 6 + 12 * count > len(data):
         return None
     size: dict[int, int] = {}
     for entry in range(at + 2, at + 2 + 12 * count, 12):

@@ -2,6 +2,7 @@
 
 import math
 import random
+import struct
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from sitesift.functions import text as X
 from sitesift.operators import catalog, grid, legends, links, manifests, rings, sites, surveys
 from sitesift.operators.numbering import number_rows
 from sitesift.schemas import RING, RINGS
+from sitesift.sources import records
 
 SQUARE = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0), (0.0, 0.0)]
 HOLE = [(3.0, 3.0), (7.0, 3.0), (7.0, 7.0), (3.0, 7.0), (3.0, 3.0)]
@@ -290,6 +292,38 @@ def test_colliding_file_names(spark):
     assert out == {"1": "images/a.png", "2": "images/a-2.png", "3": "images/a-2-2.png", "4": "images/Ete.jpg", "5": "images/Image-con.tif"}
 
 
+def test_file_names_as_one_by_one(spark):
+    """Random stems with natural numbered names, nested ones, two types and a null group, against a walk in id order."""
+    r = random.Random(5)
+    stems = ["a", "a", "a", "A-2", "a-3", "a-4", "a-2-2", "a-2-3", "a-2-2-2", "b", "b-2"]
+    kinds = {"image/png": ("png", "pgw"), "image/jpeg": ("jpg", "jgw")}
+    rows = [(r.choice([1, 2, None]), i, r.choice(stems), r.choice(list(kinds))) for i in range(400)]
+    rows += [(3, i, "a" if i % 2 else f"a-{i // 2 + 2}", "image/png") for i in range(40)]
+    used, counts, want = set(), {}, {}
+    for group, i, stem, mime in sorted(rows, key=lambda x: x[1]):
+        stem_key = (group, stem.lower())
+        number = counts.get(stem_key, 0) + 1
+        name = lambda n: f"images/{stem}{f'-{n}' if n > 1 else ''}.{kinds[mime][0]}"
+        while (group, name(number).lower()) in used:
+            number += 1
+        counts[stem_key] = number
+        used.add((group, name(number).lower()))
+        want[group, i] = name(number)
+    table = spark.createDataFrame(rows, "package_id INT, id BIGINT, label STRING, mime STRING")
+    out = manifests.allocate_filenames(table).collect()
+    assert len(out) == len(rows) and {(x["package_id"], x["id"]): x["path"] for x in out} == want
+
+
+def test_long_image_directory(spark):
+    """Sizes are read however many entries a TIFF directory has; a cut-off directory is an error."""
+    entries = [struct.pack("<HHII", 300 + i, 4, 1, 0) for i in range(500)]
+    entries[:2] = [struct.pack("<HHII", 256, 4, 1, 640), struct.pack("<HHII", 257, 4, 1, 480)]
+    whole = b"II*\0" + struct.pack("<IH", 8, len(entries)) + b"".join(entries) + bytes(4)
+    table = spark.createDataFrame([("a.tif", bytearray(whole)), ("b.tif", bytearray(whole[:-9]))], "path STRING, content BINARY")
+    found = {x["path"]: (x["width"], x["height"], x["error"]) for x in records.image_inventory(table).collect()}
+    assert found == {"a.tif": (640, 480, None), "b.tif": (None, None, "header")}
+
+
 def test_full_slug(spark):
     assert one(spark, v=X.slug_full(F.lit("ﬁle Ⅳ Ñandú"))) == "file-IV-Nandu"
 
