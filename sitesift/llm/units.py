@@ -7,14 +7,16 @@ Most units are a word with its space, and most words come again.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 from itertools import compress, count
 from operator import not_
 
 import numpy as np
 
-#: Bytes in one generation of the cache of a Python worker, counted as UNIT_BYTES for the objects of a unit and twice its length (text and ids).
-CACHE_BYTES, UNIT_BYTES = 28 << 20, 180
+#: Bytes of a Python worker's cache, counted as UNIT_BYTES for the objects of a unit and twice its length (text and ids):
+#: of each generation of units that came again, and of those seen once.
+CACHE_BYTES, ONCE_BYTES, UNIT_BYTES = 18 << 20, 20 << 20, 180
 MARKS = ".,"
 CHARS_AT_ONCE = 1 << 20
 #: White space of the split pattern; before a space, these forbid the cut.
@@ -45,34 +47,41 @@ def latin_word(text: str) -> bool:
 class Units:
     """Ids of whole texts through ``encode``, which takes many units and gives the bytes of the ids of each.
 
-    The cache has two generations: when the newer one is full it becomes the older one, and what is used again
-    moves over, so frequent words stay. Both are bounded by bytes, as a worker lives on after its stage. A word with a full stop or comma is its word's ids and the mark's.
+    What came once waits apart, so that a long tail of rare words doesn't push out the frequent ones. What came again is kept in
+    two generations: when the newer one is full it becomes the older one, and what is used again moves over.
+    All are bounded by bytes, as a worker lives on after its stage. A word with a full stop or comma is its word's ids and the mark's.
     """
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]]):
         self.encode = encode
         self.newer: dict[str, bytes] = {}  # key "x" holds the ids of " x"
         self.older: dict[str, bytes] = {}
-        self.weight = 0
+        self.once: dict[str, bytes] = {}
+        self.weight = self.once_weight = 0
         self.marks = dict(zip(MARKS, encode(list(MARKS)), strict=True))
 
-    def _learn(self, keys: set[str]) -> None:
-        newer, older, before = self.newer, self.older, len(self.newer)
-        fresh = []
-        for key in keys:
-            ids = older.get(key)
-            if ids is None:
-                fresh.append(key)
-            else:
-                newer[key] = ids
+    def _learn(self, counts: Counter[str]) -> dict[str, bytes]:
+        """Ids of all units of ``counts``, which the newer generation does not have."""
+        newer, older, once = self.newer.get, self.older.get, self.once.get
+        found = {key: older(key) or once(key) for key in counts}
+        again = {key: ids for key, ids in found.items() if ids}
+        fresh = [key for key, ids in found.items() if not ids]
         marked = [k for k in fresh if k[-1:] in self.marks and latin_word(k[:-1])]
         plain = set(fresh).difference(marked)
-        plain.update(w for k in marked if (w := k[:-1]) not in newer and w not in older)
+        plain.update(w for k in marked if not (newer(w := k[:-1]) or older(w) or once(w)))
         units = list(plain)
-        newer.update(zip(units, self.encode([" " + u for u in units]), strict=True))
+        new = dict(zip(units, self.encode([" " + u for u in units]), strict=True))
         for key in marked:
-            newer[key] = (newer.get(key[:-1]) or older[key[:-1]]) + self.marks[key[-1]]
-        self.weight += UNIT_BYTES * (len(newer) - before) + 2 * sum(map(len, keys))
+            word = key[:-1]
+            new[key] = (new.get(word) or newer(word) or older(word) or once(word)) + self.marks[key[-1]]
+        found.update(new)
+        again.update((k, ids) for k, ids in new.items() if counts[k] > 1)
+        rare = {k: ids for k, ids in new.items() if k not in again}
+        self.newer.update(again)
+        self.once.update(rare)
+        self.weight += UNIT_BYTES * len(again) + 2 * sum(map(len, again))
+        self.once_weight += UNIT_BYTES * len(rare) + 2 * sum(map(len, rare))
+        return found
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text; about a million characters are cut at a time."""
@@ -90,18 +99,27 @@ class Units:
     def _some(self, texts: list[str]) -> list[bytes]:
         if self.weight > CACHE_BYTES:
             self.older, self.newer, self.weight = self.newer, {}, 0
+        if self.once_weight > ONCE_BYTES:
+            self.once, self.once_weight = {}, 0
         parts = [cut(t) for t in texts]
         heads = iter(self.encode([t if p is None else p[0] for p, t in zip(parts, texts)]))
-        known, rows, holes = self.newer.get, [], []
+        known, rows, holes, missing = self.newer.get, [], [], []
         for p in parts:
             row = [] if p is None else list(map(known, p))
             if row:
                 row[0] = b"\0"  # its place; a head has no space before it
-                holes.extend((row, i, p[i]) for i in compress(count(), map(not_, row)))
+                at = list(compress(count(), map(not_, row)))
+                if at:
+                    holes.append((row, at))
+                    missing.append([p[i] for i in at])
                 row[0] = b""
             rows.append(row)
         if holes:
-            self._learn({key for _, _, key in holes})
-            for row, i, key in holes:
-                row[i] = self.newer[key]
+            counts: Counter[str] = Counter()
+            for keys in missing:
+                counts.update(keys)
+            found = self._learn(counts)
+            for (row, at), keys in zip(holes, missing):
+                for i, ids in zip(at, map(found.__getitem__, keys)):
+                    row[i] = ids
         return [head + b"".join(row) for head, row in zip(heads, rows, strict=True)]

@@ -269,6 +269,7 @@ def test_ids_of_any_string(tik, text):
 
 def test_cache_may_start_anew(monkeypatch, tik):
     monkeypatch.setattr(units, "CACHE_BYTES", 2000)
+    monkeypatch.setattr(units, "ONCE_BYTES", 2000)
     own = units.Units(bpe.encoder(MULTI, public_tokenizers.PATTERN).encode)
     for text in ("a b c d e f g h i j k l m.", "m, n o p q r s, t u v w x y z", "a b  c", "", "a m. n, b", "é ß, don't. x"):
         assert np.frombuffer(own.ids([text])[0], "<u4").tolist() == tik.encode_ordinary(text)
@@ -360,8 +361,9 @@ def test_items_of_every_length_with_edits_in_the_middle(size):
 
 def test_unit_cache_is_bounded_by_bytes(monkeypatch):
     monkeypatch.setattr(units, "CACHE_BYTES", 50_000)
+    monkeypatch.setattr(units, "ONCE_BYTES", 50_000)
     made = units.Units(lambda some: [u.encode() * 4 for u in some])
     for k in range(60):
         made.ids([" ".join(f"w{k * 100 + j}" for j in range(100)), "x " + "long" * 3000])
-        assert sum(180 + len(a) + len(b) for d in (made.newer, made.older) for a, b in d.items()) < 2 * (50_000 + 180 * 100 + 200_000)
+        assert sum(180 + len(a) + len(b) for d in (made.newer, made.older, made.once) for a, b in d.items()) < 3 * (50_000 + 180 * 100 + 200_000)
     assert len(made.newer) < 600
